@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "packing", "chat_format", "simhash")
+MODULES = ("suffix_dedup", "quality_rules", "packing", "chat_format", "simhash", "substring_dedup")
 
 
 def _merged(attribute: str) -> dict:
