@@ -37,7 +37,7 @@ HOT = 40_000
 #: Hot cells up to so many (16 bytes each) are broadcast.
 BROADCAST_CELLS = 100_000
 #: Candidates compared at a time in a task.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -179,8 +179,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     dealt = dealt.select("grp", "cell", "part", "fp", (F.col("mine") == F.col("part")).alias("target")).repartition(partitions(spark), "grp", "cell", "part")
 
     def run(batches):
-        got = pa.Table.from_batches(list(batches), None) if (batches := list(batches)) else None
-        if got is None or not len(got):
+        batches = list(batches)
+        got = pa.Table.from_batches(batches) if batches else ()
+        if not len(got):
             return
         grp, cell, part, fp, target = (got.column(i).to_numpy() for i in range(5))
         order = np.lexsort((~target, part, cell, grp))
@@ -193,7 +194,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
             p, t = p[near], t[near]
             near = (np.bitwise_count(fp[p] ^ fp[t]) <= radius) & (fp[p] != fp[t])
             found.append((fp[p[near]], fp[t[near]]))
-            if sum(len(x) for x, _ in found) > 4 * PAIRS:
+            if sum(len(x) for x, _ in found) > 2 * PAIRS:
                 found = [unite(*(np.concatenate(x) for x in zip(*found, strict=True)))]
         if found and sum(len(x) for x, _ in found):
             a, b = unite(*(np.concatenate(x) for x in zip(*found, strict=True)))
