@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "quality_rules", "packing", "chat_format", "simhash", "secret_scan", "substring_dedup")
+MODULES = ("suffix_dedup", "quality_rules", "packing", "chat_format", "simhash", "secret_scan", "decontaminate", "substring_dedup", "quality_classifier")
 
 
 def _merged(attribute: str) -> dict:
