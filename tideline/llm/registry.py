@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("suffix_dedup", "quality_rules", "packing", "chat_format", "simhash", "secret_scan", "decontaminate", "substring_dedup", "quality_classifier")
+import corpus_pipeline
+
+MODULES = ("suffix_dedup", "quality_rules", "packing", "chat_format", "simhash", "secret_scan", "decontaminate", "substring_dedup", "quality_classifier", "pii")
 
 
 def _merged(attribute: str) -> dict:
@@ -15,8 +17,8 @@ def _merged(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _merged("QUERIES")
+    return _merged("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _merged("ORACLES")
+    return _merged("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
