@@ -17,6 +17,7 @@ truncated, whatever its length; extra columns are ignored, so their names can't
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections import defaultdict
 
@@ -28,37 +29,84 @@ from tideline.llm.common import partitions, table, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Words that a task remembers the ids of; the memory it takes stays under about 100 MB.
-REMEMBERED = 300_000
+#: Words that a task remembers the ids of; the memory it takes stays under about 200 MB.
+REMEMBERED = 500_000
 #: A plan up to so many runs (40 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_RUNS = 200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds:
+#: The characters that stand for bytes which don't print, in byte-level vocabularies.
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def latin(text: str) -> bool:
+    """Letters below U+0250 only: composed already, and with lower cases of one letter."""
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
+class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes. The vocabulary drops white space before it
-    splits further, so the ids of a text are those of its words in order."""
+    splits further, so the ids of a text are those of its words in order. It also lowers case and splits
+    punctuation from letters and digits, so ``Word,`` has the ids of ``word`` and of the comma: only roots are
+    encoded. Roots and words are remembered up to a number, and then forgotten."""
 
     def __init__(self, vocab: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(vocab), {}, remembered
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+        self.tokenizer, self.roots, self.remembered = Tokenizer.from_file(vocab), {}, remembered
+        self.model = self.tokenizer.model
+        self.tails = {t: self._encoded(t.decode()) for t in (b".", b",")}
+
+    def _encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, text: str) -> bytes:
+        """Of one run of lower-case letters, in the characters of the vocabulary: nothing is left to split."""
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        tail = self.tails.get(word[-1:])
+        if word.isascii():
+            root = word.lower()
+            if tail and root[-2:-1].isalnum():
+                root = root[:-1]
+            else:
+                tail = None
+        else:
+            text = word.decode()
+            if tail and latin(text[:-1]):
+                text = text[:-1]
+            else:
+                tail = None
+            root = text.lower().encode() if latin(text) else text.encode()
+        ids = self.roots.get(root)
+        if ids is None:
+            if root.isalpha():
+                ids = self._letters(root.decode())
+            elif latin(text := root.decode()):
+                ids = self._letters(root.decode("latin-1").translate(BYTE_CHARS))
+            else:
+                ids = self._encoded(text)
+            if len(self.roots) >= self.remembered:
+                self.roots.clear()
+            self.roots[root] = ids
+        if tail:
+            ids += tail
+        if len(self) >= self.remembered:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def __call__(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split) if split else set())
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) + end for t in texts]
+
+
+#: A worker keeps what it has learnt for the tasks that follow.
+LEARNT: dict[str, WordIds] = {}
 
 
 def _blocks(texts: list[str | None], most: int):
@@ -79,7 +127,9 @@ def tokenize(docs: DataFrame, vocab: str, capacity: int = CAPACITY, id_col: str
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end = WordIds(vocab), np.array([END_ID], "<u4").tobytes()
+        if vocab not in LEARNT:
+            LEARNT[vocab] = WordIds(vocab)
+        ids_of, end = LEARNT[vocab], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = ([], [], [], [], [])
