@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("timelines", "graph_queries")
 
 
 def _merged(attribute: str) -> dict:
