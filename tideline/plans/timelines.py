@@ -54,9 +54,9 @@ QUERIES = {
         "subject_id", F.round("min_score", 6).alias("min_score"), F.round("max_score", 6).alias("max_score"), F.round("variance", 6).alias("variance"), "window_count", "event_count"),
     "fixed_windows_dense": lambda s, d: segments.dense_windows(emotion_events(s, d), DAY),
     "align_to_given_windows": given_windows,
-    "align_timelines_first_event": lambda s, d: segments.align_first_event(emotion_events(s, d), DAY),
-    "align_timelines_end_anchor": lambda s, d: segments.align_first_event(emotion_events(s, d), DAY, "end"),
-    "align_timelines_explicit_anchor": lambda s, d: segments.align_first_event(emotion_events(s, d), DAY, "explicit", JANUARY + 10 * DAY),
+    "align_timelines_first_event": lambda s, d: segments.align_first_event(emotion_events(s, d), DAY).fillna(-1, ["seq"]),
+    "align_timelines_end_anchor": lambda s, d: segments.align_first_event(emotion_events(s, d), DAY, "end").fillna(-1, ["seq"]),
+    "align_timelines_explicit_anchor": lambda s, d: segments.align_first_event(emotion_events(s, d), DAY, "explicit", JANUARY + 10 * DAY).fillna(-1, ["seq"]),
     "gap_episodes": lambda s, d: episodes(s, d).select("subject_id", "episode_index", "start_us", "end_us", "event_count"),
     "episode_ids": lambda s, d: episodes(s, d).select("subject_id", "episode_index", "episode_id"),
     "episode_dominant_label": lambda s, d: episodes(s, d).select("subject_id", "episode_index", "dominant_label"),
@@ -68,7 +68,7 @@ def _aligned(base: str, extra: str = "") -> str:
 grid AS (SELECT subject_id, unnest(range(0, n)) AS window_index FROM (SELECT DISTINCT subject_id FROM ev), n),
 f AS (SELECT subject_id, CAST(floor((us - base) / {DAY}::DOUBLE) AS BIGINT) AS window_index, seq, label, us FROM ev, n WHERE us >= base),
 r AS (SELECT *, row_number() OVER (PARTITION BY subject_id, window_index ORDER BY us, seq) AS k FROM f)
-SELECT grid.subject_id, grid.window_index, seq, label FROM grid LEFT JOIN r ON grid.subject_id = r.subject_id AND grid.window_index = r.window_index AND k = 1"""
+SELECT grid.subject_id, grid.window_index, coalesce(seq, -1) AS seq, label FROM grid LEFT JOIN r ON grid.subject_id = r.subject_id AND grid.window_index = r.window_index AND k = 1"""
 
 
 ORACLES = {
