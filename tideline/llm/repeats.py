@@ -5,7 +5,7 @@ leftmost on ties. Equal windows have equal anchors at equal places, so windows o
 anchor, and consecutive windows share one. A *run* is a maximal stretch of windows with the same anchor.
 
 Items (a key, and a place in a document) are dealt to buckets in packed rows, one row per task and bucket, and
-grouped there; what comes back is rows of places per document. An anchor that a large share of all documents
+grouped there; what comes back is packed places per bucket of documents. An anchor that a large share of all documents
 has would load one bucket: a sample finds such anchors, and their windows are dealt one by one, by their own
 content. The sample only decides the way rows take, never the result.
 """
@@ -23,12 +23,12 @@ BASE = 0x9E3779B97F4A7C15
 INDEX_BITS = 22
 INDEX = np.uint64((1 << INDEX_BITS) - 1)
 #: Items that a task packs at a time.
-FLUSH = 1_500_000
+FLUSH = 600_000
 SAMPLE = 0.02
 #: Occurrences of an anchor from which it counts as hot, and the most hot anchors (8 bytes each) broadcast.
 HOT, MOST_HOT = 20_000, 500_000
 PACKED = "bucket int, docs binary, lanes binary, pos binary, flag binary"
-PLACES = "dk long, tk long, places binary"
+PLACES = "bucket int, spans binary"
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,31 +212,56 @@ def unpacked(batches, lanes: int):
     return *(np.concatenate(x) for x in zip(*heads, strict=True)), np.concatenate(keys, axis=1), np.concatenate(places), np.concatenate(flags)
 
 
-def spans_by_document(dk: np.ndarray, tk: np.ndarray, first: np.ndarray, many: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of ``PLACES``: (first, number) pairs of each document; touching spans are joined."""
+def joined_spans(dk: np.ndarray, tk: np.ndarray, first: np.ndarray, many: np.ndarray) -> list[np.ndarray]:
+    """Spans (first, number) of documents in order; touching ones are joined."""
     order = np.lexsort((first, tk, dk))
     dk, tk, first, many = dk[order], tk[order], first[order], many[order]
     if not len(dk):
-        return
+        return [dk, tk, first, many]
+    # A span may end inside an earlier, longer one: what counts is the furthest end so far in the document.
     new_doc = np.concatenate([[True], (dk[1:] != dk[:-1]) | (tk[1:] != tk[:-1])])
-    end = first + many
-    start = np.flatnonzero(new_doc | np.concatenate([[True], first[1:] > end[:-1]]))
+    number = np.cumsum(new_doc) - 1
+    base = number * (int((first + many).max()) + 1)
+    end = np.maximum.accumulate(first + many + base)
+    start = np.flatnonzero(np.concatenate([[True], (first + base)[1:] > end[:-1]]) | new_doc)
     last = np.append(start[1:], len(dk)) - 1
-    span = np.stack([first[start], end[last] - first[start]], axis=1).astype("<i8")
-    of = np.cumsum(new_doc)[start]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(start))
-    firsts = start[edges[:-1]]
-    small = span.max() < 2**31
-    blobs = [(span[a:b].astype("<i4") if small else span[a:b]).tobytes() + (b"\x04" if small else b"\x08") for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    for at in range(0, len(blobs), 10_000):
-        part = slice(at, at + 10_000)
-        yield pa.RecordBatch.from_arrays([pa.array(dk[firsts][part]), pa.array(tk[firsts][part]), pa.array(blobs[part], pa.binary())], ["dk", "tk", "places"])
+    return [dk[start], tk[start], first[start], end[last] - base[last] - first[start]]
+
 
+def spans_by_bucket(dk: np.ndarray, tk: np.ndarray, first: np.ndarray, many: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PLACES``: the spans of the documents of a bucket, packed."""
+    dk, tk, first, many = joined_spans(dk, tk, first, many)
+    if not len(dk):
+        return
+    bucket = bucket_of(dk.view(np.uint64) ^ tk.view(np.uint64), n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], np.stack([dk[order], tk[order], first[order], many[order]])
+    edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+    blobs = [np.ascontiguousarray(rows[:, a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    for at in range(0, len(blobs), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]][at : at + 256]), pa.array(blobs[at : at + 256], pa.binary())], ["bucket", "spans"])
 
-def read_spans(blobs) -> np.ndarray:
-    """(first, number) rows of several ``places``."""
-    parts = [np.frombuffer(b[:-1], "<i4" if b[-1:] == b"\x04" else "<i8").reshape(-1, 2).astype(np.int64) for b in blobs or ()]
-    return np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+
+def gathered(places: DataFrame, n_buckets: int) -> DataFrame:
+    """``dk tk places``: a row per document with all its spans."""
+
+    def run(batches):
+        blobs = [np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for batch in batches for x in batch.column(1)]
+        if not blobs:
+            return
+        dk, tk, first, many = joined_spans(*np.concatenate(blobs, axis=1))
+        edges = np.append(np.flatnonzero(np.concatenate([[True], (dk[1:] != dk[:-1]) | (tk[1:] != tk[:-1])])), len(dk))
+        span = np.stack([first, many], axis=1)
+        for at in range(0, len(edges) - 1, 5000):
+            part = edges[at : at + 5001]
+            yield pa.RecordBatch.from_arrays([pa.array(dk[part[:-1]]), pa.array(tk[part[:-1]]), pa.array([span[a:b].tobytes() for a, b in zip(part[:-1], part[1:], strict=True)], pa.binary())], ["dk", "tk", "places"])
+
+    return places.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "dk long, tk long, places binary")
+
+
+def read_spans(places: bytes | None) -> np.ndarray:
+    """(first, number) rows of ``places``."""
+    return np.frombuffer(places or b"", np.int64).reshape(-1, 2)
 
 
 def covered(spans: np.ndarray, width: int, size: int) -> np.ndarray:
@@ -248,7 +273,7 @@ def covered(spans: np.ndarray, width: int, size: int) -> np.ndarray:
 
 
 def repeated_places(packed: DataFrame, lanes: int, n_buckets: int) -> DataFrame:
-    """From ``PACKED`` rows the places whose key occurs at least twice, as ``PLACES`` rows."""
+    """From ``PACKED`` rows the places whose key occurs at least twice, as ``PLACES`` rows: a row per two buckets at most, so their number doesn't follow that of the documents."""
 
     def settle(batches):
         got = unpacked(batches, lanes)
@@ -262,15 +287,11 @@ def repeated_places(packed: DataFrame, lanes: int, n_buckets: int) -> DataFrame:
         hit = sent[order[twice]]
         # Places of a key with flag 2 came with flag 1 from the same task.
         hit = np.concatenate([hit[flag[hit] == 0], np.flatnonzero(flag == 1)])
-        yield from spans_by_document(dk[hit], tk[hit], pos[hit], np.ones(len(hit), np.int64))
+        yield from spans_by_bucket(dk[hit], tk[hit], pos[hit], np.ones(len(hit), np.int64), n_buckets)
 
     return packed.repartitionById(n_buckets, F.col("bucket")).mapInArrow(settle, PLACES)
 
 
-def gathered(places: DataFrame) -> DataFrame:
-    return places.groupBy("dk", "tk").agg(F.collect_list("places").alias("places"))
-
-
 def hot_anchors(base: DataFrame, anchors_of: Callable[[list[str]], np.ndarray], fraction: float = SAMPLE, hot: int = HOT) -> np.ndarray:
     """Sorted hashes of anchors that a sample of documents shows to occur more than about ``hot`` times."""
 

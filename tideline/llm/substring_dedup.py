@@ -28,7 +28,7 @@ WIDTH, GRAM = 35, 18
 DEPTH, LOG_WIDTH, LOG_SLICES = 2, 26, 6
 CHUNK, BLOCK = 100_000, 150_000
 #: Sketch positions that a task holds before it passes them on.
-HELD = 4_000_000
+HELD = 1_000_000
 
 
 def word_lanes(words: list[bytes]) -> np.ndarray:
@@ -165,7 +165,7 @@ def repeated_windows(base: DataFrame, log_width: int = LOG_WIDTH, width: int = W
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``doc_id n_words n_removed kept`` (kept words joined by one space)."""
     base = R.identified(docs, id_col, text_col)
-    found = R.gathered(repeated_windows(base, width=width, gram=(width + 1) // 2))
+    found = R.gathered(repeated_windows(base, width=width, gram=(width + 1) // 2), partitions(docs.sparkSession))
 
     def remove(batches):
         for batch in batches:

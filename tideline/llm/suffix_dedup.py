@@ -34,7 +34,7 @@ from tideline.llm.deep_shallow import sort_suffixes
 WIDTH, GRAM = 100, 40
 CHUNK = BLOCK = 1 << 20
 #: Bytes of stretches that a task holds before it passes them on.
-HELD = 32 << 20
+HELD = 16 << 20
 SYMBOLS = [R.mix(np.arange(1, 257, dtype=np.uint64), s) for s in (3, 5)]
 STRETCHES = "bucket int, meta binary, data binary, known binary"
 
@@ -185,13 +185,13 @@ def later_strings(stretches: DataFrame, n_buckets: int, width: int) -> DataFrame
             by = np.lexsort((place[order], tk[of[order]], dk[of[order]], equal))
             later = order[by][R.same_as_before([equal[by]])]
             out.append(np.stack([dk[of[later]], tk[of[later]], place[later], np.ones(len(later), np.int64)]))
-        yield from R.spans_by_document(*np.concatenate(out, axis=1))
+        yield from R.spans_by_bucket(*np.concatenate(out, axis=1), n_buckets)
 
     return stretches.repartitionById(n_buckets, F.col("bucket")).mapInArrow(settle, R.PLACES)
 
 
 #: Suffixes sorted at a time; an anchor's are never parted.
-PORTION = 1_000_000
+PORTION = 500_000
 
 
 def _portions(anchor: np.ndarray, many: np.ndarray) -> Iterator[slice]:
@@ -219,7 +219,7 @@ def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id
 
     hot = spark.sparkContext.broadcast(R.hot_anchors(base, anchors_of))
     any_hot = len(hot.value) > 0
-    marks = R.gathered(repeated_anchors(base, hot, width, gram))
+    marks = R.gathered(repeated_anchors(base, hot, width, gram), n_buckets)
 
     def send(batches):
         out = Stretches(n_buckets, width)
@@ -251,7 +251,7 @@ def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id
         yield from out.flush()
 
     texts = base.join(marks.hint("shuffle_hash"), ["dk", "tk"], "left")
-    found = R.gathered(later_strings(texts.select("dk", "tk", "text", "places").mapInArrow(send, STRETCHES), n_buckets, width))
+    found = R.gathered(later_strings(texts.select("dk", "tk", "text", "places").mapInArrow(send, STRETCHES), n_buckets, width), n_buckets)
 
     def remove(batches):
         for batch in batches:
