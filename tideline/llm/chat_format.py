@@ -11,7 +11,8 @@ in code points. Turns of a conversation are streamed in order through one task a
 so memory doesn't depend on how many turns a conversation has.
 
 Defined cases: a null role is an empty one; a null text or content is empty; a part of unknown type is kept as
-a placeholder of that type; null conversation ids are one conversation; equal turn numbers go by role and then
+a placeholder of that type; null conversation ids are one conversation; null
+turn numbers come first; equal turn numbers go by role and then
 text, and repeated rows are repeated turns; extra columns are ignored.
 """
 
@@ -158,9 +159,9 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}'),
 e AS (SELECT *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') AS te, replace(replace(role, '\\', '\\\\'), '<|', '<\\|') AS re FROM t)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(START) + len(END) + 2} + length(re) + length(te)) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 QUERIES = {"op4_chat_formatting": op4_chat_formatting}
 ORACLES = {"op4_chat_formatting": SQL}

@@ -40,6 +40,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix that none of ``columns`` starts with, for columns of our own beside them."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def words(text: Column) -> Column:
     """Words of a text in order (an empty array for null), separated by ASCII white space only."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import fresh, table
 
 #: Fixed masks; '1' marks a position whose word counts.
 MASKS = ("1101101", "11100101")
@@ -116,8 +116,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, with the columns they came with."""
     bad = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("dk", "tk")
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"__dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__tk": F.xxhash64(text)})
-    on = (marked["__dk"] == bad["dk"]) & (marked["__tk"] == bad["tk"])
+    p = fresh(docs.columns)
+    marked = docs.withColumns({f"{p}dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), f"{p}tk": F.xxhash64(text)})
+    on = (marked[f"{p}dk"] == bad["dk"]) & (marked[f"{p}tk"] == bad["tk"])
     return marked.join(bad.hint("shuffle_hash"), on, "left_anti").select(*docs.columns)
 
 

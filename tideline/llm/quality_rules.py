@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideline.llm.common import SPACE, table, words
+from tideline.llm.common import SPACE, fresh, table, words
 
 WINDOW = 8
 #: Frequent function words of the four languages.
@@ -61,25 +61,27 @@ def _count_of(text: Column, chars: str) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``n_words word_chars n_symbols n_bangs n_lines n_dup_lines n_stop_words n_repeat_words`` (long)."""
     keep = [c for c in docs.columns if c not in MEASURES]
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    got = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("__text"))
-    got = got.withColumns({"__w": words(text), "__lines": F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]")))})
+    p = fresh(keep)
+    w, lines, hashes, windows, order, places = (p + x for x in ("w", "lines", "wh", "h", "s", "p"))
+    text = F.coalesce(F.col(f"{p}text"), F.lit(""))
+    got = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias(f"{p}text"))
+    got = got.withColumns({w: words(text), lines: F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(f"[^{SPACE}]")))})
     got = got.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": _count_of(text, "#*$%&|<>"),
         "n_bangs": _count_of(text, "!"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_stop_words": F.size(F.filter("__w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-        "__wh": F.transform("__w", lambda w: F.xxhash64(w)),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
+        hashes: F.transform(w, lambda x: F.xxhash64(x)),
     })
-    got = got.withColumn("__h", F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("__wh") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__wh", i, WINDOW)))))
+    got = got.withColumn(windows, F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))))
     # Most texts repeat no window: only the others pay for sorting.
-    got = got.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    twice = F.filter("__s", lambda s, k: F.coalesce(F.get("__s", k - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get("__s", k + 1)["h"] == s["h"], F.lit(False)))
-    got = got.withColumn("__p", F.when(F.col("__s").isNotNull(), F.sort_array(F.transform(twice, lambda s: s["i"]))))
-    covered = F.aggregate(F.transform("__p", lambda p, k: F.least(F.coalesce(F.get("__p", k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
+    got = got.withColumn(order, F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    twice = F.filter(order, lambda s, k: F.coalesce(F.get(order, k - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get(order, k + 1)["h"] == s["h"], F.lit(False)))
+    got = got.withColumn(places, F.when(F.col(order).isNotNull(), F.sort_array(F.transform(twice, lambda s: s["i"]))))
+    covered = F.aggregate(F.transform(places, lambda i, k: F.least(F.coalesce(F.get(places, k + 1) - i, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
     got = got.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     return got.select(*(F.col(f"`{c}`") for c in keep), *MEASURES)
 
@@ -116,9 +118,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects, with the columns they came with."""
+    p = fresh(docs.columns)
+    held = {c: f"{p}{c}" for c in docs.columns if c in (*MEASURES, "base_failed", "failed", "kept")}
     # A filter on a column is pushed below the projection by copying the column's expressions, measures of
     # measures over and over; the always true term is not deterministic, which keeps the filter above.
-    return quality_rules(docs).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0)).filter("kept").select(*docs.columns)
+    judged = quality_rules(docs.withColumnsRenamed(held)).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0)).filter("kept")
+    return judged.select(*(F.col(f"`{held.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def measures_sql(docs: str) -> str:

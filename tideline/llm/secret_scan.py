@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tideline.llm import spans as S
-from tideline.llm.common import table, written
+from tideline.llm.common import fresh, table, written
 
 SALTS = 32
 
@@ -101,10 +101,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple
     return salted, fresh
 
 
-def with_spans(docs: DataFrame, salted: DataFrame) -> DataFrame:
-    paths = addressed(docs).withColumn("__salt", F.floor(F.rand(7) * SALTS).cast("int"))
-    got = paths.join(salted.hint("shuffle_hash"), ["blob", "__salt"], "left")
-    return got.withColumn("spans", F.coalesce("spans", F.array().cast(S.KIND))).drop("blob", "__salt")
+def with_spans(docs: DataFrame, salted: DataFrame, name: str = "spans") -> DataFrame:
+    """``docs`` with the findings of each row's text as ``name``, which replaces a column of that name."""
+    docs = docs.drop(name)
+    p = fresh(docs.columns)
+    paths = docs.withColumns({f"{p}blob": F.sha2(F.coalesce("text", F.lit("")), 256), f"{p}salt": F.floor(F.rand(7) * SALTS).cast("int")})
+    found = salted.select(F.col("blob").alias(f"{p}blob"), F.col("__salt").alias(f"{p}salt"), F.col("spans").alias(name))
+    got = paths.join(found.hint("shuffle_hash"), [f"{p}blob", f"{p}salt"], "left")
+    return got.withColumn(name, F.coalesce(name, F.array().cast(S.KIND))).drop(f"{p}blob", f"{p}salt")
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +124,12 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts: each span becomes ``[secret]``."""
     salted, _ = scan(docs)
-    got = with_spans(docs.select(*docs.columns), salted)
-    text = S.replaced(F.coalesce("text", F.lit("")), F.col("spans"), lambda s: F.lit("[secret]"))
-    got = got.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    spans = f"{fresh(docs.columns)}spans"
+    got = with_spans(docs, salted, spans)
+    text = S.replaced(F.coalesce("text", F.lit("")), F.col(spans), lambda s: F.lit("[secret]"))
+    got = got.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        got = got.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return got.select(*docs.columns)
 
 
