@@ -63,6 +63,21 @@ def test_op1_against_all_strings(spark, small, where):
     assert any(w[1] for w in want.values())
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_op1_repeated_rows_are_one_document(spark, tasks):
+    """Equal rows of 200 bytes and more keep what stands nowhere before their document, in one task and in several."""
+    rng = random.Random(8)
+    part = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(5)]
+    docs = {1: part[0], 2: part[1] + part[0], 3: part[1][:220], 4: part[2] + "-" + part[2], 5: part[3], 6: part[3], 7: part[4][:250]}
+    want = removed_bytes(docs, 100)
+    assert [want[k][1] for k in (1, 2, 3, 4, 5, 6, 7)] == [0, 300, 220, 300, 0, 300, 0]
+    rows = [r for r in docs.items() for _ in range(3)]
+    got = suffix_dedup.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_bytes"], r["n_removed"], len(r["spans"]), sha(bytes(r["kept"]))) == want[r["doc_id"]]
+
+
 def test_suffixes_are_sorted_by_deep_shallow():
     import numpy as np
 

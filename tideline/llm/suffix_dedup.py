@@ -89,6 +89,13 @@ def range_hashes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> np
     return R.mix((total[first + size] - total[first]) * down[first])
 
 
+def in_others(again: np.ndarray, *ids: np.ndarray) -> np.ndarray:
+    """Of sorted rows, those equal to the one before (``again``) whose ``ids`` differ from the first equal row's:
+    a repeated row of a document sends what the document sent already, and that is no string before it."""
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+    return again & np.any([x != x[first] for x in ids], axis=0)
+
+
 def pieces_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[R.ragged(first, size)]
 
@@ -118,7 +125,7 @@ class Stretches:
             at = np.cumsum(size) - size
             order = np.lexsort((pos, tk, dk, many, two, one, anchor))
             again = R.same_as_before([x[order] for x in (anchor, one, two, many)])
-            keep, known = np.sort(order[~again]), order[again]
+            keep, known = np.sort(order[~again]), order[in_others(again, *(x[order] for x in (dk, tk, pos)))]
             self.turn += 1
             away = (R.mix(tk[known].view(np.uint64), self.turn) % np.uint64(self.n)).astype(np.int32)
             bucket = R.bucket_of(anchor[keep], self.n)
@@ -168,7 +175,7 @@ def later_strings(stretches: DataFrame, n_buckets: int, width: int) -> DataFrame
                 hashes[i, a:b] = range_hashes(s[part], at[a:b] - at[a], size[a:b])
         order = np.lexsort((pos, tk, dk, many, hashes[1], hashes[0], anchor))
         again = R.same_as_before([x[order] for x in (anchor, hashes[0], hashes[1], many)])
-        gone = order[again]
+        gone = order[in_others(again, *(x[order] for x in (dk, tk, pos)))]
         out.append(np.stack([dk[gone], tk[gone], pos[gone], many[gone]]))
         left = order[~again]  # sorted by anchor: an anchor with one stretch left needs no sorting
         same = R.same_as_before([anchor[left]])
@@ -182,8 +189,9 @@ def later_strings(stretches: DataFrame, n_buckets: int, width: int) -> DataFrame
             place = pos[of] + suffix - np.repeat(start, many[seg])
             order, new = sort_suffixes(text, suffix, width)
             equal = np.cumsum(new)
-            by = np.lexsort((place[order], tk[of[order]], dk[of[order]], equal))
-            later = order[by][R.same_as_before([equal[by]])]
+            rank = np.lexsort((place[order], tk[of[order]], dk[of[order]], equal))
+            by = order[rank]
+            later = by[in_others(R.same_as_before([equal[rank]]), dk[of[by]], tk[of[by]], place[by])]
             out.append(np.stack([dk[of[later]], tk[of[later]], place[later], np.ones(len(later), np.int64)]))
         yield from R.spans_by_bucket(*np.concatenate(out, axis=1), n_buckets)
 
