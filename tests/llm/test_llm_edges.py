@@ -135,6 +135,20 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[300] == rows[300][1]
 
 
+def test_terms_of_a_rare_entity_at_all_their_places(spark):
+    """An address of one document has terms: far from it (over 60 characters) and in a document without it, too."""
+    rows = [(i, f"please write gently today number {i} please") for i in range(300)]
+    rows[7] = (7, f"Zebulon {'please write gently today ' * 5} x@y.org please")
+    rows[8] = (8, "please Marigold write x2@y.org gently Marigold today")
+    rows[9] = (9, "please Marigold write x2@y.org gently today")
+    rows[10] = (10, "ask marigold gently please")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[7] == f"[term] {'please write gently today ' * 5} [email] please"
+    assert clean[8] == "please [term] write [email] gently [term] today"
+    assert clean[10] == "ask [term] gently please" and clean[300 - 1] == rows[-1][1]
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = "the quick brown fox jumps over a lazy dog while seven wizards brew bitter potions near the frozen lake".split()
     noisy = item.copy()

@@ -6,8 +6,12 @@ Over the whole corpus, ``co`` counts the documents in which a term stands in the
 the documents that have the term at all. A term discloses an entity when it was seen with it in at least
 ``SUPPORT`` documents, ``co / df`` (the chance of the entity given the term) is at least ``DISCLOSURE``
 hundredths, and it tells at least ``BITS`` bits more than the entity's own frequency does. Such a term becomes
-a span of kind ``term`` wherever it stands in the context of that entity. ``sanitise`` replaces entities by
-their kind and generalises terms to ``[term]``. Only built-in functions are used.
+a span of kind ``term`` wherever it stands in the context of that entity. That is ``op10_pii``, which its SQL
+defines. ``disclosures`` has no such cuts: ``co`` counts documents that hold both anywhere, rates are smoothed by
+``SMOOTH`` documents that have the entity as often as the corpus has, instead of ``SUPPORT``, and a term that
+discloses any entity is a span at each of its places in every document. ``sanitise`` and ``op10_pii_disclosure``
+use it; ``sanitise`` replaces entities by their kind and generalises terms to ``[term]``. Only built-in functions
+are used.
 
 Only documents with entities (few) are exploded to contexts; frequencies of the terms in question are counted
 over all documents with partial sums. Terms and entities are counted per document, so no pairs of documents
@@ -20,13 +24,15 @@ table gives an empty result; extra columns are ignored. Texts are read whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tideline.llm import spans as S
 from tideline.llm.common import fresh, table, written
 
 CONTEXT, TERM_CHARS = 60, 4
 SUPPORT, DISCLOSURE, BITS = 5, 50, 4.0
+#: Documents that ``disclosures`` adds to those of a term, with the entity in the corpus's share of them.
+SMOOTH = 1
 #: Terms up to which the list of those in question is broadcast (counted first).
 BROADCAST_TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone")
@@ -141,11 +147,51 @@ def detect(docs: DataFrame) -> DataFrame:
     return found.join(more, ["dk", "tk"], "left").select("dk", "tk", every.alias("spans"))
 
 
+def _terms(text: Column) -> Column:
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.lower(w))
+    return F.array_distinct(F.filter(runs, lambda w: F.length(w) >= TERM_CHARS))
+
+
+def disclosing_anywhere(one: DataFrame, found: DataFrame) -> DataFrame:
+    """Terms that disclose an entity of any frequency; ``one`` are distinct documents, ``found`` those with ``base``."""
+    exploded = lambda d: d.select("dk", "tk", F.explode(_terms(F.col("text"))).alias("term"))
+    df = exploded(one).groupBy("term").agg(F.count("*").alias("df"))
+    near = exploded(found)
+    # No entity has a term more often than documents with entities do: the others can't reach the rate.
+    able = near.groupBy("term").agg(F.count("*").alias("most")).join(df, "term").filter((F.col("most") + SMOOTH) * 100 >= (F.col("df") + SMOOTH) * DISCLOSURE)
+    able = written(able.select("term", "df"), "able")
+    named = found.select("dk", "tk", "text", F.explode("base").alias("e"))
+    ents = named.select("dk", "tk", F.concat_ws(":", F.col("e.kind"), F.substr("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))).alias("entity")).distinct()
+    share = ents.groupBy("entity").agg(F.count("*").alias("n")).crossJoin(F.broadcast(one.agg(F.count("*").alias("total")))).select("entity", (F.col("n") / F.col("total")).alias("share"))
+    pairs = near.join(able, "term").join(ents, ["dk", "tk"]).groupBy("entity", "term", "df").agg(F.count("*").alias("co")).join(share, "entity")
+    rate = (F.col("co") + SMOOTH * F.col("share")) / (F.col("df") + SMOOTH)
+    return pairs.filter((rate * 100 >= DISCLOSURE) & (F.log2(rate / F.col("share")) >= BITS)).select("term").distinct()
+
+
+def disclosures(docs: DataFrame) -> DataFrame:
+    """``dk tk spans`` of documents with an entity or a disclosing term; spans as in ``detect``."""
+    one = written(keyed(docs).dropDuplicates(["dk", "tk"]), "texts")
+    found = written(one.withColumn("base", entities(F.col("text"))).filter(F.size("base") > 0), "entities")
+    bad = written(disclosing_anywhere(one, found), "terms")
+    known = F.broadcast(bad) if bad.count() <= BROADCAST_TERMS else bad
+    holding = one.select("dk", "tk", F.explode(_terms(F.col("text"))).alias("term")).join(known, "term", "left_semi").select("dk", "tk").distinct()
+    # Each run of letters with the gap before it; running sums of lengths are places.
+    runs = F.arrays_zip(F.split("text", r"\p{L}+", -1).alias("gap"), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("run"))
+    placed = one.join(holding, ["dk", "tk"]).select("dk", "tk", F.posexplode(runs).alias("i", "r")).filter("r.run IS NOT NULL")
+    sums = F.sum(F.length("r.gap") + F.length("r.run")).over(Window.partitionBy("dk", "tk").orderBy("i"))
+    placed = placed.select("dk", "tk", sums.cast("int").alias("end"), F.length("r.run").alias("size"), F.lower("r.run").alias("term"))
+    more = placed.join(known, "term", "left_semi").groupBy("dk", "tk").agg(F.collect_list(F.struct((F.col("end") - F.col("size")).alias("start"), F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind"))).alias("more"))
+    base = F.coalesce("base", F.array().cast(S.KIND))
+    free = F.filter(F.coalesce("more", F.array().cast(S.KIND)), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    got = found.select("dk", "tk", "base").join(more, ["dk", "tk"], "full")
+    return got.select("dk", "tk", F.sort_array(F.concat(base, free)).alias("spans")).filter(F.size("spans") > 0)
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with entities in ``text`` replaced by their kind, and disclosing terms by ``[term]``."""
     p = fresh(docs.columns)
     keys = {f"{p}dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), f"{p}tk": F.xxhash64(F.coalesce("text", F.lit("")))}
-    found = detect(docs).select(F.col("dk").alias(f"{p}dk"), F.col("tk").alias(f"{p}tk"), F.col("spans").alias(f"{p}spans"))
+    found = disclosures(docs).select(F.col("dk").alias(f"{p}dk"), F.col("tk").alias(f"{p}tk"), F.col("spans").alias(f"{p}spans"))
     got = docs.withColumns(keys).join(found.hint("shuffle_hash"), list(keys), "left")
     spans = F.col(f"{p}spans")
     clean = S.replaced(F.coalesce("text", F.lit("")), F.coalesce(spans, F.array().cast(S.KIND)), lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))
@@ -161,6 +207,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(doc_id, *(S.how_many(spans, k).alias(f"n_{k}") for k in KINDS), F.sha2(S.written_out(base), 256).alias("base_sha256"), S.written_out(spans).alias("spans"))
 
 
+def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its entities and every place of a term that discloses one, of any frequency."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = keyed(docs).select("dk", "tk").join(disclosures(docs).hint("shuffle_hash"), ["dk", "tk"], "left")
+    spans = F.coalesce("spans", F.array().cast(S.KIND))
+    return got.select(F.when(F.col("dk") != -(2**63), F.col("dk")).alias("doc_id"), *(S.how_many(spans, k).alias(f"n_{k}") for k in (*KINDS, "term")), S.written_out(spans).alias("spans"))
+
+
 def _sql() -> str:
     rx = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -194,5 +248,5 @@ agg AS (SELECT doc_id, {', '.join(f'count(*) FILTER (WHERE ord = {i}) AS c{i}' f
 SELECT doc_id, {', '.join(f'coalesce(c{i}, 0) AS n_{k}' for i, k in enumerate(KINDS))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN agg USING (doc_id)"""
 
 
-QUERIES = {"op10_pii": op10_pii}
+QUERIES = {"op10_pii": op10_pii, "op10_pii_disclosure": op10_pii_disclosure}
 ORACLES = {"op10_pii": _sql()}
