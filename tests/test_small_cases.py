@@ -54,3 +54,20 @@ def test_split_keeps_groups_together(spark):
     rows = spark.range(300).select(F.col("id"), (F.col("id") % 40).alias("g"))
     got = evaluation.grouped_split(rows, F.col("g"))
     assert evaluation.split_leakage(got, "g").count() == 0
+
+
+def test_groups_take_links_beyond_the_five_nearest(spark, tmp_path):
+    """Two families of seven close texts whose only links to each other are no text's five nearest: one group."""
+    import random
+
+    from tideline.operators import dedupe
+    from tideline.plans import text_queries
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = " ".join(word(9) for _ in range(80))
+    rows = [(i, f"{base} {'quarrelsome' if i <= 7 else 'hydroponics'} {word(9)}") for i in range(1, 15)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["group_id"] for r in text_queries.QUERIES["duplicate_groups"](spark, str(tmp_path)).collect()} == {1}
+    pairs = dedupe.close_pairs(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), "item_id", "text").collect()
+    assert len({(r["lo"], r["hi"]) for r in pairs}) == 14 * 13 // 2

@@ -66,7 +66,7 @@ def near_pairs(spark, sf_dir):
 
 
 def groups(spark, sf_dir):
-    return dedupe.duplicate_groups(items(spark, sf_dir), "item_id", "text", tables.cut(near_pairs(spark, sf_dir)), tables.cut)
+    return dedupe.duplicate_groups(items(spark, sf_dir), "item_id", "text", tables.cut(dedupe.close_pairs(items(spark, sf_dir), "item_id", "text")), tables.cut)
 
 
 NORM = T.normalise_sql("text")
