@@ -1,7 +1,7 @@
 """Secret scanning over an incremental ledger of blobs.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger has a row per blob and rule
-version that was scanned, found or not. A scan takes each blob once, runs only the rule versions that the ledger
+version that was scanned, found or not; it is a Parquet folder that a scan reads and appends to. A scan takes each blob once, runs only the rule versions that the ledger
 lacks for it, and joins the findings of all rules back to every path and version that has the blob. Only
 built-in functions are used.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tideline.llm import spans as S
@@ -92,30 +93,55 @@ def found_in(ledger: DataFrame, rules=RULES) -> DataFrame:
     return rows.groupBy("blob").agg(F.sort_array(F.collect_list(made)).alias("spans"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with ``spans``, rows to add to the ledger). The new rows are written to the shared folder."""
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, or None where nothing was written yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan(docs: DataFrame, ledger: DataFrame | str | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings to join to rows by blob and salt, rows that the ledger lacked). ``ledger`` is a table, or the path of
+    a ledger: rows are appended there (by one scan at a time). Otherwise the new rows are written to the shared folder."""
+    spark, path = docs.sparkSession, ledger if isinstance(ledger, str) else None
+    if path:
+        ledger = read_ledger(spark, path)
     versions = addressed(docs.select(F.coalesce("text", F.lit("")).alias("text")))
     fresh = written(scan_unseen(blobs_of(versions), ledger, rules), "ledger")
-    found = found_in(fresh if ledger is None else ledger.unionByName(fresh), rules)
+    if path:
+        fresh.write.mode("append").parquet(path)
+        known = read_ledger(spark, path)
+    else:
+        known = fresh if ledger is None else ledger.unionByName(fresh)
+    found = found_in(known, rules)
     salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted, fresh
 
 
+def salt_of(docs: DataFrame) -> Column:
+    """By the row's id, so that a task that is run again deals its rows as before."""
+    return F.pmod(F.xxhash64(F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)), F.lit(SALTS)).cast("int")
+
+
 def with_spans(docs: DataFrame, salted: DataFrame, name: str = "spans") -> DataFrame:
     """``docs`` with the findings of each row's text as ``name``, which replaces a column of that name."""
     docs = docs.drop(name)
     p = fresh(docs.columns)
-    paths = docs.withColumns({f"{p}blob": F.sha2(F.coalesce("text", F.lit("")), 256), f"{p}salt": F.floor(F.rand(7) * SALTS).cast("int")})
+    paths = docs.withColumns({f"{p}blob": F.sha2(F.coalesce("text", F.lit("")), 256), f"{p}salt": salt_of(docs)})
     found = salted.select(F.col("blob").alias(f"{p}blob"), F.col("__salt").alias(f"{p}salt"), F.col("spans").alias(name))
     got = paths.join(found.hint("shuffle_hash"), [f"{p}blob", f"{p}salt"], "left")
     return got.withColumn(name, F.coalesce(name, F.array().cast(S.KIND))).drop(f"{p}blob", f"{p}salt")
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setting ``tideline.secret.ledger`` names the ledger that runs share; without it this run has one of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    salted, _ = scan(docs)
+    salted, _ = scan(docs, spark.conf.get("tideline.secret.ledger", None))
     # Only ids and addresses travel to the join.
-    paths = addressed(docs).select("doc_id", "blob", F.floor(F.rand(7) * SALTS).cast("int").alias("__salt"))
+    paths = addressed(docs).select("doc_id", "blob", salt_of(docs).alias("__salt"))
     got = paths.join(salted.hint("shuffle_hash"), ["blob", "__salt"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(S.KIND)))
     base = F.filter("spans", lambda s: s["ord"] < 3)
     return got.select("doc_id", *(S.how_many(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(S.written_out(base), 256).alias("base_sha256"), S.written_out(F.col("spans")).alias("spans"))
@@ -123,7 +149,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts: each span becomes ``[secret]``."""
-    salted, _ = scan(docs)
+    salted, _ = scan(docs, spark.conf.get("tideline.secret.ledger", None))
     spans = f"{fresh(docs.columns)}spans"
     got = with_spans(docs, salted, spans)
     text = S.replaced(F.coalesce("text", F.lit("")), F.col(spans), lambda s: F.lit("[secret]"))
