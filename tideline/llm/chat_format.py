@@ -8,10 +8,12 @@ so no text can forge a mark and the original can be read back.
 
 Output is a row per turn with the place of the turn and of its loss spans in the formatted conversation, both
 in code points. Turns of a conversation are streamed in order through one task and nothing of them is kept,
-so memory doesn't depend on how many turns a conversation has.
+so memory doesn't depend on how many turns a conversation has; its time does, as one task reads one conversation (and all
+rows without an id) from end to end.
 
 Defined cases: a null role is an empty one; a null text or content is empty; a part of unknown type is kept as
-a placeholder of that type; null conversation ids are one conversation; null
+a placeholder of that type, or as ``<|part|>`` where the type is a mark of the template or no plain name (the
+attachment has it as it is); null conversation ids are one conversation; null
 turn numbers come first; equal turn numbers go by role and then
 text, and repeated rows are repeated turns; extra columns are ignored.
 """
@@ -28,6 +30,8 @@ from tideline.llm.common import partitions, table
 
 PART = "struct<type:string,text:string,ref:string,n_tokens:int>"
 START, END = "<|im_start|>", "<|im_end|>"
+#: Types that a placeholder can name: plain names that are no mark of the template.
+PLAIN, MARKS = re.compile("[A-Za-z][A-Za-z0-9_]*"), {"im_start", "im_end"}
 #: Expanded tokens of a part that doesn't state its own.
 TOKENS = {"image": 256, "audio": 128, "document": 512}
 ATTACHMENT = "array<struct<part:int,type:string,ref:string,at:long,n_tokens:int>>"
@@ -67,7 +71,7 @@ class PartVisitor:
     def visit_attachment(self, index: int, kind: str, ref: str, n_tokens: int) -> None:
         self.attachments.append({"part": index, "type": kind, "ref": ref, "at": self.at, "n_tokens": n_tokens})
         self.tokens += n_tokens
-        self._write(f"<|{escape(kind)}|>")
+        self._write(f"<|{kind if PLAIN.fullmatch(kind) and kind not in MARKS else 'part'}|>")
 
     def _write(self, said: str) -> None:
         self.out.append(said)
