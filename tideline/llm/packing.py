@@ -29,8 +29,8 @@ from tideline.llm.common import partitions, table, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Words that a task remembers the ids of; the memory it takes stays under about 200 MB.
-REMEMBERED = 500_000
+#: Words that a task remembers the ids of, and the bytes of the longest of them: at most about 250 MB.
+REMEMBERED, LONGEST = 500_000, 48
 #: A plan up to so many runs (40 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_RUNS = 200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,7 +49,7 @@ class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes. The vocabulary drops white space before it
     splits further, so the ids of a text are those of its words in order. It also lowers case and splits
     punctuation from letters and digits, so ``Word,`` has the ids of ``word`` and of the comma: only roots are
-    encoded. Roots and words are remembered up to a number, and then forgotten."""
+    encoded. Short roots and words are remembered up to a number, and then forgotten; long ones are encoded each time."""
 
     def __init__(self, vocab: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
@@ -83,6 +83,7 @@ class WordIds(dict):
                 tail = None
             root = text.lower().encode() if latin(text) else text.encode()
         ids = self.roots.get(root)
+        short = len(word) <= LONGEST
         if ids is None:
             if root.isalpha():
                 ids = self._letters(root.decode())
@@ -92,12 +93,14 @@ class WordIds(dict):
                 ids = self._encoded(text)
             if len(self.roots) >= self.remembered:
                 self.roots.clear()
-            self.roots[root] = ids
+            if short:
+                self.roots[root] = ids
         if tail:
             ids += tail
         if len(self) >= self.remembered:
             self.clear()
-        self[word] = ids
+        if short:
+            self[word] = ids
         return ids
 
     def __call__(self, texts: list[bytes], end: bytes) -> list[bytes]:
