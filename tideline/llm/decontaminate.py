@@ -2,16 +2,19 @@
 
 A seed is a hash of the words at the set positions of a fixed mask; words at the other positions of its window
 don't matter. Seeds of the benchmark items and of the documents are joined; hits of one item in one document
-fall on diagonals (document position minus item position). Each diagonal with a hit is verified word by word
-over the whole item, so a passage is found although words of it were substituted: it counts when at least
-``SHARE`` hundredths of the item's words stand at their places. Only built-in functions are used.
+fall on diagonals (document position minus item position). The overlap around hits is verified word by word: the
+words of the item that stand in place on a diagonal with a hit, united over these diagonals, so that words may be
+substituted, put in or left out. An item contaminates a document that has ``SHARE`` hundredths of its words, or a
+stretch of the item with ``STRETCH`` of its words and no gap of more than ``GAP``. Only built-in functions are used.
 
 Words are lower-cased runs of letters and digits. The masks have five words each; items shorter than a window
-of the shortest mask are compared by a seed of all their words ("whole" mask of their length up to that).
+of the shortest mask are compared by a seed of all their words ("whole" mask of their length up to that). An item
+of fewer than ``LEAST`` words is no passage: only a document that consists of just these words is contaminated.
 
 The benchmark's seeds are broadcast only while they are at most ``BROADCAST_SEEDS`` (counted first); beyond that
-the join shuffles both sides by seed, and adaptive skew splitting applies. Hits are united per document, item
-and diagonal before anything else is done with them. A document's text is read twice and sent once.
+seeds of documents pass a bitmap of the benchmark's seeds (16 MB at most) and what is left is joined by a shuffle,
+where adaptive skew splitting applies. Hits are united per document, item and block of ``BLOCK`` diagonals; a row
+holds one such block, however repetitive the text. A document's text is read twice and sent once.
 
 Defined cases: null or empty texts and items have no words and match nothing; null item ids are left out; equal
 items each count; repeated rows of a document get the same answer; rows of one id with different texts are
@@ -29,8 +32,16 @@ from tideline.llm.common import fresh, table
 MASKS = ("1101101", "11100101")
 #: Hundredths of an item's words that must stand in place.
 SHARE = 80
-#: Seeds (a hash, an item, a position: 24 bytes) up to which the benchmark side is broadcast.
-BROADCAST_SEEDS = 500_000
+#: Words of a stretch of an item that count whatever the item's length, and the words that may be missing in a row.
+STRETCH, GAP = 20, 2
+#: Words from which an item is sought inside of documents.
+LEAST = 3
+#: Seeds (a hash, an item, a position: 24 bytes) up to which the benchmark side is broadcast, and items likewise.
+BROADCAST_SEEDS, BROADCAST_ITEMS = 500_000, 20_000
+#: Diagonals in a row at most.
+BLOCK = 1024
+#: Bits of the bitmap of seeds, in rows of 4 kB; ``ROW`` bits each.
+BITS, ROW = 1 << 27, 1 << 15
 SHORTEST = min(map(len, MASKS))
 
 
@@ -64,7 +75,7 @@ def short_seeds(words: Column, lengths: list[int]) -> Column:
 
     def of(n: int) -> Column:
         made = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda p: F.struct(p.alias("pos"), F.xxhash64(F.lit(-n), *(F.get(words, p + i) for i in range(n))).alias("seed")))
-        return F.when(F.size(words) >= n, made).otherwise(F.array().cast(SEED))
+        return F.when(F.size(words) >= n if n >= LEAST else F.size(words) == n, made).otherwise(F.array().cast(SEED))
 
     return F.concat(*map(of, lengths)) if lengths else F.array().cast(SEED)
 
@@ -75,29 +86,48 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("dk"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
+def slot(seed: str = "seed") -> dict[str, Column]:
+    """Row and bit of a seed in the bitmap."""
+    at = F.pmod(F.col(seed), F.lit(BITS))
+    return {"row": F.floor(at / ROW), "bit": F.pmod(at, F.lit(ROW))}
+
+
+def possible(mine: DataFrame, made: DataFrame) -> DataFrame:
+    """Rows of ``mine`` whose seed may be one of ``made``: all that are, and few others."""
+    bitmap = made.withColumns(slot()).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bitmap"))  # BITS / ROW rows at most
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = mine.withColumns(slot()).join(F.broadcast(bitmap), "row")
+    return placed.filter(F.call_function("getbit", byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1).select(*mine.columns)
+
+
+def contamination(docs: DataFrame, items: DataFrame, share: int = SHARE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """``dk tk n_items item_ids best``: contaminated documents, their items (comma-joined, in order) and the
     greatest share of an item's words found in place, in hundredths."""
     items = items.filter("item_id IS NOT NULL").select("item_id", word_hashes(F.col("text")).alias("iw")).filter(F.size("iw") > 0)
     lengths = sorted(r["n"] for r in items.filter(F.size("iw") < SHORTEST).select(F.size("iw").alias("n")).distinct().collect())  # at most SHORTEST - 1
     whole = F.when(F.size("iw") < SHORTEST, F.array(F.struct(F.lit(0).alias("pos"), F.coalesce(*(F.when(F.size("iw") == n, F.xxhash64(F.lit(-n), *(F.get("iw", F.lit(i)) for i in range(n)))) for n in range(1, SHORTEST))).alias("seed"))))
     made = items.select("item_id", F.inline(F.concat(seeds(F.col("iw")), F.coalesce(whole, F.array().cast(SEED))))).select("item_id", F.col("pos").alias("ipos"), "seed").distinct()
-    known = F.broadcast(made) if made.count() <= BROADCAST_SEEDS else made
     base = keyed(docs)
     words = base.select("dk", "tk", word_hashes(F.col("text")).alias("w"))
     mine = words.select("dk", "tk", F.inline(F.concat(seeds(F.col("w")), short_seeds(F.col("w"), lengths))))
-    hits = mine.join(known, "seed").select("dk", "tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct()
-    tried = hits.join(items, "item_id").groupBy("dk", "tk").agg(F.collect_list(F.struct("item_id", "diagonal", "iw")).alias("tried"))
-    placed = base.select("dk", "tk", "text").join(tried.hint("shuffle_hash"), ["dk", "tk"]).select("dk", "tk", "tried", word_hashes(F.col("text")).alias("w"))
-
-    def in_place(t: Column) -> Column:
-        found = F.size(F.filter(t["iw"], lambda x, i: F.coalesce(F.try_element_at(F.col("w"), F.when(t["diagonal"] + i >= 0, t["diagonal"] + i + 1)) == x, F.lit(False))))
-        return F.struct(t["item_id"].alias("item_id"), F.floor(found * 100 / F.size(t["iw"])).cast("long").alias("pct"), (found * 100 >= F.size(t["iw"]) * share).alias("hit"))
-
-    judged = placed.select("dk", "tk", F.filter(F.transform("tried", in_place), lambda t: t["hit"]).alias("hit")).filter(F.size("hit") > 0)
-    ids = F.array_sort(F.array_distinct(F.transform("hit", lambda t: t["item_id"])))
-    out = judged.select("dk", "tk", F.size(ids).cast("long").alias("n_items"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("item_ids"), F.array_max(F.transform("hit", lambda t: t["pct"])).alias("best"))
-    return out.dropDuplicates(["dk", "tk"])  # repeated rows of a document
+    hits = mine.join(F.broadcast(made), "seed") if made.count() <= broadcast_seeds else possible(mine, made).join(made, "seed")
+    hits = hits.select("dk", "tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"))
+    blocks = hits.groupBy("dk", "tk", "item_id", F.floor(F.col("diagonal") / BLOCK).alias("block")).agg(F.collect_set("diagonal").alias("diagonals"))
+    tried = blocks.join(F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items, "item_id")
+    placed = base.join(tried.hint("shuffle_hash"), ["dk", "tk"]).select("dk", "tk", "item_id", "iw", "diagonals", word_hashes(F.col("text")).alias("w"))
+
+    def in_place(g: Column) -> Column:
+        there = lambda k: F.try_element_at(F.col("w"), F.when(g + k >= 0, g + k + 1)) == F.get("iw", k)
+        return F.filter(F.sequence(F.lit(0), F.size("iw") - 1), lambda k: F.coalesce(there(k), F.lit(False)))
+
+    found = placed.select("dk", "tk", "item_id", F.size("iw").alias("n"), F.array_distinct(F.flatten(F.transform("diagonals", in_place))).alias("places"))
+    united = found.groupBy("dk", "tk", "item_id", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("p"))
+    apart = lambda i: (i == 0) | (i == F.size("p")) | (F.get("p", i) - F.get("p", i - 1) > GAP + 1)
+    united = united.withColumn("edges", F.filter(F.sequence(F.lit(0), F.size("p")), lambda i: F.coalesce(apart(i), F.lit(True))))
+    longest = F.array_max(F.transform("edges", lambda e, i: F.coalesce(F.get("edges", i + 1) - e, F.lit(0))))
+    hit = united.filter((F.size("p") * 100 >= F.col("n") * share) | (longest >= STRETCH)).select("dk", "tk", "item_id", F.floor(F.size("p") * 100 / F.col("n")).cast("long").alias("pct"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",")
+    return hit.groupBy("dk", "tk").agg(F.count("*").alias("n_items"), ids.alias("item_ids"), F.max("pct").alias("best"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
@@ -130,10 +160,12 @@ def _sql() -> str:
 d AS (SELECT doc_id AS key, {tok('text')} AS w FROM documents), i AS (SELECT item_id AS key, {tok('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
 ds AS ({seed('d')}), bs AS ({seed('i')}),
 hits AS (SELECT DISTINCT ds.key AS doc_id, bs.key AS item_id, ds.p - bs.p AS g FROM ds JOIN bs USING (m, s)
-  UNION SELECT d.key, i.key, q.p FROM d, i, LATERAL (SELECT unnest(range(0, len(d.w) - len(i.w) + 1)) AS p) q WHERE len(i.w) BETWEEN 1 AND {SHORTEST - 1} AND d.w[q.p + 1:q.p + len(i.w)] = i.w),
-v AS (SELECT hits.doc_id, hits.item_id, len(list_filter(range(1, len(i.w) + 1), lambda k: k + g >= 1 AND k + g <= len(d.w) AND d.w[CASE WHEN k + g >= 1 THEN k + g ELSE len(d.w) + 1 END] = i.w[k])) AS c, len(i.w) AS n
-  FROM hits JOIN d ON d.key = hits.doc_id JOIN i ON i.key = hits.item_id),
-h AS (SELECT doc_id, item_id, CAST(floor(c * 100 / n) AS BIGINT) AS pct FROM v WHERE c * 100 >= n * {SHARE}),
+  UNION SELECT d.key, i.key, q.p FROM d, i, LATERAL (SELECT unnest(range(0, len(d.w) - len(i.w) + 1)) AS p) q WHERE len(i.w) BETWEEN 1 AND {SHORTEST - 1} AND (len(i.w) >= {LEAST} OR len(d.w) = len(i.w)) AND d.w[q.p + 1:q.p + len(i.w)] = i.w),
+pl AS (SELECT DISTINCT doc_id, item_id, k, len(iw) AS n FROM (SELECT hits.doc_id, hits.item_id, d.w AS dw, i.w AS iw, g, unnest(range(1, len(i.w) + 1)) AS k FROM hits JOIN d ON d.key = hits.doc_id JOIN i ON i.key = hits.item_id)
+  WHERE k + g BETWEEN 1 AND len(dw) AND dw[k + g] = iw[k]),
+isl AS (SELECT *, sum(edge) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS isle FROM (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) <= {GAP + 1} THEN 0 ELSE 1 END AS edge FROM pl)),
+run AS (SELECT doc_id, item_id, n, isle, count(*) AS c FROM isl GROUP BY ALL),
+h AS (SELECT doc_id, item_id, CAST(floor(sum(c) * 100 / n) AS BIGINT) AS pct FROM run GROUP BY doc_id, item_id, n HAVING sum(c) * 100 >= n * {SHARE} OR max(c) >= {STRETCH}),
 a AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(pct) AS best FROM h GROUP BY doc_id),
 l AS (SELECT doc_id, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(best, 0) AS best_share
