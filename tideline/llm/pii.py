@@ -13,12 +13,12 @@ discloses any entity is a span at each of its places in every document. ``saniti
 use it; ``sanitise`` replaces entities by their kind and generalises terms to ``[term]``. Only built-in functions
 are used.
 
-Only documents with entities (few) are exploded to contexts; frequencies of the terms in question are counted
-over all documents with partial sums. Terms and entities are counted per document, so no pairs of documents
+Only documents with entities (few) are exploded to contexts; frequencies of terms are counted over all documents
+with partial sums before they are joined. Terms and entities are counted per document, so no pairs of documents
 or of entities are made.
 
-Defined cases: a null text is empty; repeated rows and rows of one id with different texts are judged by text
-(rows equal in id and text count once in the statistics); null ids are kept; offsets are code points; an empty
+Defined cases: a null text is empty; rows of one id with different texts are judged by text; repeated rows get the
+same spans and count as often as they stand in all four counts; null ids are kept; offsets are code points; an empty
 table gives an empty result; extra columns are ignored. Texts are read whole.
 """
 
@@ -105,13 +105,24 @@ def _pieces(text: Column, at: Column) -> Column:
     return F.filter(inner, lambda t: F.length(t["term"]) >= TERM_CHARS)
 
 
+def with_entities(docs: DataFrame) -> DataFrame:
+    """``dk tk text base m ents`` of documents with entities, written: ``m`` rows are this document, ``ents`` are the
+    entities as (entity, left, before, right, after) with the text around each."""
+    scanned = keyed(docs).withColumn("base", entities(F.col("text"))).filter(F.size("base") > 0)
+    found = scanned.groupBy("dk", "tk").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("m"))
+
+    def around(pieces: Column, e: Column) -> Column:
+        left = F.greatest(e["start"] - CONTEXT, F.lit(0))
+        name = F.concat_ws(":", e["kind"], S.taken(pieces, e["start"], e["end"]))
+        return F.struct(name.alias("entity"), left.alias("left"), S.taken(pieces, left, e["start"]).alias("before"), e["end"].alias("right"), S.taken(pieces, e["end"], e["end"] + CONTEXT).alias("after"))
+
+    return written(found.withColumn("ents", S.let(S.chunks(F.col("text")), lambda pieces: F.transform("base", lambda e: around(pieces, e)))), "entities")
+
+
 def contexts(found: DataFrame) -> DataFrame:
-    """From ``dk tk text base``: ``dk tk entity start end term``, the terms around each entity."""
-    rows = found.select("dk", "tk", "text", F.explode("base").alias("e"))
-    left, right = F.greatest(F.col("e.start") - CONTEXT, F.lit(0)), F.col("e.end")
-    before, after = F.substr("text", left + 1, F.col("e.start") - left), F.substr("text", right + 1, F.lit(CONTEXT))
-    name = F.concat_ws(":", F.col("e.kind"), F.substr("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")))
-    return rows.select("dk", "tk", name.alias("entity"), F.inline(F.concat(_pieces(before, left), _pieces(after, right))))
+    """``dk tk m entity start end term``, the terms around each entity."""
+    rows = found.select("dk", "tk", "m", F.inline("ents"))
+    return rows.select("dk", "tk", "m", "entity", F.inline(F.concat(_pieces(F.col("before"), F.col("left")), _pieces(F.col("after"), F.col("right")))))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -119,26 +130,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("dk"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
+def entity_counts(found: DataFrame) -> DataFrame:
+    """``entity n``: the documents that have it."""
+    return found.select("dk", "tk", "m", F.explode(F.array_distinct(F.transform("ents", lambda e: e["entity"]))).alias("entity")).groupBy("entity").agg(F.sum("m").alias("n"))
+
+
+def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
+    """``term df``: counted with partial sums in each task, before anything is joined."""
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def disclosing(docs: DataFrame, around: DataFrame, found: DataFrame) -> DataFrame:
     """``entity term`` pairs beyond the disclosure thresholds; ``around`` are the contexts of ``docs``."""
-    pairs = around.select("dk", "tk", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= SUPPORT)
-    pairs = written(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    mine = keyed(docs).select("dk", "tk", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    seen = mine.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
-    df = seen.groupBy("term").agg(F.count_distinct("dk", "tk").alias("df"))
-    of = found.select("dk", "tk", F.explode("base").alias("e"), "text")
-    of = of.select("dk", "tk", F.concat_ws(":", F.col("e.kind"), F.substr("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n"))
-    total = docs.agg(F.count("*").alias("total"))
-    bits = F.log2(F.col("co") * F.col("total") / (F.col("df") * F.col("n")))
-    rated = pairs.join(df, "term").join(of, "entity").crossJoin(F.broadcast(total))
+    pairs = around.select("dk", "tk", "m", "entity", "term").distinct().groupBy("entity", "term").agg(F.sum("m").alias("co")).filter(F.col("co") >= SUPPORT)
+    df = term_counts(keyed(docs), F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")))
+    total = docs.agg(F.count("*").alias("total")).scalar()
+    bits = F.log2(F.col("co") * total / (F.col("df") * F.col("n")))
+    rated = pairs.join(df, "term").join(entity_counts(found), "entity")
     return rated.filter((F.col("co") * 100 >= F.col("df") * DISCLOSURE) & (bits >= BITS)).select("entity", "term")
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """``dk tk spans`` of documents with any; spans are structs (start, ord, end, kind)."""
-    # Texts of documents with entities, and nothing else, are written.
-    found = written(keyed(docs).withColumn("base", entities(F.col("text"))).filter(F.size("base") > 0).dropDuplicates(["dk", "tk"]), "entities")
+    found = with_entities(docs)
     around = contexts(found)
     bad = disclosing(docs, around, found)
     more = around.join(bad, ["entity", "term"]).select("dk", "tk", F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind")).alias("s")).distinct()
@@ -152,27 +166,36 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(runs, lambda w: F.length(w) >= TERM_CHARS))
 
 
-def disclosing_anywhere(one: DataFrame, found: DataFrame) -> DataFrame:
-    """Terms that disclose an entity of any frequency; ``one`` are distinct documents, ``found`` those with ``base``."""
-    exploded = lambda d: d.select("dk", "tk", F.explode(_terms(F.col("text"))).alias("term"))
-    df = exploded(one).groupBy("term").agg(F.count("*").alias("df"))
-    near = exploded(found)
+def disclosing_anywhere(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Terms that disclose an entity of any frequency; ``found`` as of ``with_entities``.
+
+    A term of one document discloses if that document's rarest entity is rare enough. A term of more needs an entity
+    in two of them at least (``co >= (df + 1) / 2 - share``, and ``share`` is under a half), so entities that stand
+    in one document make no pairs."""
+    near = found.select("dk", "tk", "m", F.explode(_terms(F.col("text"))).alias("term"))
     # No entity has a term more often than documents with entities do: the others can't reach the rate.
-    able = near.groupBy("term").agg(F.count("*").alias("most")).join(df, "term").filter((F.col("most") + SMOOTH) * 100 >= (F.col("df") + SMOOTH) * DISCLOSURE)
+    most = near.groupBy("term").agg(F.sum("m").alias("most"))
+    able = most.join(term_counts(keyed(docs), _terms(F.col("text"))), "term").filter((F.col("most") + SMOOTH) * 100 >= (F.col("df") + SMOOTH) * DISCLOSURE)
     able = written(able.select("term", "df"), "able")
-    named = found.select("dk", "tk", "text", F.explode("base").alias("e"))
-    ents = named.select("dk", "tk", F.concat_ws(":", F.col("e.kind"), F.substr("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))).alias("entity")).distinct()
-    share = ents.groupBy("entity").agg(F.count("*").alias("n")).crossJoin(F.broadcast(one.agg(F.count("*").alias("total")))).select("entity", (F.col("n") / F.col("total")).alias("share"))
-    pairs = near.join(able, "term").join(ents, ["dk", "tk"]).groupBy("entity", "term", "df").agg(F.count("*").alias("co")).join(share, "entity")
+    total = docs.agg(F.count("*").alias("total")).scalar()
+    share = written(entity_counts(found).select("entity", "n", (F.col("n") / total).alias("share")), "shares")
+    ents = found.select("dk", "tk", "m", F.explode(F.array_distinct(F.transform("ents", lambda e: e["entity"]))).alias("entity")).join(share, "entity")
     rate = (F.col("co") + SMOOTH * F.col("share")) / (F.col("df") + SMOOTH)
-    return pairs.filter((rate * 100 >= DISCLOSURE) & (F.log2(rate / F.col("share")) >= BITS)).select("term").distinct()
+    discloses = (rate * 100 >= DISCLOSURE) & (F.log2(rate / F.col("share")) >= BITS)
+    here = near.join(able, "term")
+    rarest = ents.groupBy("dk", "tk").agg(F.min("share").alias("share"))
+    single = here.filter("df = 1").withColumn("co", F.col("m")).join(rarest, ["dk", "tk"]).filter(discloses).select("term")
+    pairs = here.filter("df > 1").select("dk", "tk", "m", "term", "df").join(ents.filter("n > 1").select("dk", "tk", "entity", "share"), ["dk", "tk"])
+    several = pairs.groupBy("entity", "term", "df", "share").agg(F.sum("m").alias("co")).filter(discloses).select("term")
+    return single.union(several).distinct()
 
 
 def disclosures(docs: DataFrame) -> DataFrame:
-    """``dk tk spans`` of documents with an entity or a disclosing term; spans as in ``detect``."""
+    """``dk tk spans`` of documents with an entity or a disclosing term; spans as in ``detect``. A term that an entity
+    overlaps is no span of its own."""
     one = written(keyed(docs).dropDuplicates(["dk", "tk"]), "texts")
-    found = written(one.withColumn("base", entities(F.col("text"))).filter(F.size("base") > 0), "entities")
-    bad = written(disclosing_anywhere(one, found), "terms")
+    found = with_entities(docs)
+    bad = written(disclosing_anywhere(docs, found), "terms")
     known = F.broadcast(bad) if bad.count() <= BROADCAST_TERMS else bad
     holding = one.select("dk", "tk", F.explode(_terms(F.col("text"))).alias("term")).join(known, "term", "left_semi").select("dk", "tk").distinct()
     # Each run of letters with the gap before it; running sums of lengths are places.
@@ -180,11 +203,15 @@ def disclosures(docs: DataFrame) -> DataFrame:
     placed = one.join(holding, ["dk", "tk"]).select("dk", "tk", F.posexplode(runs).alias("i", "r")).filter("r.run IS NOT NULL")
     sums = F.sum(F.length("r.gap") + F.length("r.run")).over(Window.partitionBy("dk", "tk").orderBy("i"))
     placed = placed.select("dk", "tk", sums.cast("int").alias("end"), F.length("r.run").alias("size"), F.lower("r.run").alias("term"))
-    more = placed.join(known, "term", "left_semi").groupBy("dk", "tk").agg(F.collect_list(F.struct((F.col("end") - F.col("size")).alias("start"), F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind"))).alias("more"))
-    base = F.coalesce("base", F.array().cast(S.KIND))
-    free = F.filter(F.coalesce("more", F.array().cast(S.KIND)), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    got = found.select("dk", "tk", "base").join(more, ["dk", "tk"], "full")
-    return got.select("dk", "tk", F.sort_array(F.concat(base, free)).alias("spans")).filter(F.size("spans") > 0)
+    terms = placed.join(known, "term", "left_semi").select("dk", "tk", (F.col("end") - F.col("size")).alias("start"), F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind"))
+    every = terms.unionByName(found.select("dk", "tk", F.inline("base")))
+    # In order of starts: an entity that started before reaches into the term, or one starts inside of it.
+    start = F.when(F.col("ord") < len(KINDS), F.col("start"))
+    upto = Window.partitionBy("dk", "tk").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("dk", "tk").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    every = every.withColumns({"reach": F.max(F.when(start.isNotNull(), F.col("end"))).over(upto), "next": F.min(start).over(onward)})
+    free = every.filter((F.col("ord") < len(KINDS)) | (F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))))
+    return free.groupBy("dk", "tk").agg(F.sort_array(F.collect_list(F.struct("start", "ord", "end", "kind"))).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
