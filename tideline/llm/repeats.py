@@ -5,9 +5,9 @@ leftmost on ties. Equal windows have equal anchors at equal places, so windows o
 anchor, and consecutive windows share one. A *run* is a maximal stretch of windows with the same anchor.
 
 Items (a key, and a place in a document) are dealt to buckets in packed rows, one row per task and bucket, and
-grouped there; what comes back is packed places per bucket of documents. An anchor that a large share of all documents
-has would load one bucket: a sample finds such anchors, and their windows are dealt one by one, by their own
-content. The sample only decides the way rows take, never the result.
+grouped there; what comes back is packed places per bucket of documents. An anchor that has a large share of a
+bucket's items would load it: a sample finds such anchors (at most ``SHARES`` per bucket), and their windows are
+dealt one by one, by their own content. The sample only decides the way rows take, never the result.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.llm.common import written
+
 BASE = 0x9E3779B97F4A7C15
 INDEX_BITS = 22
 INDEX = np.uint64((1 << INDEX_BITS) - 1)
 #: Items that a task packs at a time.
 FLUSH = 600_000
-SAMPLE = 0.02
-#: Occurrences of an anchor from which it counts as hot, and the most hot anchors (8 bytes each) broadcast.
-HOT, MOST_HOT = 20_000, 500_000
+SAMPLE = 0.01
+#: Occurrences of an anchor, and the share of an average bucket (one of so many), from which it counts as hot.
+HOT, SHARES = 20_000, 8
 PACKED = "bucket int, docs binary, lanes binary, pos binary, flag binary"
 PLACES = "bucket int, spans binary"
 
@@ -192,24 +194,24 @@ class Dealer:
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 256], t) for c, t in zip(rows, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "docs", "lanes", "pos", "flag"])
 
 
+def unpacked_row(docs, lane, pos, flag, lanes: int):
+    """Items of a row: (dk, tk, keys, pos, flag); keys of flag 1 are absent."""
+    head = np.frombuffer(docs.as_buffer(), np.int64).reshape(3, -1)
+    flag = np.frombuffer(flag.as_buffer(), np.uint8)
+    raw = pos.as_buffer()
+    step = np.frombuffer(raw, "<i4" if raw.size == 4 * len(flag) else "<i8").astype(np.int64)
+    total = np.cumsum(step)
+    starts = np.cumsum(head[2]) - head[2]
+    place = total - np.repeat(total[starts] - step[starts], head[2])
+    return np.repeat(head[0], head[2]), np.repeat(head[1], head[2]), np.frombuffer(lane.as_buffer(), np.uint64).reshape(lanes, -1), place, flag
+
+
 def unpacked(batches, lanes: int):
     """All items of a bucket's rows: (dk, tk, keys, pos, flag); keys of flag 1 are absent."""
-    heads, keys, places, flags = [], [], [], []
-    for batch in batches:
-        for docs, lane, pos, flag in zip(*(batch.column(i) for i in (1, 2, 3, 4)), strict=True):
-            head = np.frombuffer(docs.as_buffer(), np.int64).reshape(3, -1)
-            flag = np.frombuffer(flag.as_buffer(), np.uint8)
-            raw = pos.as_buffer()
-            step = np.frombuffer(raw, "<i4" if raw.size == 4 * len(flag) else "<i8").astype(np.int64)
-            total = np.cumsum(step)
-            starts = np.cumsum(head[2]) - head[2]
-            places.append(total - np.repeat(total[starts] - step[starts], head[2]))
-            heads.append((np.repeat(head[0], head[2]), np.repeat(head[1], head[2])))
-            keys.append(np.frombuffer(lane.as_buffer(), np.uint64).reshape(lanes, -1))
-            flags.append(flag)
-    if not heads:
+    rows = [unpacked_row(*row, lanes) for batch in batches for row in zip(*(batch.column(i) for i in (1, 2, 3, 4)), strict=True)]
+    if not rows:
         return None
-    return *(np.concatenate(x) for x in zip(*heads, strict=True)), np.concatenate(keys, axis=1), np.concatenate(places), np.concatenate(flags)
+    return tuple(np.concatenate(x, axis=-1) for x in zip(*rows, strict=True))
 
 
 def joined_spans(dk: np.ndarray, tk: np.ndarray, first: np.ndarray, many: np.ndarray) -> list[np.ndarray]:
@@ -264,6 +266,15 @@ def read_spans(places: bytes | None) -> np.ndarray:
     return np.frombuffer(places or b"", np.int64).reshape(-1, 2)
 
 
+def marked(places: list[np.ndarray], docs: np.ndarray, bases: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which symbols of a block are at one of the ``places`` (spans of each document)."""
+    out = np.zeros(int(sizes.sum()), bool)
+    for d, b, s, n in zip(docs.tolist(), bases.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+        spot = ragged(places[d][:, 0], places[d][:, 1]) - b
+        out[s + spot[(spot >= 0) & (spot < n)]] = True
+    return out
+
+
 def covered(spans: np.ndarray, width: int, size: int) -> np.ndarray:
     """Which of ``size`` symbols are inside a window that starts in one of the spans."""
     edge = np.zeros(size + 1, np.int64)
@@ -292,22 +303,19 @@ def repeated_places(packed: DataFrame, lanes: int, n_buckets: int) -> DataFrame:
     return packed.repartitionById(n_buckets, F.col("bucket")).mapInArrow(settle, PLACES)
 
 
-def hot_anchors(base: DataFrame, anchors_of: Callable[[list[str]], np.ndarray], fraction: float = SAMPLE, hot: int = HOT) -> np.ndarray:
-    """Sorted hashes of anchors that a sample of documents shows to occur more than about ``hot`` times."""
+def hot_anchors(base: DataFrame, anchors_of: Callable[[list[str]], np.ndarray], n_buckets: int, fraction: float = SAMPLE, hot: int = HOT) -> np.ndarray:
+    """Sorted hashes of anchors that a sample of documents shows to occur more than about ``hot`` times and to have
+    a ``SHARES``-th of an average bucket: at most ``SHARES * n_buckets`` of them, 8 bytes each."""
 
     def run(batches):
         for batch in batches:
             found, n = np.unique(anchors_of(batch.column(0).to_pylist()), return_counts=True)
-            keep = n >= 2
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["anchor", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
     seen = base.sample(fraction, seed=1).select("text").mapInArrow(run, "anchor long, n long")
-    seen = seen.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot * fraction)
-    least = hot * fraction
-    got = seen.limit(MOST_HOT + 1).collect()
-    while len(got) > MOST_HOT:  # the most frequent are what matters; a longer list is not broadcast
-        least *= 4
-        got = seen.filter(F.col("n") >= least).limit(MOST_HOT + 1).collect()
+    seen = written(seen.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    got = seen.filter(F.col("n") >= max(hot * fraction, total / (SHARES * n_buckets))).select("anchor").collect()
     return np.sort(np.array([r["anchor"] for r in got], np.int64).view(np.uint64))
 
 

@@ -7,11 +7,11 @@ Three steps, each dealt by content. (1) Every string has an anchor (see ``repeat
 in the corpus rule out the strings that have them. (2) For the other anchors the stretch of text under their
 strings is sent to the bucket of the anchor, which sorts the suffixes that start there by ``width`` bytes
 (``deep_shallow``); neighbours that agree in all of them are equal strings, and all but the earliest are
-removed. Stretches with equal text are one stretch: only the earliest is sorted and the others are removed.
-(3) Spans go back to their documents.
+removed. Stretches with equal text are one stretch: only the earliest is sorted and the others are removed; equal
+hashes find them and their bytes are compared. (3) Spans go back to their documents.
 
-Anchors that a large share of documents has are found on a sample; they need no counting, and their strings are
-dealt one by one. Equal stretches are united in each task before they are sent, so copies load no bucket.
+Anchors that have a large share of a bucket are found on a sample; they need no counting, and their strings are
+dealt one by one, each by all of its bytes. Equal stretches are united in each task before they are sent, so copies load no bucket.
 
 Defined cases: a null text is empty; texts shorter than ``width`` bytes keep all; rows equal in id and text are
 one document and get the same answer; rows of one id with different texts are ordered by a hash of the text; a
@@ -35,6 +35,8 @@ WIDTH, GRAM = 100, 40
 CHUNK = BLOCK = 1 << 20
 #: Bytes of stretches that a task holds before it passes them on.
 HELD = 16 << 20
+#: Bytes compared at a time.
+VERIFIED = 1 << 20
 SYMBOLS = [R.mix(np.arange(1, 257, dtype=np.uint64), s) for s in (3, 5)]
 STRETCHES = "bucket int, meta binary, data binary, known binary"
 
@@ -100,6 +102,20 @@ def pieces_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[R.ragged(first, size)]
 
 
+def same_text(again: np.ndarray, order: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of rows in ``order`` that agree in their hashes with the one before (``again``), those that agree in all bytes."""
+    rows = np.flatnonzero(again)
+    total = np.cumsum(size[order[rows]])
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + VERIFIED, "right")))
+        this, last = order[rows[a:b]], order[rows[a:b] - 1]
+        equal = pieces_of(data, at[this], size[this]) == pieces_of(data, at[last], size[last])
+        again[rows[a:b]] = np.logical_and.reduceat(equal, np.cumsum(size[this]) - size[this])
+        a = b
+    return again
+
+
 class Stretches:
     """Gathers stretches of a task, unites equal ones and packs the rest per bucket."""
 
@@ -124,7 +140,7 @@ class Stretches:
             size = many + self.width - 1
             at = np.cumsum(size) - size
             order = np.lexsort((pos, tk, dk, many, two, one, anchor))
-            again = R.same_as_before([x[order] for x in (anchor, one, two, many)])
+            again = same_text(R.same_as_before([x[order] for x in (anchor, one, two, many)]), order, data, at, size)
             keep, known = np.sort(order[~again]), order[in_others(again, *(x[order] for x in (dk, tk, pos)))]
             self.turn += 1
             away = (R.mix(tk[known].view(np.uint64), self.turn) % np.uint64(self.n)).astype(np.int32)
@@ -174,7 +190,7 @@ def later_strings(stretches: DataFrame, n_buckets: int, width: int) -> DataFrame
             for i, s in enumerate(SYMBOLS):
                 hashes[i, a:b] = range_hashes(s[part], at[a:b] - at[a], size[a:b])
         order = np.lexsort((pos, tk, dk, many, hashes[1], hashes[0], anchor))
-        again = R.same_as_before([x[order] for x in (anchor, hashes[0], hashes[1], many)])
+        again = same_text(R.same_as_before([x[order] for x in (anchor, hashes[0], hashes[1], many)]), order, data, at, size)
         gone = order[in_others(again, *(x[order] for x in (dk, tk, pos)))]
         out.append(np.stack([dk[gone], tk[gone], pos[gone], many[gone]]))
         left = order[~again]  # sorted by anchor: an anchor with one stretch left needs no sorting
@@ -225,7 +241,7 @@ def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id
         found = [R.runs_of(SYMBOLS[0][raw], sizes, width, gram).anchor for raw, sizes, _, _ in blocks(texts, width)]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-    hot = spark.sparkContext.broadcast(R.hot_anchors(base, anchors_of))
+    hot = spark.sparkContext.broadcast(R.hot_anchors(base, anchors_of, n_buckets))
     any_hot = len(hot.value) > 0
     marks = R.gathered(repeated_anchors(base, hot, width, gram), n_buckets)
 
@@ -237,10 +253,8 @@ def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id
             if not any_hot:
                 texts = [t if len(p) else "" for t, p in zip(texts, places, strict=True)]
             for raw, sizes, docs_, bases in blocks(texts, width):
-                marked, starts = np.zeros(len(raw), bool), np.cumsum(sizes) - sizes
-                for d, b, s, n in zip(docs_.tolist(), bases.tolist(), starts.tolist(), sizes.tolist(), strict=True):
-                    spot = R.ragged(places[d][:, 0], places[d][:, 1]) - b
-                    marked[s + spot[(spot >= 0) & (spot < n)]] = True
+                starts = np.cumsum(sizes) - sizes
+                marked = R.marked(places, docs_, bases, starts, sizes)
                 symbols = SYMBOLS[0][raw]
                 runs = R.runs_of(symbols, sizes, width, gram)
                 common = R.is_in(hot.value, runs.anchor)
