@@ -1,11 +1,12 @@
 """Removal of word windows that occur more than once, behind a count-min prefilter.
 
-First pass: each task counts the anchors of its windows (see ``repeats``) in a count-min sketch with counters
-that stop at two; partition sketches are merged slice by slice and the plane of counters that reached two is
-broadcast. Its size is fixed (``depth * 2**log_width`` bits, 16 MB), whatever the corpus. An anchor occurs at
-least as often as any window that has it, and a sketch never counts too little, so no repeated window is lost;
-a full sketch only lets more windows through. Second pass: windows whose anchor is estimated repeated are
-grouped exactly, by 128-bit hashes of their words.
+First pass: each task deals the anchors of its windows (see ``repeats``) to buckets. A bucket's rows come in order:
+the numbers of anchors, which size a count-min sketch of counters that stop at two; the tasks' own counts, which are
+merged into it; then the places of the anchors, which are looked up in it as they pass. So memory is ``DEPTH`` rows of
+counters, ``ROOM`` to each anchor that was dealt to the bucket and never the anchors themselves, and the share that
+passes wrongly is the same at every size of the corpus: ``(1 - exp(-1 / ROOM)) ** DEPTH``, 5 %. An anchor occurs at
+least as often as any window that has it, and a sketch never counts too little, so no repeated window is lost.
+Second pass: windows whose anchor is estimated repeated are grouped exactly, by 128-bit hashes of their words.
 
 Defined cases: a null or blank text has no words and keeps none; texts of fewer than ``width`` words keep all;
 rows equal in id and text are separate documents that repeat each other, rows of one id with different texts
@@ -25,10 +26,11 @@ from tideline.llm import repeats as R
 from tideline.llm.common import partitions, table
 
 WIDTH, GRAM = 35, 18
-DEPTH, LOG_WIDTH, LOG_SLICES = 2, 26, 6
+DEPTH, ROOM = 2, 4
 CHUNK, BLOCK = 100_000, 150_000
-#: Sketch positions that a task holds before it passes them on.
-HELD = 1_000_000
+DEALT = "bucket int, kind int, n long, docs binary, lanes binary, pos binary, flag binary"
+#: Kinds of dealt rows, in the order in which a bucket reads them.
+COUNTS, SKETCH, ITEMS = 0, 1, 2
 
 
 def word_lanes(words: list[bytes]) -> np.ndarray:
@@ -60,92 +62,119 @@ def blocks(texts: list[str], width: int = WIDTH) -> Iterator[tuple[np.ndarray, n
         yield word_lanes(words), np.array(sizes), np.array(docs), np.array(bases)
 
 
-def cells_of(anchors: np.ndarray, log_width: int) -> list[np.ndarray]:
-    return [R.mix(anchors, 11 + row) >> np.uint64(64 - log_width) for row in range(DEPTH)]
+class Sketch:
+    """Count-min counters that stop at two, ``2 ** log_width`` in each row."""
 
+    def __init__(self, log_width: int):
+        self.log_width, self.rows = log_width, np.zeros((DEPTH, 1 << log_width), np.uint8)
 
-def repeated_sketch(base: DataFrame, log_width: int = LOG_WIDTH, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
-    """The counters (as packed bits, row after row) that two or more anchors fell on."""
-    log_slice = log_width - LOG_SLICES
+    def _cells(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, row in enumerate(self.rows):
+            yield row, (R.mix(keys, 11 + i) >> np.uint64(64 - self.log_width)).astype(np.int64)
 
-    def parts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchors = np.concatenate(held) if held else np.zeros(0, np.uint64)
-        for row, cell in enumerate(cells_of(anchors, log_width)):
-            cell, n = np.unique(cell, return_counts=True)
-            place = (cell & np.uint64((1 << log_slice) - 1)).astype("<u4")
-            edges = np.searchsorted(cell, np.arange((1 << LOG_SLICES) + 1, dtype=np.uint64) << np.uint64(log_slice))
-            out: list[list] = [[], [], []]
-            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if b > a:
-                    for column, value in zip(out, ((row << LOG_SLICES) + s, place[a:b][n[a:b] == 1].tobytes(), place[a:b][n[a:b] > 1].tobytes()), strict=True):
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        for row, cell in self._cells(keys):
+            order = np.argsort(cell, kind="stable")
+            cell, first = np.unique(cell[order], return_index=True)
+            row[cell] = np.minimum(row[cell] + np.add.reduceat(counts[order].astype(np.int64), first), 2)
+
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for row, cell in self._cells(keys):
+            out &= row[cell] > 1
+        return out
+
+
+def estimated_repeated(base: DataFrame, log_width: int | None, width: int, gram: int) -> DataFrame:
+    """The places of anchors that a sketch estimates to occur more than once, as ``PLACES`` rows of ``repeats``."""
+    n_buckets = partitions(base.sparkSession)
+
+    def with_counts(batches):
+        """Each packed row, and before it its number of keys and its part of the sketch."""
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for bucket, docs, lanes, pos, flag in zip(*(batch.column(i) for i in range(5)), strict=True):
+                flags = np.frombuffer(flag.as_buffer(), np.uint8)
+                sent = flags[flags != 1]
+                for row in ((COUNTS, len(sent), b"", b"", b"", b""), (SKETCH, 0, b"", lanes.as_py(), b"", sent.tobytes()), (ITEMS, 0, docs.as_py(), lanes.as_py(), pos.as_py(), flag.as_py())):
+                    for column, value in zip(out, (bucket.as_py(), *row), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "once", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "kind", "n", "docs", "lanes", "pos", "flag"])
 
-    def count(batches):
-        held, n = [], 0
+    def deal(batches):
+        dealer = R.Dealer(n_buckets, 1)
         for batch in batches:
-            for lanes, sizes, _, _ in blocks(batch.column(0).to_pylist(), width):
-                held.append(R.runs_of(lanes[:, 0], sizes, width, gram).anchor)
-                n += len(held[-1])
-                if n > HELD:
-                    yield from parts(held)
-                    held, n = [], 0
-        yield from parts(held)
-
-    def merge(batches):
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            dk, tk, texts = (batch.column(i).to_pylist() for i in range(3))
+            offset = len(dealer.docs)
+            dealer.docs.extend(zip(dk, tk, strict=True))
+            for lanes, sizes, docs, bases in blocks(texts, width):
+                runs = R.runs_of(lanes[:, 0], sizes, width, gram)
+                starts = np.cumsum(sizes) - sizes
+                dealer.add([runs.anchor], docs[runs.chunk] + offset, runs.at - starts[runs.chunk] + bases[runs.chunk], runs.anchor)
+            if dealer.held > R.FLUSH or len(dealer.docs) > 200_000:
+                yield from with_counts(dealer.flush())
+        yield from with_counts(dealer.flush())
+
+    def look_up(batches):
+        now, total, sketch, found, held = None, 0, None, [], 0
         for batch in batches:
-            for s, once, twice in zip(*(batch.column(i) for i in range(3)), strict=True):
-                one, two = seen.setdefault(s.as_py(), (np.zeros(1 << log_slice, bool), np.zeros(1 << log_slice, bool)))
-                for place, n in ((np.frombuffer(once.as_buffer(), "<u4"), 1), (np.frombuffer(twice.as_buffer(), "<u4"), 2)):
-                    two[place[one[place]] if n == 1 else place] = True
-                    one[place] = True
-        for s, (_, two) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(two).tobytes()], pa.binary())], ["slice", "twice"])
-
-    spark = base.sparkSession
-    counted = base.select("text").mapInArrow(count, "slice int, once binary, twice binary")
-    merged = counted.repartition(min(partitions(spark), DEPTH << LOG_SLICES), "slice").mapInArrow(merge, "slice int, twice binary")
-    plane = np.zeros((DEPTH << LOG_SLICES, (1 << log_slice) // 8), np.uint8)
-    for row in merged.toLocalIterator():
-        plane[row["slice"]] = np.frombuffer(row["twice"], np.uint8)
-    return plane.reshape(DEPTH, -1)
-
-
-def estimated_repeated(plane: np.ndarray, anchors: np.ndarray, log_width: int) -> np.ndarray:
-    out = np.ones(len(anchors), bool)
-    for row, cell in enumerate(cells_of(anchors, log_width)):
-        cell = cell.astype(np.int64)
-        out &= (plane[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-def repeated_windows(base: DataFrame, log_width: int = LOG_WIDTH, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """``dk tk places``: spans of windows whose word sequence starts more than once."""
-    spark = base.sparkSession
-    n_buckets = partitions(spark)
-    plane = spark.sparkContext.broadcast(repeated_sketch(base, log_width, width, gram))
+            for bucket, kind, n, docs, lanes, pos, flag in zip(*(batch.column(i) for i in range(7)), strict=True):
+                if bucket.as_py() != now:
+                    now, total, sketch = bucket.as_py(), 0, None
+                total += n.as_py()
+                if kind.as_py() == COUNTS:
+                    continue
+                if sketch is None:
+                    sketch = Sketch(log_width or max(10, (ROOM * total - 1).bit_length()))
+                if kind.as_py() == SKETCH:
+                    keys = np.frombuffer(lanes.as_buffer(), np.uint64)
+                    if len(keys):
+                        sketch.add(keys, np.where(np.frombuffer(flag.as_buffer(), np.uint8) == 2, 2, 1))
+                    continue
+                dk, tk, keys, place, flags = R.unpacked_row(docs, lanes, pos, flag, 1)
+                # Places of a key with flag 2 came with flag 1 from the same task.
+                hit = flags == 1
+                hit[flags != 1] = sketch.repeated(keys[0]) & (flags[flags != 1] == 0)
+                found.append((dk[hit], tk[hit], place[hit]))
+                held += int(hit.sum())
+                if held > R.FLUSH:
+                    yield from R.spans_by_bucket(*(np.concatenate(x) for x in zip(*found, strict=True)), np.ones(held, np.int64), n_buckets)
+                    found, held = [], 0
+        if found:
+            yield from R.spans_by_bucket(*(np.concatenate(x) for x in zip(*found, strict=True)), np.ones(held, np.int64), n_buckets)
+
+    dealt = base.mapInArrow(deal, DEALT).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(look_up, R.PLACES)
+
+
+def repeated_windows(base: DataFrame, log_width: int | None = None, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """``dk tk places``: spans of windows whose word sequence starts more than once; ``base`` has ``dk tk text``.
+    ``log_width`` fixes the width of the sketches, which follows the number of anchors otherwise."""
+    base = base.select("dk", "tk", "text")
+    n_buckets = partitions(base.sparkSession)
+    marks = R.gathered(estimated_repeated(base, log_width, width, gram), n_buckets)
 
     def anchors_of(texts):
         found = [R.runs_of(lanes[:, 0], sizes, width, gram).anchor for lanes, sizes, _, _ in blocks(texts, width)]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-    hot = R.hot_anchors(base, anchors_of)
+    hot = R.hot_anchors(base, anchors_of, n_buckets)
 
     def deal(batches):
         dealer = R.Dealer(n_buckets, 2)
         for batch in batches:
             dk, tk, texts = (batch.column(i).to_pylist() for i in range(3))
+            places = [R.read_spans(p) for p in batch.column(3).to_pylist()]
             number: dict[int, int] = {}
             for lanes, sizes, docs, bases in blocks(texts, width):
                 runs = R.runs_of(lanes[:, 0], sizes, width, gram)
-                use = estimated_repeated(plane.value, runs.anchor, log_width)
+                starts = np.cumsum(sizes) - sizes
+                use = R.marked(places, docs, bases, starts, sizes)[runs.at]
                 if use.any():
                     many = runs.many[use]
                     window = R.ragged(runs.first[use], many)
                     keys = [R.grams(np.ascontiguousarray(lanes[:, i]), width)[window] for i in (0, 1)]
                     chunk = np.repeat(runs.chunk[use], many)
-                    starts = np.cumsum(sizes) - sizes
                     anchor = np.repeat(runs.anchor[use], many)
                     for i in set(docs[runs.chunk[use]].tolist()):
                         if i not in number:
@@ -159,18 +188,20 @@ def repeated_windows(base: DataFrame, log_width: int = LOG_WIDTH, width: int = W
                 yield from dealer.flush()
         yield from dealer.flush()
 
-    return R.repeated_places(base.select("dk", "tk", "text").mapInArrow(deal, R.PACKED), 2, n_buckets)
+    texts = base.join(marks.hint("shuffle_hash"), ["dk", "tk"]).select("dk", "tk", "text", "places")
+    return R.repeated_places(texts.mapInArrow(deal, R.PACKED), 2, n_buckets)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``doc_id n_words n_removed kept`` (kept words joined by one space)."""
-    base = R.identified(docs, id_col, text_col)
+    # The same three columns everywhere, so that both joins read one exchange of the texts.
+    base = R.identified(docs, id_col, text_col).select("dk", "tk", "text")
     found = R.gathered(repeated_windows(base, width=width, gram=(width + 1) // 2), partitions(docs.sparkSession))
 
     def remove(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc_id, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.encode().split()
                 spans, gone = R.read_spans(places), 0
                 kept = words
@@ -178,11 +209,11 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                     cover = R.covered(spans, width, len(words))
                     gone = int(cover.sum())
                     kept = [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
-                for column, value in zip(out, (doc_id, len(words), gone, b" ".join(kept).decode()), strict=True):
+                for column, value in zip(out, (None if key == -(2**63) else key, len(words), gone, b" ".join(kept).decode()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = base.join(found.hint("shuffle_hash"), ["dk", "tk"], "left").select("doc_id", "text", "places")
+    joined = base.join(found.hint("shuffle_hash"), ["dk", "tk"], "left").select("dk", "text", "places")
     return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
