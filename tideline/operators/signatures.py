@@ -120,3 +120,11 @@ def chi_square(rows: DataFrame, a: str, b: str) -> DataFrame:
     grid = ra.crossJoin(rb).join(cells, [a, b], "left").crossJoin(F.broadcast(cells.agg(F.sum("o").alias("n"))))
     e = F.col("ra") * F.col("rb") / F.col("n")
     return grid.agg(F.sum(F.pow(F.coalesce("o", F.lit(0)) - e, F.lit(2)) / e).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"))
+
+
+def add_entries(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries (``location_id us seq sentiment score``) with new ones appended; an entry without a place or with a score
+    outside of 0 to 1 is an error."""
+    ok = F.col("location_id").isNotNull() & F.col("score").between(0, 1)
+    checked = new.withColumn("location_id", F.when(F.coalesce(ok, F.lit(False)), F.col("location_id")).otherwise(F.raise_error(F.lit("no place, or a score outside of 0 to 1"))))
+    return entries.unionByName(checked.select(*entries.columns))

@@ -9,18 +9,16 @@ from tideline.sources import tables
 from tideline.sources.adapters import LOCATIONS_SQL, PLACES_SQL, VISITS_SQL, location_sentiments, place_visits, places
 
 METRES, CLUSTER_M = 300_000.0, 60_000.0
+AS_OF = 1_706_000_000_000_000
 DIM = S.DIMENSIONS
 r6 = lambda *names: [(F.round(n, 6) + 0.0).alias(n) for n in names]
 
 
-def blocked(spark, sf_dir):
-    """Places of one nation's tag are compared with each other."""
-    return places(spark, sf_dir).withColumn("block", F.element_at("cultural_tags", 1))
-
-
 def pairs(spark, sf_dir):
-    got = P.place_pairs(blocked(spark, sf_dir))
-    return got.withColumn("proximity", P.composite(F.col("geographic"), F.col("categorical"), F.col("linguistic"), F.col("cultural")))
+    """Places whose id is divisible by 100 with all places."""
+    p = places(spark, sf_dir)
+    got = P.place_pairs(p.filter("place_id % 100 = 0"), p)
+    return got.withColumn("proximity", P.composite(*(F.col(c) for c in P.WEIGHTS)))
 
 
 def nearby(spark, sf_dir):
@@ -33,7 +31,7 @@ SCENARIOS = {"balanced": (0.3, 0.25, 0.2, 0.25), "near": (0.7, 0.1, 0.1, 0.1), "
 
 def sensitivity(spark, sf_dir):
     """Mean proximity by scenario, for pairs of equal and of different types."""
-    base = P.place_pairs(blocked(spark, sf_dir)).withColumn("same_type", F.col("type_a") == F.col("type_b"))
+    base = pairs(spark, sf_dir).withColumn("same_type", F.col("type_a") == F.col("type_b"))
     parts = [F.col(c) for c in ("geographic", "categorical", "linguistic", "cultural")]
     names = list(P.WEIGHTS)
     got = base.groupBy("same_type").agg(*(F.avg(P.composite(*parts, dict(zip(names, w, strict=True)))).alias(k) for k, w in SCENARIOS.items()))
@@ -44,25 +42,49 @@ def types(spark, sf_dir):
     return places(spark, sf_dir).select(F.col("place_id").alias("location_id"), "type")
 
 
-def dbscan_input(spark, sf_dir):
-    got = pairs(spark, sf_dir)
-    return got.select(F.col("place_id_a").alias("a"), F.col("place_id_b").alias("b"), (1 - F.col("proximity")).alias("distance"))
-
-
 def semantic_dbscan(spark, sf_dir):
-    return P.dbscan(dbscan_input(spark, sf_dir), places(spark, sf_dir), 0.32, 2, tables.cut)
+    """Links are pairs with a proximity of .68 and more, between any places."""
+    near = P.similar_pairs(places(spark, sf_dir), 0.68).select(F.col("place_id_a").alias("a"), F.col("place_id_b").alias("b"), (1 - F.col("proximity")).alias("distance"))
+    return P.dbscan(tables.cut(near), places(spark, sf_dir), 0.3201, 2, tables.cut)
 
 
 def cluster_quality(spark, sf_dir):
-    found = P.dbscan(dbscan_input(spark, sf_dir), places(spark, sf_dir), 0.32, 2, tables.cut)
-    return P.silhouette(dbscan_input(spark, sf_dir), found).groupBy("cluster_id").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+    """Silhouettes of the places whose id is divisible by 100 against all clustered places."""
+    found = tables.cut(semantic_dbscan(spark, sf_dir))
+    far = pairs(spark, sf_dir).select(F.col("place_id_a").alias("a"), F.col("place_id_b").alias("b"), (1 - F.col("proximity")).alias("distance"))
+    return P.silhouette_of(far, found).groupBy("cluster_id").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+def cluster_index(spark, sf_dir):
+    """Davies-Bouldin of the geographic clusters."""
+    got = P.geo_clusters(places(spark, sf_dir), CLUSTER_M, tables.cut).join(places(spark, sf_dir), "place_id")
+    return P.davies_bouldin(got.select("cluster_id", F.col("lat").alias("x"), F.col("lon").alias("y"))).select(*r6("davies_bouldin"))
+
+
+def notebook_pairs(spark, sf_dir):
+    """The variant with kilometres by the arc sine and a linear decay."""
+    got = P.place_pairs(places(spark, sf_dir).filter("place_id % 100 = 0"), places(spark, sf_dir))
+    km = P.haversine_asin_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    return got.select("place_id_a", "place_id_b", F.round(km, 6).alias("km"), F.round(P.linear_decay(km, 2000.0), 6).alias("linear"))
+
+
+def pearson(spark, sf_dir):
+    """Correlation of the score with the order's place in time, over all entries."""
+    return location_sentiments(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.corr("score", F.col("us") / 86_400_000_000), 6).alias("r"))
+
+
+def added(spark, sf_dir):
+    """Entries with one added for each place."""
+    entries = location_sentiments(spark, sf_dir)
+    new = places(spark, sf_dir).select(F.col("place_id").alias("location_id"), F.lit(AS_OF).alias("us"), (-F.col("place_id")).alias("seq"), F.lit("neutral").alias("sentiment"), F.lit(0.5).alias("score"))
+    return S.add_entries(entries, new).groupBy("location_id").agg(F.count("*").alias("n"), F.max("us").alias("last_us"))
 
 
 def similar_places(spark, sf_dir):
     """Pairs of similar places with both sentiment profiles."""
     prof = S.location_profile(location_sentiments(spark, sf_dir)).select("location_id", "dominant", "mean")
     a, b = (prof.select(F.col("location_id").alias(f"place_id_{s}"), F.col("dominant").alias(f"dominant_{s}"), F.col("mean").alias(f"mean_{s}")) for s in "ab")
-    got = pairs(spark, sf_dir).filter("proximity >= 0.7").select("place_id_a", "place_id_b").join(a, "place_id_a").join(b, "place_id_b")
+    got = P.similar_pairs(places(spark, sf_dir), 0.7).select("place_id_a", "place_id_b").join(a, "place_id_a").join(b, "place_id_b")
     return got.select("place_id_a", "place_id_b", (F.col("dominant_a") == F.col("dominant_b")).alias("same_emotion"), F.round(F.abs(F.col("mean_a") - F.col("mean_b")), 6).alias("difference"))
 
 
@@ -79,6 +101,10 @@ QUERIES = {
     "geo_clusters": lambda s, d: P.geo_clusters(places(s, d), CLUSTER_M, tables.cut),
     "semantic_dbscan": semantic_dbscan,
     "cluster_silhouette": cluster_quality,
+    "cluster_davies_bouldin": cluster_index,
+    "notebook_proximity": notebook_pairs,
+    "score_time_correlation": pearson,
+    "added_entries": added,
     "similar_place_patterns": similar_places,
     "place_signature": lambda s, d: sig(s, d).select("place_type", "visit_count", *r6(*DIM, "volatility")),
     "place_cosine_matrix": lambda s, d: S.cosine_matrix(sig(s, d)).select("place_type_a", "place_type_b", *r6("similarity")),
@@ -97,12 +123,13 @@ QUERIES = {
     "chi_square_type_sentiment": lambda s, d: S.chi_square(location_sentiments(s, d).join(types(s, d), "location_id"), "type", "sentiment").select(*r6("chi2"), "df"),
 }
 _hav = P.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
-_w = P.WEIGHTS
-PAIR_SQL = f"""{PLACES_SQL}, q0 AS (SELECT a.place_id AS place_id_a, b.place_id AS place_id_b, {_hav} / 1000 AS distance_km, a.type AS ta, b.type AS tb,
+_scores = f"""SELECT a.place_id AS place_id_a, b.place_id AS place_id_b, {_hav} / 1000 AS distance_km, a.type AS ta, b.type AS tb,
   CASE WHEN lower(trim(a.type)) = lower(trim(b.type)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS categorical, CASE WHEN a.language = b.language THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS linguistic,
-  len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))) AS cultural FROM places a JOIN places b ON a.tags[1] = b.tags[1] AND a.place_id < b.place_id),
-q1 AS (SELECT *, exp(-3.0::DOUBLE * distance_km / 500) AS geographic FROM q0),
-pairs AS (SELECT *, {_w['geographic']}::DOUBLE * geographic + {_w['categorical']}::DOUBLE * categorical + {_w['linguistic']}::DOUBLE * linguistic + {_w['cultural']}::DOUBLE * cultural AS proximity FROM q1)"""
+  len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))) AS cultural FROM places a JOIN places b ON"""
+_weighted = "0.3::DOUBLE * exp(-3.0::DOUBLE * distance_km / 500) + 0.4::DOUBLE * categorical + 0.15::DOUBLE * linguistic + 0.15::DOUBLE * cultural"
+PAIR_SQL = f"""{PLACES_SQL}, q0 AS ({_scores} a.place_id % 100 = 0 AND a.place_id <> b.place_id),
+pairs AS (SELECT *, exp(-3.0::DOUBLE * distance_km / 500) AS geographic, {_weighted} AS proximity FROM q0)"""
+ALL_SQL = f"{PLACES_SQL}, q0 AS ({_scores} a.place_id < b.place_id), pairs AS (SELECT *, {_weighted} AS proximity FROM q0)"
 _sig = lambda by: f"SELECT {by}, count(*) AS visit_count, " + ", ".join(f'avg("{k}") AS "{k}"' for k in DIM) + f", sqrt(({' + '.join(f'var_pop({chr(34)}{k}{chr(34)})' for k in DIM)}) / 5) AS volatility FROM visits GROUP BY ALL"
 _dims6 = ", ".join(f'round("{k}", 6) + 0.0 AS "{k}"' for k in DIM)
 _cos = f"({' + '.join(f'a.{k} * b.{k}' for k in DIM)}) / (sqrt({' + '.join(f'a.{k} * a.{k}' for k in DIM)}) * sqrt({' + '.join(f'b.{k} * b.{k}' for k in DIM)}))"
@@ -113,9 +140,12 @@ _prof = "pf AS (SELECT location_id, count(*) AS n, avg(score) AS mean, stddev_po
 _typed = "tl AS (SELECT ls.*, c_mktsegment AS type FROM ls JOIN customer ON location_id = c_custkey)"
 _closure = lambda edges, nodes: f"r AS (SELECT id AS n, id AS m FROM ({nodes}) UNION SELECT e.y, r.m FROM r JOIN ({edges}) e ON e.x = r.n)"
 _near = f"np AS (SELECT a.place_id AS a, b.place_id AS b, {_hav} AS distance_m FROM places a JOIN places b ON a.place_id < b.place_id AND {_hav} <= {CLUSTER_M})"
-_db = "nb AS (SELECT place_id_a AS a, place_id_b AS b FROM pairs WHERE 1 - proximity <= 0.32), bt AS (SELECT a, b FROM nb UNION ALL SELECT b, a FROM nb), core AS (SELECT DISTINCT a AS id FROM bt)"
+_db = "nb AS (SELECT place_id_a AS a, place_id_b AS b FROM pairs WHERE proximity >= 0.68), bt AS (SELECT a, b FROM nb UNION ALL SELECT b, a FROM nb), core AS (SELECT DISTINCT a AS id FROM bt)"
 _dbr = f"{_closure('SELECT a AS x, b AS y FROM bt', 'SELECT id FROM core')}, cl AS (SELECT n AS place_id, min(m) AS cluster_id FROM r GROUP BY n), db AS (SELECT place_id, coalesce(cluster_id, -1) AS cluster_id FROM places LEFT JOIN cl USING (place_id))"
 ORACLES = {
+    "notebook_proximity": f"WITH {PLACES_SQL}, k AS (SELECT a.place_id AS place_id_a, b.place_id AS place_id_b, 2 * 6371::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS d FROM places a JOIN places b ON a.place_id % 100 = 0 AND a.place_id <> b.place_id) SELECT place_id_a, place_id_b, round(d, 6) AS km, round(greatest(0.0, 1 - d / 2000), 6) AS linear FROM k",
+    "score_time_correlation": f"WITH {LOCATIONS_SQL} SELECT count(*) AS n, round(corr(score, us / 86400000000::DOUBLE), 6) AS r FROM ls",
+    "added_entries": f"WITH {LOCATIONS_SQL} SELECT c_custkey AS location_id, 1 + count(us) AS n, greatest(coalesce(max(us), 0), 1706000000000000) AS last_us FROM customer LEFT JOIN ls ON location_id = c_custkey GROUP BY c_custkey",
     "haversine_pairs": f"WITH {PAIR_SQL} SELECT place_id_a, place_id_b, round(distance_km, 6) AS distance_km FROM pairs",
     "distance_decay": f"WITH {PAIR_SQL} SELECT place_id_a, place_id_b, round(geographic, 6) AS geographic FROM pairs",
     "composite_proximity": f"WITH {PAIR_SQL} SELECT place_id_a, place_id_b, categorical, linguistic, round(cultural, 6) AS cultural, round(proximity, 6) AS proximity FROM pairs",
@@ -140,6 +170,6 @@ SELECT location_id, n, round(slope, 6) AS slope, CASE WHEN slope >= 0.1 THEN 'im
     "anova_by_type": f"WITH {LOCATIONS_SQL}, {_typed}, g AS (SELECT type, count(*) AS n, avg(score) AS m, var_pop(score) AS v FROM tl GROUP BY type), z AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(n * m) / sum(n) AS gm, sum(n * v) AS w, sum(n * m * m) AS raw FROM g) SELECT round((raw - n * gm * gm) / (k - 1) / (w / (n - k)), 6) AS f, k - 1 AS df_between, n - k AS df_within FROM z",
     "chi_square_type_sentiment": f"""WITH {LOCATIONS_SQL}, {_typed}, c AS (SELECT type, sentiment, count(*) AS o FROM tl GROUP BY ALL), e AS (SELECT a.type, b.sentiment, ra * rb / (SELECT sum(o) FROM c) AS e FROM (SELECT type, sum(o) AS ra FROM c GROUP BY type) a, (SELECT sentiment, sum(o) AS rb FROM c GROUP BY sentiment) b)
 SELECT round(sum(pow(coalesce(o, 0) - e, 2) / e), 6) AS chi2, (count(DISTINCT e.type) - 1) * (count(DISTINCT e.sentiment) - 1) AS df FROM e LEFT JOIN c USING (type, sentiment)""",
-    "semantic_dbscan": f"WITH RECURSIVE {PAIR_SQL}, {_db}, {_dbr} SELECT place_id, cluster_id FROM db",
-    "similar_place_patterns": f"WITH {PAIR_SQL}, {LOCATIONS_SQL}, {_prof} SELECT place_id_a, place_id_b, a.dominant = b.dominant AS same_emotion, round(abs(a.mean - b.mean), 6) AS difference FROM pairs JOIN prof a ON a.location_id = place_id_a JOIN prof b ON b.location_id = place_id_b WHERE proximity >= 0.7",
+    "semantic_dbscan": f"WITH RECURSIVE {ALL_SQL}, {_db}, {_dbr} SELECT place_id, cluster_id FROM db",
+    "similar_place_patterns": f"WITH {ALL_SQL}, {LOCATIONS_SQL}, {_prof} SELECT place_id_a, place_id_b, a.dominant = b.dominant AS same_emotion, round(abs(a.mean - b.mean), 6) AS difference FROM pairs JOIN prof a ON a.location_id = place_id_a JOIN prof b ON b.location_id = place_id_b WHERE proximity >= 0.7",
 }
