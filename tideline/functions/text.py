@@ -6,13 +6,28 @@ from pyspark.sql import Column, functions as F
 
 #: Words that speak for a sentiment.
 LEXICON = {
-    "positive": ("amazing", "beautiful", "best", "calm", "enjoy", "excited", "excellent", "fantastic", "glad", "good", "grateful", "great", "happy", "hope", "joy", "love", "nice", "peaceful", "proud", "smile", "wonderful"),
-    "negative": ("afraid", "alone", "angry", "anxious", "awful", "bad", "cry", "depressed", "fear", "hate", "hurt", "lonely", "pain", "sad", "scared", "terrible", "tired", "upset", "worried", "worst"),
-    "neutral": ("day", "fine", "normal", "okay", "regular", "routine", "something", "today", "usual", "work"),
-}
+    "positive": (
+        "happy", "joy", "amazing", "good", "great", "love", "lighter", "grateful",
+        "laughs", "better", "wonderful", "beautiful", "fantastic", "awesome",
+        "goodvibes", "coffeetime", "smile", "excited", "delighted", "bright",
+        "cheerful", "warm", "fun", "enjoy", "glad", "pleased", "incredible",
+    ),
+    "negative": (
+        "sad", "heavy", "overwhelmed", "bad", "terrible", "awful", "depressed",
+        "anxious", "worry", "hurt", "pain", "cry", "mentalhealth", "struggle",
+        "fear", "angry", "disgust", "grief", "lonely", "stressed", "exhausted",
+    ),
+    "neutral": (
+        "daily", "routine", "normal", "regular", "usual", "commute", "grind",
+        "moving", "forward", "keepgoing", "nothing", "special", "walk", "working",
+        "day", "getting", "putting", "foot", "front",
+    ),
+}
 #: Seven emotions in three classes.
 ROLL_UP = {"joy": "positive", "surprise": "positive", "neutral": "neutral", "anger": "negative", "disgust": "negative", "fear": "negative", "sadness": "negative"}
-EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}]+"
+#: What counts as emoji, and white space and word characters beyond ASCII.
+EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{200D}\x{FE0F}]+"
+SPACES = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def mask_tweet_tokens(text: Column) -> Column:
@@ -22,9 +37,9 @@ def mask_tweet_tokens(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """No emoji, tags without their mark, single spaces."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), EMOJI, ""), r"#([\p{L}\p{N}_]+)", "$1")
-    return F.trim(F.regexp_replace(plain, r"[ \t\n\r]+", " "))
+    """Emoji become a space, tags lose their mark, white space is single spaces."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), EMOJI, " "), r"#([\p{L}\p{N}_]+)", "$1")
+    return F.trim(F.regexp_replace(plain, SPACES, " "))
 
 
 def normalise(text: Column) -> Column:
@@ -37,11 +52,15 @@ def normalise_sql(text: str) -> str:
     return f"trim(regexp_replace(regexp_replace(trim(lower(coalesce({text}, ''))), '[ \\t\\n\\r]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g'))"
 
 
+#: Marks that end a word.
+MARKS = "[#.,!?'\"]"
+
+
 def lexicon_sentiment(text: Column, lexicon: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Shares of distinct lexicon words as a struct (positive, negative, neutral), four decimals; without any
     hit .33, .33 and .34."""
     lexicon = lexicon or LEXICON
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " "), " "))
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " "), SPACES))
     hits = {k: F.size(F.array_intersect(words, F.array(*map(F.lit, v)))) for k, v in lexicon.items()}
     total = hits["positive"] + hits["negative"] + hits["neutral"]
     none = {"positive": 0.33, "negative": 0.33, "neutral": 0.34}
@@ -56,9 +75,11 @@ def sentiment_record(scores: Column) -> Column:
 
 
 def image_record(scores: Column) -> Column:
-    """Uncertainty and note of an image estimate from the confidence of its best class."""
-    top = F.greatest(scores["positive"], scores["negative"], scores["neutral"])
-    note = F.when(top < 0.3, "low confidence").when(top < 0.5, "moderate confidence").otherwise("")
+    """Uncertainty and note of an image estimate (positive, neutral, negative) from the confidence of its best class."""
+    top = F.greatest(scores["positive"], scores["neutral"], scores["negative"])
+    best = F.when(scores["positive"] == top, "positive").when(scores["neutral"] == top, "neutral").otherwise("negative")
+    share = F.format_string("%.1f%%", top.cast("double") * 100)
+    note = F.when(top > 0.5, F.concat(F.lit("Strong "), best, F.lit(" expression detected ("), share, F.lit(" confidence)."))).when(top > 0.3, F.concat(F.lit("Moderate "), best, F.lit(" expression detected ("), share, F.lit(" confidence)."))).otherwise(F.concat(F.lit("Weak facial expression. "), best, F.lit(" is most likely ("), share, F.lit(").")))
     return F.struct(F.round(F.least(F.lit(0.25), 0.05 + 0.2 * (1 - top)), 4).alias("uncertainty"), note.alias("note"))
 
 
@@ -90,14 +111,14 @@ def box_with_offsets(x: Column, y: Column, w: Column, h: Column, ox: int, oy: in
 
 
 def image_score(score: Column) -> Column:
-    """Scores above 1 are percentages."""
-    return F.when(score > 1, score / 100.0).otherwise(score)
+    """Scores above 1 are percentages; the result is within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(score > 1, score / 100.0).otherwise(score)))
 
 
 def visibility(score: Column) -> Column:
-    """sqrt, at least .15, softly clipped above .8."""
+    """Square root, at least .15, what is above .8 shrunk to three tenths, at most 1; zero stays zero."""
     x = F.greatest(F.sqrt(score), F.lit(0.15))
-    return F.when(x > 0.8, 0.8 + (x - 0.8) * 0.5).otherwise(x)
+    return F.when(score == 0, 0.0).otherwise(F.least(F.lit(1.0), F.when(x > 0.8, 0.8 + (x - 0.8) * 0.3).otherwise(x)))
 
 
 def fenced_json(text: Column) -> Column:
@@ -108,22 +129,75 @@ def fenced_json(text: Column) -> Column:
 
 
 def dms_to_decimal(degrees: Column, minutes: Column, seconds: Column, hemisphere: Column) -> Column:
+    """Parts are numbers, or structs (numerator, denominator); a zero denominator is an error."""
     value = degrees + minutes / 60.0 + seconds / 3600.0
     return F.when(hemisphere.isin("S", "W"), -value).otherwise(value)
 
 
-def location_text(category: Column, kind: Column, name: Column, lat: Column, lon: Column) -> Column:
-    """Words for a geocoded place, or its coordinates."""
-    parts = F.concat_ws(" ", F.replace(F.nullif(category, F.lit("")), F.lit("_"), F.lit(" ")), F.replace(F.nullif(kind, F.lit("")), F.lit("_"), F.lit(" ")), F.nullif(F.split_part(name, F.lit(","), F.lit(1)), F.lit("")))
-    return F.when(parts == "", F.concat(F.lit("location "), F.round(lat, 4).cast("string"), F.lit(" "), F.round(lon, 4).cast("string"))).otherwise(parts)
-
-
-#: Scene names to place categories; other scenes are unknown.
-SCENES = {"park": "park", "garden": "park", "forest_path": "nature", "beach": "nature", "hospital": "hospital", "hospital_room": "hospital", "church": "worship", "temple": "worship", "classroom": "school", "library": "library", "kitchen": "home", "bedroom": "home", "living_room": "home", "restaurant": "restaurant", "coffee_shop": "cafe", "gymnasium": "gym", "office": "work", "street": "street"}
+def rational(part: Column) -> Column:
+    """The value of a struct (numerator, denominator); a zero denominator is an error."""
+    return F.when(part["denominator"] == 0, F.raise_error(F.lit("zero denominator"))).otherwise(part["numerator"] / part["denominator"])
+
+
+def exif_time(text: Column) -> Column:
+    """``yyyy:MM:dd HH:mm:ss`` as ISO text without a zone; null for other forms."""
+    good = text.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$")
+    return F.date_format(F.try_to_timestamp(F.when(good, text), F.lit("yyyy:MM:dd HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def gps_time(date: Column, hours: Column, minutes: Column, seconds: Column) -> Column:
+    """A date ``yyyy:MM:dd`` and a time of day in UTC as ISO text with its zone and, where it isn't zero, a fraction; null if there is no such time."""
+    part = F.split(date, ":")
+    whole = F.floor(seconds)
+    micros = F.floor((seconds - whole) * 1_000_000).cast("int")
+    valid = date.rlike(r"^\d{1,4}:\d{1,2}:\d{1,2}$") & hours.between(0, 23) & minutes.between(0, 59) & seconds.between(0, 59.999999)
+    made = F.try_make_timestamp(F.get(part, F.lit(0)).cast("int"), F.get(part, F.lit(1)).cast("int"), F.get(part, F.lit(2)).cast("int"), hours.cast("int"), minutes.cast("int"), whole.cast("decimal(16,6)"))
+    at = F.date_format(F.when(valid, made), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(at, F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
+def safe_location(metadata: Column) -> Column:
+    """``location.lat`` and ``location.lon`` of JSON metadata as a struct, or null where they are missing, no numbers or out of range."""
+    lat, lon = (F.get_json_object(metadata, f"$.location.{c}").try_cast("double") for c in ("lat", "lon"))
+    return F.when(F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False)), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def location_text(category: Column, kind: Column, name: Column, lat: Column, lon: Column, address: Column | None = None) -> Column:
+    """Words for a geocoded place: category, type where it differs, and its name: the entry of ``address`` (a map) under
+    the type, else the first part of ``name``. A place without any is named by its coordinates."""
+    empty = lambda c: F.nullif(c, F.lit(""))
+    spaced = lambda c: empty(F.replace(c, F.lit("_"), F.lit(" ")))
+    first = empty(F.trim(F.split_part(name, F.lit(","), F.lit(1))))
+    called = first if address is None else F.coalesce(empty(F.try_element_at(address, empty(kind))), first)
+    parts = F.concat_ws(" ", spaced(category), F.when(~F.coalesce(spaced(kind) == spaced(category), F.lit(False)), spaced(kind)), called)
+    return F.when(parts == "", F.concat(F.lit("unknown location at coordinates "), lat.cast("string"), F.lit(" "), lon.cast("string"))).otherwise(parts)
+
+
+#: Scene labels and their categories; other scenes have none.
+SCENES = {
+    "clinical_or_institutional": ("hospital", "hospital_room", "clinic", "pharmacy", "dentists_office", "operating_room", "waiting_room", "laboratory", "nursing_home"),
+    "faith_community": (
+        "church/indoor", "church/outdoor", "mosque/indoor", "mosque/outdoor", "temple/east_asia", "temple/south_asia", "synagogue/indoor",
+        "chapel", "cathedral/indoor", "cathedral/outdoor", "abbey",
+    ),
+    "recovery_support": ("community_center", "recreation_room", "conference_room", "meeting_room", "classroom", "lecture_room", "office", "gym/indoor"),
+    "residential_or_transitional": (
+        "bedroom", "living_room", "house", "apartment_building/outdoor", "kitchen", "dining_room", "bathroom", "home_office", "porch", "yard",
+        "balcony/interior", "balcony/exterior", "garage/indoor", "residential_neighborhood",
+    ),
+    "shelter_or_dropin": ("tent/outdoor", "dormitory", "youth_hostel", "motel", "locker_room", "campsite"),
+    "outdoor_or_wilderness": (
+        "park", "forest_path", "forest/broadleaf", "forest/needleleaf", "mountain", "mountain_path", "mountain_snowy", "field/cultivated", "field/wild",
+        "lake/natural", "river", "ocean", "beach", "creek", "sky", "valley", "snowfield", "glacier", "trail", "swamp", "waterfall",
+    ),
+}
 
 
 def scene_category(top: Column, least: float = 0.4) -> Column:
-    """Of up to three (scene, score) candidates in order, the category of the first known one at ``least``."""
-    table = F.create_map(*(F.lit(x) for pair in SCENES.items() for x in pair))
-    known = F.filter(F.slice(top, 1, 3), lambda c: (c["score"] >= least) & table[c["scene"]].isNotNull())
-    return F.coalesce(table[F.get(known, F.lit(0))["scene"]], F.lit("unknown"))
+    """Of up to three (scene, score) candidates in order, the first with a category, as a struct (scene_type, confidence).
+    Where the first candidate is below ``least`` or none has a category, unknown with the first one's score."""
+    table = F.create_map(*(F.lit(x) for kind, scenes in SCENES.items() for scene in scenes for x in (scene, kind)))
+    first = F.round(F.get(top, F.lit(0))["score"], 4)
+    known = F.get(F.filter(F.slice(top, 1, 3), lambda c: table[c["scene"]].isNotNull()), F.lit(0))
+    sure = (first >= least) & known.isNotNull()
+    return F.struct(F.when(sure, table[known["scene"]]).otherwise("unknown").alias("scene_type"), F.coalesce(F.when(sure, F.round(known["score"], 4)).otherwise(first), F.lit(0.0)).alias("confidence"))

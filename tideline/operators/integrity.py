@@ -90,8 +90,8 @@ def array_place(path: Column) -> Column:
 
 
 #: Names of fields that hold times and media paths.
-TIME_FIELDS = ("timestamp", "time", "date", "datetime", "created_at", "updated_at", "recorded_at", "start_time", "end_time")
-PATH_FIELDS = ("image", "audio", "video", "file", "path", "image_path", "audio_path", "video_path", "media", "media_path", "filename")
+TIME_FIELDS = ("timestamp", "time", "datetime", "created_at", "recorded_at", "date", "ts", "event_time", "capture_time")
+PATH_FIELDS = ("image", "audio", "video", "media", "image_path", "audio_path", "video_path", "file_path", "img", "sound", "recording")
 
 
 def json_leaves(rows: DataFrame, key: str, document: str, depth: int = 6) -> DataFrame:
