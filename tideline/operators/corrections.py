@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tideline.operators.ordered import ordered_fold
 
 HOUR_US = 3_600_000_000
 
 
 def rate_limited(corrections: DataFrame, most: int = 10, within_us: int = HOUR_US) -> DataFrame:
-    """Corrections with how many the user made in the hour up to each, and whether it was allowed."""
-    w = Window.partitionBy("subject_id").orderBy("us").rangeBetween(-within_us, 0)
-    return corrections.withColumn("in_last_hour", F.count("*").over(w)).withColumn("allowed", F.col("in_last_hour") <= most)
+    """Attempts with how many corrections of the user were stored in the hour up to each, and whether it was allowed.
+
+    Only an allowed attempt is stored, so each answer hangs on the ones before: a fold that holds ``most`` times."""
+
+    def step(stored, us):
+        stored = [t for t in stored if t >= us - within_us]
+        n = len(stored)
+        return stored + [us] * (n < most), (n, n < most)
+
+    return ordered_fold(corrections, "subject_id", ["us", "seq"], ["us"], list, step, "in_last_hour bigint, allowed boolean")
 
 
 def latest_correction(corrections: DataFrame) -> DataFrame:

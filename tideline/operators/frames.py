@@ -1,15 +1,15 @@
 """Facial-estimate frames to timelines: greedy windows, weighted probabilities and the decision rules.
 
-A frame is ``subject_id us seq positive neutral negative uncertainty source_id``. Rules need the label of the
-window before, so a subject's frames are folded in order in one group; nothing crosses subjects.
+A frame is ``subject_id us seq positive neutral negative uncertainty source_id``. Windows are measured by aggregates;
+only the starts of greedy windows and the rule that looks at the window before are folds in order.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.functions.scalars import argmax
+from tideline.operators.ordered import ordered_fold
 
 CLASSES = ("positive", "neutral", "negative")
 WINDOW_S = 3.0
@@ -30,19 +30,22 @@ def derived(frames: DataFrame) -> DataFrame:
     return frames.withColumns({"confidence": 1 - F.col("uncertainty"), "dominant": argmax({c: F.col(c) for c in CLASSES}), "dominant_probability": F.greatest(*CLASSES)})
 
 
-def greedy_windows(frames: DataFrame, size_us: int) -> DataFrame:
-    """``subject_id seq window_index``: a window starts at the first frame at least ``size_us`` after the start
-    of the one before. A fold over one subject's ordered frames."""
-    kind = "struct<start:bigint,i:bigint,out:array<struct<seq:bigint,window_index:bigint>>>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("i"), F.array().cast("array<struct<seq:bigint,window_index:bigint>>").alias("out")).cast(kind)
+def windowed(frames: DataFrame, size_us: int) -> DataFrame:
+    """``frames`` with ``window_index``: a window starts at the first frame at least ``size_us`` after the start of the
+    one before."""
+
+    def step(state, us):
+        start, index = state
+        if start is None or us - start >= size_us:
+            start, index = us, index + 1
+        return (start, index), (index,)
 
-    def step(s: Column, x: Column) -> Column:
-        opens = s["start"].isNull() | (x["us"] - s["start"] >= size_us)
-        i = s["i"] + F.when(opens, 1).otherwise(0)
-        return F.struct(F.when(opens, x["us"]).otherwise(s["start"]).alias("start"), i.alias("i"), F.array_append(s["out"], F.struct(x["seq"].alias("seq"), i.alias("window_index"))).alias("out")).cast(kind)
+    return ordered_fold(frames, "subject_id", ["us", "seq"], ["us"], lambda: (None, -1), step, "window_index bigint")
 
-    got = frames.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("us", "seq"))).alias("x"))
-    return got.select("subject_id", F.inline(F.aggregate("x", zero, step, lambda s: s["out"])))
+
+def greedy_windows(frames: DataFrame, size_us: int) -> DataFrame:
+    """``subject_id seq window_index``, see ``windowed``."""
+    return windowed(frames.select("subject_id", "us", "seq"), size_us).select("subject_id", "seq", "window_index")
 
 
 def weighted_probabilities(frames: DataFrame, *by: str) -> DataFrame:
@@ -53,62 +56,68 @@ def weighted_probabilities(frames: DataFrame, *by: str) -> DataFrame:
     return frames.groupBy(*by).agg(*(F.when(total > 0, F.sum(F.col(c) * w) / total).otherwise(default[c]).alias(c) for c in CLASSES))
 
 
-def longest_run(labels: list[str], label: str) -> int:
-    best = now = 0
-    for x in labels:
-        now = now + 1 if x == label else 0
-        best = max(best, now)
-    return best
-
-
-def _window(rows: pd.DataFrame, before: dict | None) -> tuple[dict, str]:
-    """Probabilities of one window after the rules, and its label."""
-    weight = 1 - rows.uncertainty
-    p = {c: float((rows[c] * weight).sum() / weight.sum()) for c in CLASSES} if weight.sum() > 0 else {"positive": 0.0, "neutral": 1.0, "negative": 0.0}
-    labels = [max(CLASSES, key=lambda c: r[c]) for r in rows[list(CLASSES)].to_dict("records")]
-    doubtful = rows.uncertainty.mean() > UNCERTAIN or rows.positive.var(ddof=0) > SPREAD or len(rows) == 1
-    if doubtful and p["neutral"] < LIFT:
-        rest = p["positive"] + p["negative"]
-        scale = (1 - LIFT) / rest if rest > 0 else 0.0
-        p = {"positive": p["positive"] * scale, "neutral": LIFT, "negative": p["negative"] * scale}
-    if longest_run(labels, "negative") >= RUN and p["negative"] > NEGATIVE_LEAST and p["neutral"] > p["negative"]:
-        led = rows.negative[[x == "negative" for x in labels]]
-        p["negative"] = max(p["negative"], NEGATIVE_SHARE * float(led.mean()))
+def window_measures(frames: DataFrame) -> DataFrame:
+    """A row per ``subject_id window_index`` of windowed frames: start, counts, weighted probabilities, their doubt, the
+    longest run of each dominant class and the first three sources."""
+    by = Window.partitionBy("subject_id", "window_index").orderBy("us", "seq")
+    rows = derived(frames).withColumn("island", F.row_number().over(by) - F.row_number().over(Window.partitionBy("subject_id", "window_index", "dominant").orderBy("us", "seq")))
+    runs = rows.groupBy("subject_id", "window_index", "dominant", "island").agg(F.count("*").alias("n"))
+    runs = runs.groupBy("subject_id", "window_index").agg(*(F.coalesce(F.max(F.when(F.col("dominant") == c, F.col("n"))), F.lit(0)).alias(f"run_{c}") for c in CLASSES))
+    named = rows.withColumn("nth", F.count(F.nullif("source_id", F.lit(""))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.when((F.col("nth") <= 3) & (F.coalesce("source_id", F.lit("")) != ""), F.struct("nth", "source_id"))
+    w, n = F.col("confidence"), F.count("*")
+    share = {c: F.when(F.sum(w) > 0, F.sum(F.col(c) * w) / F.sum(w)).otherwise(1.0 if c == "neutral" else 0.0) for c in CLASSES}
+    spread = F.sum(F.col("positive") * F.col("positive")) / n - 2 * share["positive"] * F.avg("positive") + share["positive"] * share["positive"]
+    got = named.groupBy("subject_id", "window_index").agg(
+        F.min("us").alias("us"), n.alias("frame_count"), F.avg(w).alias("avg_confidence"), *(v.alias(c) for c, v in share.items()),
+        ((F.avg("uncertainty") > UNCERTAIN) | (n == 1) | (spread > SPREAD)).alias("doubtful"), F.avg(F.when(F.col("dominant") == "negative", F.col("negative"))).alias("led"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["source_id"]), ":").alias("source_id"),
+    )
+    return got.join(runs, ["subject_id", "window_index"])
+
+
+def settled(measures: DataFrame) -> DataFrame:
+    """The rules that look at one window: a floor for neutral where it is in doubt, and negative that persists."""
+    p, n, m = (F.col(c) for c in CLASSES)
+    lift = F.col("doubtful") & (n < LIFT) & (p + m > 0)
+    scale = (p + m - (LIFT - n)) / (p + m)
+    got = measures.withColumns({"positive": F.when(lift, p * scale).otherwise(p), "neutral": F.when(lift, LIFT).otherwise(n), "negative": F.when(lift, m * scale).otherwise(m)})
+    lasting = (F.col("run_negative") >= RUN) & (m > NEGATIVE_LEAST) & (n > m)
+    return got.withColumn("negative", F.when(lasting, F.greatest(m, NEGATIVE_SHARE * F.col("led"))).otherwise(m))
+
+
+def no_escalation(before: tuple | None, *now: float) -> tuple[tuple, tuple]:
+    """Probabilities after the rule that looks back: no class grows by more than ``STEP``, half of what is cut goes to
+    neutral, and the sum is one again."""
+    p = list(now)
     if before is not None:
-        for c in CLASSES:
-            over = p[c] - before[c] - STEP
+        for i in range(3):
+            over = p[i] - (before[i] + STEP)
             if over > 0:
-                p[c] = before[c] + STEP
-                p["neutral"] = min(1.0, p["neutral"] + over / 2)
-        total = sum(p.values())
-        p = {c: v / total for c, v in p.items()} if total > 0 else p
-    top = max(CLASSES, key=lambda c: p[c])
-    sure = p[top] >= DECIDE and (top == "neutral" or longest_run(labels, top) >= RUN)
-    return p, top if sure else "neutral"
-
-
-TIMELINE = "subject_id long, window_index long, us long, label string, score double, positive double, neutral double, negative double, source_id string"
+                p[i] = before[i] + STEP
+                p[1] = min(1.0, p[1] + over * 0.5)
+        total = sum(p)
+        p = [x / total for x in p] if total > 0 else p
+    return tuple(p), tuple(p)
 
 
 def frame_timeline(frames: DataFrame, size_us: int = int(WINDOW_S * 1e6)) -> DataFrame:
-    """An event per window: decided label, its probability, the rounded probabilities, the first three sources."""
-    windows = frames.join(greedy_windows(frames, size_us), ["subject_id", "seq"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], None
-        for index, rows in pdf.sort_values(["us", "seq"]).groupby("window_index", sort=True):
-            before, label = _window(rows, before)
-            sources = ":".join(rows.source_id.dropna().astype(str).head(3))
-            out.append((rows.subject_id.iloc[0], index, rows.us.iloc[0], label, round(before[label], 4), *(round(before[c], 4) for c in CLASSES), sources))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TIMELINE.split(", ")])
-
-    return windows.groupBy("subject_id").applyInPandas(run, TIMELINE)
+    """An event per window: ``subject_id window_index us label score positive neutral negative confidence frame_count
+    source_id``, with the decided label, its probability, rounded values and the first three sources."""
+    ready = settled(window_measures(windowed(frames, size_us)))
+    kept = ready.select("subject_id", "window_index", "us", *(F.col(c).alias(f"{c}_0") for c in CLASSES), "run_positive", "run_negative", "avg_confidence", "frame_count", "source_id")
+    got = ordered_fold(kept, "subject_id", ["window_index"], [f"{c}_0" for c in CLASSES], lambda: None, no_escalation, "positive double, neutral double, negative double")
+    got = derived(got.withColumn("uncertainty", F.lit(0.0)))
+    top = F.col("dominant")
+    lasting = F.when(top == "positive", F.col("run_positive")).when(top == "negative", F.col("run_negative")) >= RUN
+    label = F.when((F.col("dominant_probability") >= DECIDE) & ((top == "neutral") | lasting), top).otherwise("neutral")
+    got = got.withColumn("label", label)
+    score = F.when(F.col("label") == "positive", F.col("positive")).when(F.col("label") == "negative", F.col("negative")).otherwise(F.col("neutral"))
+    return got.select("subject_id", "window_index", "us", "label", F.round(score, 4).alias("score"), *(F.round(c, 4).alias(c) for c in CLASSES), F.round("avg_confidence", 4).alias("confidence"), "frame_count", "source_id")
 
 
 def flip_flops(events: DataFrame) -> DataFrame:
     """Windows whose label differs from equal neighbours on both sides: a diagnostic."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("subject_id").orderBy("window_index")
     return events.withColumn("flip_flop", F.coalesce((F.lag("label").over(w) == F.lead("label").over(w)) & (F.col("label") != F.lag("label").over(w)), F.lit(False)))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.functions.scalars import digest
+from tideline.functions.scalars import digest, iso
+from tideline.sources.tables import cut
 
 SIDE = ("episode_index", "start_us", "end_us", "dominant_label", "episode_id")
 
@@ -66,6 +66,13 @@ def graph_ids(episodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(lines, "subject_id", "left").select("subject_id", digest(text).alias("graph_id"))
 
 
+def frontend_nodes(episodes: DataFrame) -> DataFrame:
+    """Nodes re-numbered by start time as a client draws them: id, times, label, count and hours."""
+    order = Window.partitionBy("subject_id").orderBy("start_us", "episode_index")
+    hours = F.round((F.col("end_us") - F.col("start_us")) / 3_600_000_000, 4)
+    return episodes.select("subject_id", (F.row_number().over(order) - 1).cast("long").alias("node"), "episode_id", iso(F.col("start_us")).alias("start_time"), iso(F.col("end_us")).alias("end_time"), F.coalesce("dominant_label", F.lit("unknown")).alias("label"), "event_count", hours.alias("hours"))
+
+
 def frontend_edges(episodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges over nodes re-numbered by start time, ends in order, with an id of their episode ids."""
     order = Window.partitionBy("subject_id").orderBy("start_us", "episode_index")
@@ -90,15 +97,16 @@ def degree_centrality(episodes: DataFrame, edges: DataFrame) -> DataFrame:
 def graph_summary(episodes: DataFrame, edges: DataFrame, threshold_us: int) -> DataFrame:
     """Nodes, edges, density, weak components and acyclicity per subject.
 
-    Episodes cut by gaps are in order of time, so a component is a stretch in which no neighbours are further
-    apart than the threshold: one running sum, no iteration."""
+    ``edges`` are those of ``narrative_edges`` with the same threshold. Episodes cut by gaps are in order of time, so a
+    component of these edges is a stretch in which no neighbours are further apart: one running sum, no iteration."""
     w = Window.partitionBy("subject_id").orderBy("episode_index")
     breaks = episodes.withColumn("__b", F.when(F.col("start_us") - F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1)) > threshold_us, 1).otherwise(0))
     nodes = breaks.groupBy("subject_id").agg(F.count("*").alias("node_count"), (F.sum("__b") + 1).alias("component_count"))
-    lines = edges.groupBy("subject_id").agg(F.count("*").alias("m"))
+    # Edges lead from lower to higher indices; without one that leads back there can be no cycle.
+    lines = edges.groupBy("subject_id").agg(F.count("*").alias("m"), F.bool_and(F.col("source_index") < F.col("target_index")).alias("upward"))
     got = nodes.join(lines, "subject_id", "left").withColumn("edge_count", F.coalesce("m", F.lit(0)))
     n = F.col("node_count")
-    return got.select("subject_id", "node_count", "edge_count", F.when(n <= 1, 0.0).otherwise(F.col("edge_count") / (n * (n - 1))).alias("density"), "component_count", F.lit(True).alias("is_dag"))
+    return got.select("subject_id", "node_count", "edge_count", F.when(n <= 1, 0.0).otherwise(F.col("edge_count") / (n * (n - 1))).alias("density"), "component_count", F.coalesce("upward", F.lit(True)).alias("is_dag"))
 
 
 def common_transitions(edges: DataFrame, k: int | None = 10) -> DataFrame:
@@ -112,11 +120,18 @@ def label_distribution(episodes: DataFrame) -> DataFrame:
     return episodes.filter("dominant_label IS NOT NULL").groupBy("subject_id", "dominant_label").agg(F.count("*").alias("n"))
 
 
-def label_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
-    """Simple cycles among a subject's label transitions up to ``longest`` labels, least label first.
+#: Cycles of a subject that are reported.
+MOST_CYCLES = 20
+
 
-    The label graph has a node per label, so ``longest`` equal to the number of labels finds all cycles."""
+def label_cycles(edges: DataFrame, most: int | None = MOST_CYCLES) -> DataFrame:
+    """Simple cycles among a subject's label transitions, least label first: all lengths, the ``most`` shortest of each
+    subject (a report; None for all).
+
+    The label graph has a node per label, so no cycle is longer than the number of labels. Paths grow by a label at a
+    time from their least label; once the shorter cycles of a subject are enough, its paths end."""
     steps = edges.filter("source_label IS NOT NULL AND target_label IS NOT NULL").select("subject_id", F.col("source_label").alias("a"), F.col("target_label").alias("b")).distinct()
+    longest = steps.groupBy("subject_id").agg(F.count_distinct("a").alias("n")).agg(F.max("n")).first()[0] or 1
     paths = steps.select("subject_id", F.col("a").alias("start"), F.col("b").alias("last"), F.array("a").alias("path"))
     found = paths.filter("start = last").select("subject_id", "path")
     paths = paths.filter("start < last").withColumn("path", F.array_append("path", F.col("last")))
@@ -124,64 +139,99 @@ def label_cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
         grown = paths.join(steps, (paths["subject_id"] == steps["subject_id"]) & (paths["last"] == steps["a"])).select(paths["subject_id"], "start", "path", F.col("b"))
         found = found.union(grown.filter("b = start").select("subject_id", "path"))
         paths = grown.filter((F.col("b") > F.col("start")) & ~F.array_contains("path", F.col("b"))).select("subject_id", "start", F.col("b").alias("last"), F.array_append("path", F.col("b")).alias("path"))
-    return found.select("subject_id", F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length")).distinct()
-
-
-def _betweenness(n: int, edges: list[tuple[int, int, float]]) -> list[float]:
-    """Shortest-path betweenness of a directed graph with non-negative lengths, over (n-1)(n-2)."""
-    out: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        if most is not None and longest > 3:
+            enough = found.groupBy("subject_id").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("subject_id")
+            paths = cut(paths.join(enough, "subject_id", "left_anti"))
+            found = cut(found)
+            if paths.isEmpty():
+                break
+    got = found.select("subject_id", F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length")).distinct()
+    if most is None:
+        return got
+    rank = F.row_number().over(Window.partitionBy("subject_id").orderBy("length", "cycle"))
+    return got.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def path_shares(n: int, edges: list[tuple[int, int, float]], sources: range) -> np.ndarray:
+    """For each node the shares of shortest paths from ``sources`` to other nodes that it lies on.
+
+    Edges lead from lower to higher numbers, so the nodes are in topological order. Forward, for all sources at once:
+    distances and numbers of shortest paths. Backward: over the paths that go on from a node, the sum of one by the number
+    of paths to their end; times the number of paths to the node that is its share."""
+    far, ways = np.full((len(sources), n), np.inf), np.zeros((len(sources), n))
+    far[np.arange(len(sources)), list(sources)], ways[np.arange(len(sources)), list(sources)] = 0.0, 1.0
+    into: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n)]
     for a, b, w in edges:
-        out[a].append((b, w))
-    total = [0.0] * n
-    for source in range(n):
-        far: dict[int, float] = {}
-        best = {source: 0.0}
-        ways, before, order = [0.0] * n, [[] for _ in range(n)], []
-        ways[source] = 1.0
-        turn = 0
-        queue = [(0.0, turn, source, source)]
-        while queue:
-            length, _, via, node = heapq.heappop(queue)
-            if node in far:
-                continue
-            ways[node] += ways[via] if node != source else 0.0
-            order.append(node)
-            far[node] = length
-            for to, w in out[node]:
-                step = length + w
-                if to not in far and (to not in best or step < best[to]):
-                    best[to] = step
-                    turn += 1
-                    heapq.heappush(queue, (step, turn, node, to))
-                    ways[to], before[to] = 0.0, [node]
-                elif step == best.get(to):
-                    ways[to] += ways[node]
-                    before[to].append(node)
-        share = [0.0] * n
-        for node in reversed(order):
-            for p in before[node]:
-                share[p] += ways[p] / ways[node] * (1 + share[node])
-            if node != source:
-                total[node] += share[node]
-    return [t / ((n - 1) * (n - 2)) if n > 2 else t for t in total]
+        into[b][0].append(a)
+        into[b][1].append(w)
+    for node, (tails, lengths) in enumerate(into):
+        if tails:
+            reach = far[:, tails] + np.array(lengths)
+            least = reach.min(axis=1)
+            nearer = least < far[:, node]
+            far[nearer, node] = least[nearer]
+            ways[nearer, node] = np.where(reach == least[:, None], ways[:, tails], 0.0).sum(axis=1)[nearer]
+    onward = np.zeros_like(ways)
+    for node in range(n - 1, -1, -1):
+        tails, lengths = into[node]
+        if tails:
+            on = (far[:, tails] + np.array(lengths) == far[:, [node]]) & np.isfinite(far[:, [node]])
+            here = 1 / np.where(ways[:, node] > 0, ways[:, node], 1.0) + onward[:, node]
+            np.add.at(onward.T, tails, np.where(on, here[:, None], 0.0).T)
+    ways[np.arange(len(sources)), list(sources)] = 0.0  # the ends of a path don't count
+    return (ways * onward).sum(axis=0)
+
+
+#: Sources that a task takes at a time; the sources of a large graph are spread over tasks.
+SOURCES = 256
 
 
 def betweenness(episodes: DataFrame, edges: DataFrame, distance: str = "weight") -> DataFrame:
     """Betweenness of every node. ``distance`` is "weight" (an edge's weight is its length), "1-weight" or "hop".
 
-    One group per subject: its episodes and edges, as a graph has to be seen whole."""
+    Edges lead from a lower to a higher index. A group is a subject's graph and a block of its sources; what the
+    blocks give is added up."""
     length = {"weight": F.col("weight"), "1-weight": 1 - F.col("weight"), "hop": F.lit(1.0)}[distance]
-    rows = episodes.select("subject_id", F.col("episode_index").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("w"))
-    rows = rows.union(edges.select("subject_id", "source_index", "target_index", length))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(pdf.loc[pdf.b.isna(), "a"])
-        number = {node: i for i, node in enumerate(nodes)}
-        lines = pdf[pdf.b.notna()].sort_values(["a", "b"])
-        values = _betweenness(len(nodes), [(number[a], number[int(b)], w) for a, b, w in zip(lines.a, lines.b, lines.w, strict=True)])
-        return pd.DataFrame({"subject_id": pdf.subject_id.iloc[0], "episode_index": nodes, "betweenness": values})
-
-    return rows.groupBy("subject_id").applyInPandas(run, "subject_id long, episode_index long, betweenness double")
+    nodes = episodes.select("subject_id", "episode_index", (F.row_number().over(Window.partitionBy("subject_id").orderBy("episode_index")) - 1).alias("node"))
+    size = nodes.groupBy("subject_id").agg(F.count("*").alias("n"))
+    ends = [nodes.select("subject_id", F.col("episode_index").alias(f"{e}_index"), F.col("node").alias(e)) for e in ("source", "target")]
+    lines = edges.select("subject_id", "source_index", "target_index", length.cast("double").alias("w")).join(ends[0], ["subject_id", "source_index"]).join(ends[1], ["subject_id", "target_index"])
+    blocked = lines.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("source", "target", "w"))).alias("lines")).join(size, "subject_id")
+    blocked = blocked.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SOURCES).cast("int")))).repartition("subject_id", "block")
+
+    def run(batches):
+        for batch in batches:
+            keys, nodes, shares = [], [], []
+            for subject, graph, n, block in zip(*(batch.column(c).to_pylist() for c in ("subject_id", "lines", "n", "block")), strict=True):
+                edges = [(x["source"], x["target"], x["w"]) for x in graph]
+                if any(a >= b for a, b, _ in edges):
+                    raise ValueError("an edge leads to a lower index")
+                values = path_shares(n, edges, range(block * SOURCES, min(n, (block + 1) * SOURCES)))
+                keys.append(np.full(n, subject)), nodes.append(np.arange(n)), shares.append(values)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, shares)], ["subject_id", "node", "share"])
+
+    shares = blocked.mapInArrow(run, "subject_id long, node long, share double").groupBy("subject_id", "node").agg(F.sum("share").alias("share"))
+    got = nodes.join(size, "subject_id").join(shares, ["subject_id", "node"], "left")
+    n, share = F.col("n"), F.coalesce("share", F.lit(0.0))
+    return got.select("subject_id", "episode_index", F.when(n > 2, share / ((n - 1) * (n - 2))).otherwise(share).alias("betweenness"))
+
+
+def node_metrics(episodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row per node with its times, label, degrees and betweenness."""
+    keys = ["subject_id", "episode_index"]
+    rows = episodes.select(*keys, iso(F.col("start_us")).alias("start_time"), iso(F.col("end_us")).alias("end_time"), "dominant_label")
+    return rows.join(degree_centrality(episodes, edges), keys).join(betweenness(episodes, edges), keys)
+
+
+def graph_report(episodes: DataFrame, edges: DataFrame, threshold_us: int) -> DataFrame:
+    """A row per subject: summary, and its transitions, cycles and label counts as arrays in order. A report: ten
+    transitions and ``MOST_CYCLES`` cycles at most."""
+    listed = lambda df, name, *columns: df.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    got = graph_summary(episodes, edges, threshold_us)
+    got = got.join(listed(common_transitions(edges), "transitions", "rank", "source_label", "target_label", "n"), "subject_id", "left")
+    got = got.join(listed(label_cycles(edges), "cycles", "length", "cycle"), "subject_id", "left")
+    return got.join(listed(label_distribution(episodes), "labels", "dominant_label", "n"), "subject_id", "left")
 
 
 def blended_edges(edges: DataFrame, signatures: DataFrame, dimensions: list[str], place_weight: float = 0.3) -> DataFrame:

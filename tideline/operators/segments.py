@@ -94,3 +94,22 @@ def gap_episodes(events: DataFrame, gap_us: int) -> DataFrame:
     per = per.withColumn("end_us", F.col("last_us") + F.when(alone, 1).otherwise(1_000_000)).drop("last_us")
     name = F.concat_ws(":", F.col("subject_id").cast("string"), iso(F.col("start_us")), iso(F.col("end_us")))
     return per.withColumn("episode_id", digest(name))
+
+
+def episode_violations(episodes: DataFrame, events: DataFrame) -> DataFrame:
+    """Broken invariants of episodes and their events (``subject_id episode_index us seq``): ``subject_id episode_index
+    problem n``. An episode starts no later than it ends, and its events are inside of ``[start_us, end_us)`` and in order."""
+    keys = ["subject_id", "episode_index"]
+    before = F.lag("us").over(Window.partitionBy(*keys).orderBy("seq"))
+    rows = events.select(*keys, "us", (F.col("us") < before).alias("late")).join(episodes.select(*keys, "start_us", "end_us"), keys)
+    kinds = {"event before start": F.col("us") < F.col("start_us"), "event at or after end": F.col("us") >= F.col("end_us"), "events out of order": F.coalesce("late", F.lit(False))}
+    counts = rows.groupBy(*keys).agg(*(F.count_if(v).alias(k) for k, v in kinds.items())).unpivot(keys, list(kinds), "problem", "n").filter("n > 0")
+    return episodes.filter("start_us > end_us").select(*keys, F.lit("start after end").alias("problem"), F.lit(1).cast("long").alias("n")).unionByName(counts)
+
+
+def episode_percentages(episodes: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Mean positive, neutral and negative of an episode's complete ``estimates`` (with ``subject_id episode_index``) in
+    percent, rounded half up; an episode without any has zeros."""
+    keys, classes = ["subject_id", "episode_index"], ("positive", "neutral", "negative")
+    whole = estimates.dropna(subset=list(classes)).groupBy(*keys).agg(*(F.floor(F.avg(c) * 100 + 0.5).cast("long").alias(c) for c in classes))
+    return episodes.select(*keys).join(whole, keys, "left").select(*keys, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in classes))

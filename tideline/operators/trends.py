@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tideline.operators.ordered import ordered_fold
 from tideline.operators.timeline import ordered
 
 
@@ -20,20 +21,21 @@ def rolling_mean(rows: DataFrame, value: Column, width: int = 5) -> DataFrame:
 def exponential_mean(rows: DataFrame, value: Column, span: int = 5) -> DataFrame:
     """``subject_id us seq ema``, y = a x + (1 - a) y before, with a = 2 / (span + 1) and y = x at first.
 
-    A fold over the ordered array of one subject: a null carries the last value on while older weights decay."""
+    A fold in order: a null carries the last value on while older weights decay."""
     alpha = 2.0 / (span + 1)
-    kind = "struct<y:double,old:double,out:array<struct<us:bigint,seq:bigint,ema:double>>>"
-    zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("old"), F.array().cast("array<struct<us:bigint,seq:bigint,ema:double>>").alias("out")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        old = s["old"] * (1 - alpha)
-        mixed = (old * s["y"] + alpha * x["v"]) / (old + alpha)
-        y = F.when(x["v"].isNull(), s["y"]).when(s["y"].isNull(), x["v"]).otherwise(mixed)
-        left = F.when(s["y"].isNull() & x["v"].isNull(), 1.0).when(x["v"].isNull(), old).otherwise(1.0)
-        return F.struct(y.alias("y"), left.alias("old"), F.array_append(s["out"], F.struct(x["us"].alias("us"), x["seq"].alias("seq"), y.alias("ema"))).alias("out")).cast(kind)
-
-    got = rows.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("us", "seq", value.alias("v")))).alias("x"))
-    return got.select("subject_id", F.inline(F.aggregate("x", zero, step, lambda s: s["out"])))
+
+    def step(state, x):
+        y, old = state
+        if x is None:
+            return (y, old if y is None else old * (1 - alpha)), (y,)
+        if y is None:
+            return (x, 1.0), (x,)
+        old *= 1 - alpha
+        y = (old * y + alpha * x) / (old + alpha)
+        return (y, 1.0), (y,)
+
+    kept = rows.select("subject_id", "us", "seq", value.cast("double").alias("v"))
+    return ordered_fold(kept, "subject_id", ["us", "seq"], ["v"], lambda: (None, 1.0), step, "ema double").drop("v")
 
 
 def latest(rows: DataFrame, *columns: str) -> DataFrame:

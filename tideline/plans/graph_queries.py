@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import graphs
-from tideline.plans.timelines import EPISODES_SQL, HOUR, episodes
-from tideline.sources.adapters import CHIME, EVENTS_SQL
+from tideline.functions.scalars import iso_sql
+from tideline.operators import graphs, segments
+from tideline.plans.timelines import EPISODES_SQL, GAP, HOUR, episodes
+from tideline.sources.adapters import CHIME, EVENTS_SQL, emotion_events
 
 NEAR = 12 * HOUR
 
@@ -40,7 +41,31 @@ def blended(spark, sf_dir):
     return graphs.blended_edges(graphs.narrative_edges(ep, NEAR), sig, list(CHIME)).select("subject_id", "source_index", "target_index", "relation", *r6("weight"))
 
 
+def report(spark, sf_dir):
+    got = graphs.graph_report(episodes(spark, sf_dir), edges(spark, sf_dir), NEAR)
+    sizes = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(f"n_{c}") for c in ("transitions", "cycles", "labels")]
+    return got.select("subject_id", "node_count", "edge_count", *r6("density"), "component_count", "is_dag", *sizes)
+
+
+def sessions(spark, sf_dir):
+    """Events with their episode, every seventh of them a day late."""
+    got = segments.gap_sessions(emotion_events(spark, sf_dir), GAP)
+    return got.withColumn("us", F.col("us") + F.when(F.pmod("seq", F.lit(7)) == 0, 24 * HOUR).otherwise(0))
+
+
+def percentages(spark, sf_dir):
+    """Estimates of events whose id isn't divisible by three."""
+    e = segments.gap_sessions(emotion_events(spark, sf_dir), GAP)
+    share = lambda m: F.when(F.pmod("seq", F.lit(3)) != 0, F.pmod("seq", F.lit(m)) / m)
+    return segments.episode_percentages(episodes(spark, sf_dir), e.select("subject_id", "episode_index", share(5).alias("positive"), share(7).alias("neutral"), share(11).alias("negative")))
+
+
 QUERIES = {
+    "graph_report": report,
+    "node_metrics": lambda s, d: graphs.node_metrics(episodes(s, d), edges(s, d)).select("subject_id", "episode_index", "start_time", "end_time", "dominant_label", *r6("degree", "in_degree", "out_degree", "betweenness")),
+    "frontend_nodes": lambda s, d: graphs.frontend_nodes(episodes(s, d)),
+    "episode_violations": lambda s, d: segments.episode_violations(episodes(s, d), sessions(s, d)),
+    "episode_percentages": percentages,
     "narrative_edges": lambda s, d: edges(s, d).select("subject_id", "source_index", "target_index", "relation", *r6("weight")),
     "narrative_edges_all_pairs": all_pairs,
     "edges_for_node": touching,
@@ -67,6 +92,15 @@ STEPS = "st AS (SELECT DISTINCT subject_id, sl AS a, tl AS b FROM edges)"
 _dot = " + ".join(f'a."{k}" * b."{k}"' for k in CHIME)
 _na, _nb = (" + ".join(f'{x}."{k}" * {x}."{k}"' for k in CHIME) for x in "ab")
 ORACLES = {
+    "frontend_nodes": f"{BASE} SELECT subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY start_us, episode_index) - 1 AS node, episode_id, {iso_sql('start_us')} AS start_time, {iso_sql('end_us')} AS end_time, coalesce(dominant_label, 'unknown') AS label, event_count, round((end_us - start_us) / 3600000000::DOUBLE, 4) AS hours FROM episodes",
+    "episode_percentages": f"{BASE} SELECT subject_id, episode_index, " + ", ".join(f"CAST(coalesce(floor(avg(CASE WHEN seq % 3 <> 0 THEN seq % {m} / {m}::DOUBLE END) * 100 + 0.5), 0) AS BIGINT) AS {k}" for k, m in (("positive", 5), ("neutral", 7), ("negative", 11))) + " FROM s2 GROUP BY ALL",
+    "episode_violations": f"""{BASE}, x AS (SELECT subject_id, episode_index, seq, us + CASE WHEN seq % 7 = 0 THEN 86400000000 ELSE 0 END AS us FROM s2), y AS (SELECT x.*, lag(us) OVER (PARTITION BY subject_id, episode_index ORDER BY seq) AS b FROM x), z AS (SELECT y.*, start_us, end_us FROM y JOIN episodes USING (subject_id, episode_index))
+SELECT subject_id, episode_index, 'event before start' AS problem, count(*) AS n FROM z WHERE us < start_us GROUP BY ALL UNION ALL SELECT subject_id, episode_index, 'event at or after end', count(*) FROM z WHERE us >= end_us GROUP BY ALL UNION ALL SELECT subject_id, episode_index, 'events out of order', count(*) FROM z WHERE us < b GROUP BY ALL""",
+    "graph_report": f"""{BASE}, br AS (SELECT subject_id, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY subject_id ORDER BY episode_index) > {NEAR} THEN 1 ELSE 0 END AS b FROM episodes), n AS (SELECT subject_id, count(DISTINCT dominant_label) AS n_labels FROM episodes GROUP BY subject_id),
+m AS (SELECT subject_id, count(*) AS m, count(DISTINCT sl || '>' || tl) AS t FROM edges GROUP BY subject_id), {STEPS}, cy AS (SELECT subject_id, a AS cycle FROM st WHERE a = b UNION SELECT x.subject_id, x.a || '>' || x.b FROM st x JOIN st y ON x.subject_id = y.subject_id AND x.b = y.a AND y.b = x.a WHERE x.a < x.b
+UNION SELECT x.subject_id, x.a || '>' || x.b || '>' || y.b FROM st x JOIN st y ON x.subject_id = y.subject_id AND x.b = y.a JOIN st z ON z.subject_id = y.subject_id AND y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b), cn AS (SELECT subject_id, count(*) AS c FROM cy GROUP BY subject_id),
+k AS (SELECT subject_id, count(*) AS node_count FROM episodes GROUP BY subject_id), c2 AS (SELECT subject_id, CAST(sum(b) + 1 AS BIGINT) AS component_count FROM br GROUP BY subject_id)
+SELECT subject_id, k.node_count, coalesce(m, 0) AS edge_count, round(CASE WHEN k.node_count <= 1 THEN 0.0 ELSE coalesce(m, 0) / (k.node_count * (k.node_count - 1)) END, 6) AS density, c2.component_count, true AS is_dag, least(coalesce(t, 0), 10) AS n_transitions, coalesce(c, 0) AS n_cycles, n_labels FROM k JOIN c2 USING (subject_id) JOIN n USING (subject_id) LEFT JOIN m USING (subject_id) LEFT JOIN cn USING (subject_id)""",
     "narrative_edges": f"{BASE} SELECT subject_id, i AS source_index, j AS target_index, relation, round(weight, 6) AS weight FROM edges",
     "narrative_edges_all_pairs": f"{BASE} SELECT subject_id, i AS episode_index_a, j AS episode_index_b, relation, gap AS gap_us, round(overlap, 6) AS overlap_coefficient, round(weight, 6) AS weight FROM pairs",
     "edges_for_node": f"{BASE} SELECT subject_id, i AS source_index, j AS target_index, relation FROM edges WHERE i = 0 OR j = 0",

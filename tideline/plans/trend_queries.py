@@ -91,7 +91,10 @@ SELECT a, b, max(w) - min(w) + 1 AS window_count, round(sum(abs(coalesce(x, 0) -
   count(x) AS windows_a, count(y) AS windows_b, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS windows_both FROM p GROUP BY a, b""",
     "presence_distance_matrix": f"""WITH {EVENTS_SQL}, {_pairs}, p AS (SELECT a, b, w, count(DISTINCT side) AS n FROM sd GROUP BY ALL), q AS (SELECT a, b, count(*) FILTER (WHERE n = 1) AS distance FROM p GROUP BY a, b)
 SELECT * FROM q UNION ALL SELECT b, a, distance FROM q UNION ALL SELECT DISTINCT subject_id, subject_id, 0 FROM e""",
-    "correction_rate_limit": f"WITH {EVENTS_SQL}, c AS (SELECT subject_id, seq, count(*) OVER (PARTITION BY subject_id ORDER BY us RANGE BETWEEN {12 * corrections.HOUR_US} PRECEDING AND CURRENT ROW) AS in_last_hour FROM ev) SELECT *, in_last_hour <= 2 AS allowed FROM c",
+    "correction_rate_limit": f"""WITH RECURSIVE {EVENTS_SQL}, i AS (SELECT subject_id, seq, us, row_number() OVER (PARTITION BY subject_id ORDER BY us, seq) AS k FROM ev),
+r AS (SELECT subject_id, seq, k, 0::BIGINT AS n, [us] AS kept FROM i WHERE k = 1
+  UNION ALL SELECT i.subject_id, i.seq, i.k, len(z.l)::BIGINT, CASE WHEN len(z.l) < 2 THEN list_append(z.l, i.us) ELSE z.l END FROM r JOIN i ON i.subject_id = r.subject_id AND i.k = r.k + 1, LATERAL (SELECT list_filter(r.kept, lambda t: t >= i.us - 43200000000) AS l) z)
+SELECT subject_id, seq, n AS in_last_hour, n < 2 AS allowed FROM r""",
     "latest_correction": f"WITH {EVENTS_SQL} SELECT subject_id, seq % 7 AS post_id, arg_max(label, us) AS label, count(*) AS history FROM ev GROUP BY ALL",
     "fl_queue_claim": f"""WITH {EVENTS_SQL}, p AS (SELECT seq, us, ['pending', 'processing', 'done'][seq % 3 + 1] AS st, CASE WHEN seq % 3 = 1 THEN us END AS claimed_us FROM ev), q AS (SELECT seq, us, CASE WHEN st = 'processing' AND claimed_us < {NOW - corrections.HOUR_US} THEN 'pending' ELSE st END AS st, claimed_us FROM p),
 t AS (SELECT seq FROM q WHERE st = 'pending' ORDER BY us, seq LIMIT 50), k AS (SELECT count(*) >= 50 AS ready FROM q WHERE st = 'pending')
