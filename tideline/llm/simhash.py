@@ -115,8 +115,8 @@ def expected(nodes: int, groups: int, radius: int = RADIUS) -> tuple[int, float]
 
 
 def grid(nodes: int, radius: int = RADIUS) -> int:
-    """The number of groups with the least work for so many fingerprints."""
-    return min(range(radius + 1, 17), key=lambda g: expected(nodes, g, radius)[0] * ROW_COST + expected(nodes, g, radius)[1])
+    """The number of groups with the least work for so many fingerprints; a cell fixes two groups at least."""
+    return min(range(radius + 2, 17), key=lambda g: expected(nodes, g, radius)[0] * ROW_COST + expected(nodes, g, radius)[1])
 
 
 def masks(groups: int, radius: int) -> list[np.uint64]:
