@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.scalars import ordinal
 
 
-def subject_pairs(events: DataFrame) -> DataFrame:
-    """Pairs a < b of subjects with their own shared anchor (the earlier first event) and last event.
+#: Query subjects that are compared with all subjects at a time.
+BLOCK = 500
 
-    A distance matrix has a row per pair by its nature; choose the subjects before calling it."""
+
+def subject_pairs(events: DataFrame, chosen: Column) -> DataFrame:
+    """Pairs of a ``chosen`` subject (a condition on ``subject_id``) and any other, with their own shared anchor (the
+    earlier first event) and last event.
+
+    A stated set of queries against all rows, in blocks: the chosen are dealt to blocks, and a subject goes to each. The
+    result has a row per pair by its nature."""
     ends = events.groupBy("subject_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     a, b = (ends.select(F.col("subject_id").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}")) for s in "ab")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.least("lo_a", "lo_b").alias("anchor_us"), F.greatest("hi_a", "hi_b").alias("last_us"))
+    queries = ends.filter(chosen)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    a = a.join(queries.select(F.col("subject_id").alias("a")), "a", "left_semi").withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return a.join(b, "block").filter("a <> b").select("a", "b", F.least("lo_a", "lo_b").alias("anchor_us"), F.greatest("hi_a", "hi_b").alias("last_us"))
 
 
 def _sides(events: DataFrame, pairs: DataFrame, width_us: int) -> DataFrame:
@@ -42,8 +52,7 @@ def presence_distance(events: DataFrame, pairs: DataFrame, width_us: int) -> Dat
     return per.groupBy("a", "b").agg(F.count_if(F.col("sides") == 1).alias("distance"))
 
 
-def mirrored(distances: DataFrame, subjects: DataFrame) -> DataFrame:
-    """The square matrix in long form: both directions and a zero diagonal."""
-    rows = distances.select("a", "b", "distance")
+def with_diagonal(distances: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Rows of the matrix in long form: the distances, and zero from each of ``subjects`` to itself."""
     same = subjects.select(F.col("subject_id").alias("a"), F.col("subject_id").alias("b"), F.lit(0).cast("long").alias("distance"))
-    return rows.union(rows.select("b", "a", "distance")).union(same)
+    return distances.select("a", "b", "distance").union(same)

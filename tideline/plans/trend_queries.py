@@ -12,7 +12,6 @@ from tideline.sources.adapters import EVENTS_SQL, emotion_events
 
 MOOD = ordinal_sql("label")
 NOW = 1_706_000_000_000_000
-FIRST = 40
 
 
 def mood(spark, sf_dir):
@@ -24,9 +23,8 @@ def mood(spark, sf_dir):
 MOOD_SQL = f"m AS (SELECT *, CASE WHEN event_type <> 'signup' THEN {MOOD} END AS mood FROM ev)"
 
 
-def some(spark, sf_dir):
-    """The stated subjects of a distance matrix."""
-    return emotion_events(spark, sf_dir).filter(F.col("subject_id") < FIRST)
+#: The stated subjects of a distance matrix: their rows of it, against all subjects.
+STATED = "subject_id % 100 = 0"
 
 
 def r6(*names):
@@ -34,13 +32,13 @@ def r6(*names):
 
 
 def pair_distance(spark, sf_dir):
-    e = some(spark, sf_dir)
-    return alignment.pair_distance(e, alignment.subject_pairs(e), DAY).select("a", "b", "window_count", *r6("mean_abs_difference", "sum_squared_difference"), "windows_a", "windows_b", "windows_both")
+    e = emotion_events(spark, sf_dir)
+    return alignment.pair_distance(e, alignment.subject_pairs(e, F.expr(STATED)), DAY).select("a", "b", "window_count", *r6("mean_abs_difference", "sum_squared_difference"), "windows_a", "windows_b", "windows_both")
 
 
 def presence(spark, sf_dir):
-    e = some(spark, sf_dir)
-    return alignment.mirrored(alignment.presence_distance(e, alignment.subject_pairs(e), DAY), e.select("subject_id").distinct())
+    e = emotion_events(spark, sf_dir)
+    return alignment.with_diagonal(alignment.presence_distance(e, alignment.subject_pairs(e, F.expr(STATED)), DAY), e.filter(STATED).select("subject_id").distinct())
 
 
 def fixes(spark, sf_dir):
@@ -75,8 +73,8 @@ QUERIES = {
     "latest_correction": lambda s, d: corrections.latest_correction(fixes(s, d)),
     "fl_queue_claim": queue,
 }
-_pairs = f"""e AS (SELECT * FROM ev WHERE subject_id < {FIRST}), b AS (SELECT subject_id, min(us) AS lo FROM e GROUP BY subject_id),
-pr AS (SELECT x.subject_id AS a, y.subject_id AS b, least(x.lo, y.lo) AS anchor FROM b x JOIN b y ON x.subject_id < y.subject_id),
+_pairs = f"""e AS (SELECT * FROM ev), b AS (SELECT subject_id, min(us) AS lo FROM e GROUP BY subject_id),
+pr AS (SELECT x.subject_id AS a, y.subject_id AS b, least(x.lo, y.lo) AS anchor FROM b x JOIN b y ON x.subject_id % 100 = 0 AND x.subject_id <> y.subject_id),
 sd AS (SELECT a, b, 'a' AS side, CAST(floor((us - anchor) / {DAY}::DOUBLE) AS BIGINT) AS w, label FROM pr JOIN e ON subject_id = a UNION ALL SELECT a, b, 'b', CAST(floor((us - anchor) / {DAY}::DOUBLE) AS BIGINT), label FROM pr JOIN e ON subject_id = b)"""
 _pick = lambda m: "['" + "', '".join(DIMENSIONS) + f"'][(seq * {m}) % 5 + 1]"
 ORACLES = {
@@ -90,7 +88,7 @@ r AS (SELECT subject_id, seq, k, v AS y FROM i WHERE k = 1 UNION ALL SELECT i.su
 SELECT a, b, max(w) - min(w) + 1 AS window_count, round(sum(abs(coalesce(x, 0) - coalesce(y, 0))) / (max(w) - min(w) + 1), 6) AS mean_abs_difference, round(sum(pow(coalesce(x, 0) - coalesce(y, 0), 2)), 6) AS sum_squared_difference,
   count(x) AS windows_a, count(y) AS windows_b, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS windows_both FROM p GROUP BY a, b""",
     "presence_distance_matrix": f"""WITH {EVENTS_SQL}, {_pairs}, p AS (SELECT a, b, w, count(DISTINCT side) AS n FROM sd GROUP BY ALL), q AS (SELECT a, b, count(*) FILTER (WHERE n = 1) AS distance FROM p GROUP BY a, b)
-SELECT * FROM q UNION ALL SELECT b, a, distance FROM q UNION ALL SELECT DISTINCT subject_id, subject_id, 0 FROM e""",
+SELECT * FROM q UNION ALL SELECT DISTINCT subject_id, subject_id, 0 FROM e WHERE subject_id % 100 = 0""",
     "correction_rate_limit": f"""WITH RECURSIVE {EVENTS_SQL}, i AS (SELECT subject_id, seq, us, row_number() OVER (PARTITION BY subject_id ORDER BY us, seq) AS k FROM ev),
 r AS (SELECT subject_id, seq, k, 0::BIGINT AS n, [us] AS kept FROM i WHERE k = 1
   UNION ALL SELECT i.subject_id, i.seq, i.k, len(z.l)::BIGINT, CASE WHEN len(z.l) < 2 THEN list_append(z.l, i.us) ELSE z.l END FROM r JOIN i ON i.subject_id = r.subject_id AND i.k = r.k + 1, LATERAL (SELECT list_filter(r.kept, lambda t: t >= i.us - 43200000000) AS l) z)
