@@ -316,3 +316,35 @@ def test_base_spans_of_patterns(spark, tmp_path, query, kinds, parts):
         assert set(want) <= set(got[k]["spans"].split(",") if got[k]["spans"] else [])
         for kind in kinds:
             assert got[k][f"n_{kind}"] == sum(s.startswith(kind) for s in want)
+
+
+def test_disclosing_terms_against_all_pairs(spark):
+    """Every pair of an entity and a term is rated from its definition; copies, repeated rows and shared sets included."""
+    rng = random.Random(23)
+    names, people, plain = [f"u{i}@m.org" for i in range(30)], [f"Person{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(31)], ["common", "words", "stand", "here", "often"]
+    rows = []
+    for i in range(260):
+        who = rng.sample(range(30), rng.choice([0, 0, 0, 0, 1, 1, 2]))
+        about = [people[w] for w in who if rng.random() < 0.8] + [people[w + 1] for w in who if rng.random() < 0.5]
+        rows.append((i, " ".join(rng.sample(plain, 3) + about + [names[w] for w in who] + ([f"alone{chr(97 + i % 26) * (i % 7 + 1)}"] if who and rng.random() < 0.2 else []))))
+    rows += rows[:4] * 2 + [(900 + i, t) for i, (_, t) in enumerate(rows[:20])]
+    terms = {k: {w.lower() for w in re.findall(r"[^\W\d_]+", t) if len(w) >= 4} for k, (_, t) in enumerate(rows)}
+    held = {k: set(re.findall(r"u\d+@m\.org", t)) for k, (_, t) in enumerate(rows)}
+    bad = set()
+    for entity in names:
+        with_it = {k for k in held if entity in held[k]}
+        share = len(with_it) / len(rows)
+        for term in set().union(*terms.values()):
+            having = {k for k in terms if term in terms[k]}
+            rate = (len(having & with_it) + pii.SMOOTH * share) / (len(having) + pii.SMOOTH)
+            if share and rate * 100 >= pii.DISCLOSURE and rate >= share * 2**pii.BITS:
+                bad.add(term)
+    assert len(bad) > 5 and len(set().union(*terms.values()) - bad) > 5
+    want = {}
+    for i, text in rows:
+        spans = [(m.start(), m.end(), "email") for m in re.finditer(r"u\d+@m\.org", text)]
+        spans += [(m.start(), m.end(), "term") for m in re.finditer(r"[^\W\d_]+", text) if m[0].lower() in bad and not any(a < m.end() and b > m.start() for a, b, _ in spans)]
+        if spans:
+            want[i] = sorted(spans)
+    got = {r["dk"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in pii.disclosures(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want

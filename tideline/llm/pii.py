@@ -1,24 +1,23 @@
 """Personal data: pattern rules, and terms that give protected entities away.
 
-Rules find e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. Information-theoretic part:
-an entity is a value that a rule found; its context is the text within ``CONTEXT`` characters on either side.
-Over the whole corpus, ``co`` counts the documents in which a term stands in the context of an entity and ``df``
-the documents that have the term at all. A term discloses an entity when it was seen with it in at least
-``SUPPORT`` documents, ``co / df`` (the chance of the entity given the term) is at least ``DISCLOSURE``
-hundredths, and it tells at least ``BITS`` bits more than the entity's own frequency does. Such a term becomes
-a span of kind ``term`` wherever it stands in the context of that entity. That is ``op10_pii``, which its SQL
-defines. ``disclosures`` has no such cuts: ``co`` counts documents that hold both anywhere, rates are smoothed by
-``SMOOTH`` documents that have the entity as often as the corpus has, instead of ``SUPPORT``, and a term that
-discloses any entity is a span at each of its places in every document. ``sanitise`` and ``op10_pii_disclosure``
-use it; ``sanitise`` replaces entities by their kind and generalises terms to ``[term]``. Only built-in functions
-are used.
-
-Only documents with entities (few) are exploded to contexts; frequencies of terms are counted over all documents
-with partial sums before they are joined. Terms and entities are counted per document, so no pairs of documents
-or of entities are made.
+Rules find e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. Information-theoretic part: an
+entity is a value that a rule found, of any frequency. Over the whole corpus, ``co`` counts the documents that hold a
+term and an entity, ``df`` those that hold the term, and ``share`` is the part of the corpus that holds the entity.
+The rate ``(co + SMOOTH * share) / (df + SMOOTH)`` is the chance of the entity given the term, smoothed by ``SMOOTH``
+documents that have the entity as often as the corpus has. A term discloses an entity when its rate is at least
+``DISCLOSURE`` hundredths and tells at least ``BITS`` bits more than ``share`` does. A term that discloses any entity
+is a span of kind ``term`` at each of its places in every document, unless an entity overlaps it. ``op10_pii`` returns
+these spans; ``sanitise`` replaces entities by their kind and generalises terms to ``[term]``.
+
+``op10_pii_context`` is a narrower view beside it: a term counts only within ``CONTEXT`` characters of an entity, with
+no smoothing but a ``SUPPORT`` of documents, and is a span only near that entity. Only built-in functions are used.
+
+Frequencies of terms are counted over all documents with partial sums before they are joined. Terms (and entities)
+that stand in the same documents have the same counts, so one of each such class stands for all of it: a document
+makes a row per class of terms and class of entities that could disclose each other, not per pair of values.
 
 Defined cases: a null text is empty; rows of one id with different texts are judged by text; repeated rows get the
-same spans and count as often as they stand in all four counts; null ids are kept; offsets are code points; an empty
+same spans and count as often as they stand in all counts; null ids are kept; offsets are code points; an empty
 table gives an empty result; extra columns are ignored. Texts are read whole.
 """
 
@@ -166,6 +165,16 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(runs, lambda w: F.length(w) >= TERM_CHARS))
 
 
+def alike(rows: DataFrame, name: str, *same: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``dk tk m name same...``, a name once to a document) of one name for all that stand in the same
+    documents, and that name as ``first`` beside every name."""
+    mark = lambda seed: F.bit_xor(F.xxhash64("dk", "tk", F.lit(seed)))
+    marked = rows.groupBy(name, *same).agg(mark(1).alias("one"), mark(2).alias("two"))
+    # A class is no larger than the values of one document.
+    known = written(marked.select(name, *same, F.min(name).over(Window.partitionBy("one", "two", *same)).alias("first")), f"alike-{name}")
+    return rows.join(known.filter(F.col("first") == F.col(name)).select(name), name), known
+
+
 def disclosing_anywhere(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Terms that disclose an entity of any frequency; ``found`` as of ``with_entities``.
 
@@ -178,16 +187,23 @@ def disclosing_anywhere(docs: DataFrame, found: DataFrame) -> DataFrame:
     able = most.join(term_counts(keyed(docs), _terms(F.col("text"))), "term").filter((F.col("most") + SMOOTH) * 100 >= (F.col("df") + SMOOTH) * DISCLOSURE)
     able = written(able.select("term", "df"), "able")
     total = docs.agg(F.count("*").alias("total")).scalar()
-    share = written(entity_counts(found).select("entity", "n", (F.col("n") / total).alias("share")), "shares")
+    # A rate is under one: an entity of a larger share can't be told that many bits about.
+    share = entity_counts(found).select("entity", "n", (F.col("n") / total).alias("share")).filter(F.col("share") * 2**BITS <= 1)
+    share = written(share, "shares")
     ents = found.select("dk", "tk", "m", F.explode(F.array_distinct(F.transform("ents", lambda e: e["entity"]))).alias("entity")).join(share, "entity")
-    rate = (F.col("co") + SMOOTH * F.col("share")) / (F.col("df") + SMOOTH)
-    discloses = (rate * 100 >= DISCLOSURE) & (F.log2(rate / F.col("share")) >= BITS)
+
+    def discloses(co: Column) -> Column:
+        rate = (co + SMOOTH * F.col("share")) / (F.col("df") + SMOOTH)
+        return (rate * 100 >= DISCLOSURE) & (rate >= F.col("share") * 2**BITS)
+
     here = near.join(able, "term")
     rarest = ents.groupBy("dk", "tk").agg(F.min("share").alias("share"))
-    single = here.filter("df = 1").withColumn("co", F.col("m")).join(rarest, ["dk", "tk"]).filter(discloses).select("term")
-    pairs = here.filter("df > 1").select("dk", "tk", "m", "term", "df").join(ents.filter("n > 1").select("dk", "tk", "entity", "share"), ["dk", "tk"])
-    several = pairs.groupBy("entity", "term", "df", "share").agg(F.sum("m").alias("co")).filter(discloses).select("term")
-    return single.union(several).distinct()
+    single = here.filter("df = 1").join(rarest, ["dk", "tk"]).filter(discloses(F.col("m"))).select("term")
+    terms, classes = alike(here.filter("df > 1").select("dk", "tk", "m", "term", "df"), "term", "df")
+    firsts, _ = alike(ents.filter("n > 1").select("dk", "tk", "m", "entity", "n", "share"), "entity", "n", "share")
+    pairs = terms.join(firsts.drop("m"), ["dk", "tk"]).filter(discloses(F.least("df", "n")))
+    several = pairs.groupBy("entity", "term", "df", "share").agg(F.sum("m").alias("co")).filter(discloses(F.col("co"))).select(F.col("term").alias("first")).distinct()
+    return single.union(classes.join(several, "first").select("term")).distinct()
 
 
 def disclosures(docs: DataFrame) -> DataFrame:
@@ -225,24 +241,28 @@ def sanitise(docs: DataFrame) -> DataFrame:
     return got.withColumn("text", F.when(spans.isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
 
 
-def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = keyed(docs).select("dk", "tk").join(detect(docs).hint("shuffle_hash"), ["dk", "tk"], "left")
+def _digest(docs: DataFrame, found: DataFrame, *counted: str) -> DataFrame:
+    """A row per document: its spans (``found``: ``dk tk spans``), how many of the ``counted`` kinds, and a digest of
+    the base ones."""
+    got = keyed(docs).select("dk", "tk").join(found.hint("shuffle_hash"), ["dk", "tk"], "left")
     spans = F.coalesce("spans", F.array().cast(S.KIND))
     base = F.filter(spans, lambda s: s["ord"] < len(KINDS))
     doc_id = F.when(F.col("dk") != -(2**63), F.col("dk")).alias("doc_id")
-    return got.select(doc_id, *(S.how_many(spans, k).alias(f"n_{k}") for k in KINDS), F.sha2(S.written_out(base), 256).alias("base_sha256"), S.written_out(spans).alias("spans"))
+    return got.select(doc_id, *(S.how_many(spans, k).alias(f"n_{k}") for k in counted), F.sha2(S.written_out(base), 256).alias("base_sha256"), S.written_out(spans).alias("spans"))
 
 
-def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: its entities and every place of a term that discloses one, of any frequency."""
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = keyed(docs).select("dk", "tk").join(disclosures(docs).hint("shuffle_hash"), ["dk", "tk"], "left")
-    spans = F.coalesce("spans", F.array().cast(S.KIND))
-    return got.select(F.when(F.col("dk") != -(2**63), F.col("dk")).alias("doc_id"), *(S.how_many(spans, k).alias(f"n_{k}") for k in (*KINDS, "term")), S.written_out(spans).alias("spans"))
+    return _digest(docs, disclosures(docs), *KINDS, "term")
 
 
-def _sql() -> str:
+def op10_pii_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digest(docs, detect(docs), *KINDS)
+
+
+def _base_sql() -> str:
+    """CTEs ``t`` (the texts) and ``base`` (the matches of the rules)."""
     rx = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
@@ -259,10 +279,35 @@ def _sql() -> str:
     }
     parts = [S.matches_sql(f"m{i}", "t", "doc_id", "text", rx[k]) for i, k in enumerate(KINDS)]
     rows = [f"SELECT doc_id, start, {i} AS ord, stop, '{k}' AS kind FROM m{i} WHERE {tests[k]}" for i, k in enumerate(KINDS)]
+    return f"t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {', '.join(parts)}, base AS ({' UNION ALL '.join(rows)})"
+
+
+def _digest_sql(*counted: str) -> str:
+    """The result from ``allspans``, as ``_digest``."""
+    out = "kind || ':' || start || ':' || stop"
+    return f"""agg AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS c_{k}" for k in counted)}, string_agg({out}, ',' ORDER BY start, ord, stop) FILTER (WHERE ord < {len(KINDS)}) AS base, string_agg({out}, ',' ORDER BY start, ord, stop) AS spans FROM allspans GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(c_{k}, 0) AS n_{k}' for k in counted)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN agg USING (doc_id)"""
+
+
+def _sql() -> str:
+    return f"""WITH {_base_sql()},
+runs AS (SELECT doc_id, unnest(range(1, len(r) + 1)) AS i, unnest(g[1:len(r)]) AS gap, unnest(r) AS run FROM (SELECT doc_id, string_split_regex(text, '\\p{{L}}+') AS g, regexp_extract_all(text, '\\p{{L}}+') AS r FROM t)),
+placed AS (SELECT doc_id, lower(run) AS term, length(run) AS size, CAST(sum(length(gap) + length(run)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM runs),
+near AS (SELECT DISTINCT doc_id, term FROM placed WHERE length(term) >= {TERM_CHARS}),
+df AS (SELECT term, count(*) AS df FROM near GROUP BY term),
+ents AS (SELECT DISTINCT doc_id, kind || ':' || substring(text, start + 1, stop - start) AS entity FROM base JOIN t USING (doc_id)),
+n AS (SELECT entity, count(*) / (SELECT count(*) FROM t) AS share FROM ents GROUP BY entity),
+rates AS (SELECT term, share, (count(*) + {SMOOTH} * share) / (df + {SMOOTH}) AS rate FROM ents JOIN near USING (doc_id) JOIN df USING (term) JOIN n USING (entity) GROUP BY entity, term, df, share),
+bad AS (SELECT DISTINCT term FROM rates WHERE rate * 100 >= {DISCLOSURE} AND rate >= share * {2**BITS}),
+terms AS (SELECT doc_id, stop - size AS start, {len(KINDS)} AS ord, stop, 'term' AS kind FROM placed JOIN bad USING (term)),
+allspans AS (SELECT * FROM base UNION ALL SELECT * FROM terms x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.start < x.stop AND b.stop > x.start)),
+{_digest_sql(*KINDS, 'term')}"""
+
+
+def _context_sql() -> str:
     side = lambda n, text, at: f"""{n}_0 AS (SELECT doc_id, entity, {at} AS pos0, string_split_regex({text}, '[^\\p{{L}}]+') AS g, regexp_extract_all({text}, '[^\\p{{L}}]+') AS s FROM ent),
 {n} AS (SELECT doc_id, entity, pos0 + list_sum(list_transform(g[1:i - 1], lambda x: length(x))) + list_sum(list_transform(s[1:i - 1], lambda x: length(x))) AS start, lower(g[i]) AS term FROM (SELECT *, unnest(range(2, len(g))) AS i FROM {n}_0) WHERE length(lower(g[i])) >= {TERM_CHARS})"""
-    out = "kind || ':' || start || ':' || stop"
-    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {', '.join(parts)}, base AS ({' UNION ALL '.join(rows)}),
+    return f"""WITH {_base_sql()},
 ent AS (SELECT doc_id, kind || ':' || substring(text, start + 1, stop - start) AS entity, greatest(start - {CONTEXT}, 0) AS a, stop AS b,
   substring(text, greatest(start - {CONTEXT}, 0) + 1, start - greatest(start - {CONTEXT}, 0)) AS l, substring(text, stop + 1, {CONTEXT}) AS r FROM base JOIN t USING (doc_id)),
 {side('sl', 'l', 'a')}, {side('sr', 'r', 'b')}, around AS (SELECT * FROM sl UNION ALL SELECT * FROM sr),
@@ -271,9 +316,8 @@ df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(str
 n AS (SELECT entity, count(DISTINCT doc_id) AS n FROM ent GROUP BY entity),
 bad AS (SELECT entity, term FROM pairs JOIN df USING (term) JOIN n USING (entity) WHERE co * 100 >= df * {DISCLOSURE} AND log2(co * (SELECT count(*) FROM t) / (df * n)) >= {BITS}),
 allspans AS (SELECT * FROM base UNION ALL SELECT DISTINCT doc_id, start, {len(KINDS)}, start + length(term), 'term' FROM around JOIN bad USING (entity, term)),
-agg AS (SELECT doc_id, {', '.join(f'count(*) FILTER (WHERE ord = {i}) AS c{i}' for i in range(4))}, string_agg({out}, ',' ORDER BY start, ord, stop) FILTER (WHERE ord < 4) AS base, string_agg({out}, ',' ORDER BY start, ord, stop) AS spans FROM allspans GROUP BY doc_id)
-SELECT doc_id, {', '.join(f'coalesce(c{i}, 0) AS n_{k}' for i, k in enumerate(KINDS))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN agg USING (doc_id)"""
+{_digest_sql(*KINDS)}"""
 
 
-QUERIES = {"op10_pii": op10_pii, "op10_pii_disclosure": op10_pii_disclosure}
-ORACLES = {"op10_pii": _sql()}
+QUERIES = {"op10_pii": op10_pii, "op10_pii_context": op10_pii_context}
+ORACLES = {"op10_pii": _sql(), "op10_pii_context": _context_sql()}
