@@ -34,6 +34,8 @@ SUPPORT, DISCLOSURE, BITS = 5, 50, 4.0
 SMOOTH = 1
 #: Terms up to which the list of those in question is broadcast (counted first).
 BROADCAST_TERMS = 200_000
+#: Documents (two numbers each) up to which those without entities but with such a term are broadcast (counted first).
+BROADCAST_DOCUMENTS = 500_000
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A match can only start where its run starts or where a match ended, which is
 #: said so that a long run is tried once; possessive parts can't be given back.
@@ -176,7 +178,8 @@ def alike(rows: DataFrame, name: str, *same: str) -> tuple[DataFrame, DataFrame]
 
 
 def disclosing_anywhere(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Terms that disclose an entity of any frequency; ``found`` as of ``with_entities``.
+    """``term outside``: terms that disclose an entity of any frequency, and whether documents without entities hold
+    them too; ``found`` as of ``with_entities``.
 
     A term of one document discloses if that document's rarest entity is rare enough. A term of more needs an entity
     in two of them at least (``co >= (df + 1) / 2 - share``, and ``share`` is under a half), so entities that stand
@@ -185,7 +188,7 @@ def disclosing_anywhere(docs: DataFrame, found: DataFrame) -> DataFrame:
     # No entity has a term more often than documents with entities do: the others can't reach the rate.
     most = near.groupBy("term").agg(F.sum("m").alias("most"))
     able = most.join(term_counts(keyed(docs), _terms(F.col("text"))), "term").filter((F.col("most") + SMOOTH) * 100 >= (F.col("df") + SMOOTH) * DISCLOSURE)
-    able = written(able.select("term", "df"), "able")
+    able = written(able.select("term", "df", (F.col("most") < F.col("df")).alias("outside")), "able")
     total = docs.agg(F.count("*").alias("total")).scalar()
     # A rate is under one: an entity of a larger share can't be told that many bits about.
     share = entity_counts(found).select("entity", "n", (F.col("n") / total).alias("share")).filter(F.col("share") * 2**BITS <= 1)
@@ -203,20 +206,29 @@ def disclosing_anywhere(docs: DataFrame, found: DataFrame) -> DataFrame:
     firsts, _ = alike(ents.filter("n > 1").select("dk", "tk", "m", "entity", "n", "share"), "entity", "n", "share")
     pairs = terms.join(firsts.drop("m"), ["dk", "tk"]).filter(discloses(F.least("df", "n")))
     several = pairs.groupBy("entity", "term", "df", "share").agg(F.sum("m").alias("co")).filter(discloses(F.col("co"))).select(F.col("term").alias("first")).distinct()
-    return single.union(classes.join(several, "first").select("term")).distinct()
+    bad = single.union(classes.join(several, "first").select("term")).distinct()
+    return bad.join(able, "term").select("term", "outside")
+
+
+def small(rows: DataFrame, bound: int) -> DataFrame:
+    """``rows`` (written) to be broadcast if they are counted within ``bound``."""
+    return F.broadcast(rows) if rows.count() <= bound else rows
 
 
 def disclosures(docs: DataFrame) -> DataFrame:
     """``dk tk spans`` of documents with an entity or a disclosing term; spans as in ``detect``. A term that an entity
     overlaps is no span of its own."""
-    one = written(keyed(docs).dropDuplicates(["dk", "tk"]), "texts")
     found = with_entities(docs)
     bad = written(disclosing_anywhere(docs, found), "terms")
-    known = F.broadcast(bad) if bad.count() <= BROADCAST_TERMS else bad
-    holding = one.select("dk", "tk", F.explode(_terms(F.col("text"))).alias("term")).join(known, "term", "left_semi").select("dk", "tk").distinct()
+    # Whole texts are read where they lie: only those without entities that hold a disclosing term join the others.
+    rest = keyed(docs).select("dk", "tk", F.explode(_terms(F.col("text"))).alias("term")).join(small(bad.filter("outside"), BROADCAST_TERMS), "term", "left_semi")
+    rest = written(rest.select("dk", "tk").distinct().join(found, ["dk", "tk"], "left_anti"), "holding")
+    others = keyed(docs).join(small(rest, BROADCAST_DOCUMENTS), ["dk", "tk"], "left_semi").dropDuplicates(["dk", "tk"])
+    one = found.select("dk", "tk", "text").unionByName(others)
+    known = small(bad.select("term"), BROADCAST_TERMS)
     # Each run of letters with the gap before it; running sums of lengths are places.
     runs = F.arrays_zip(F.split("text", r"\p{L}+", -1).alias("gap"), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("run"))
-    placed = one.join(holding, ["dk", "tk"]).select("dk", "tk", F.posexplode(runs).alias("i", "r")).filter("r.run IS NOT NULL")
+    placed = one.select("dk", "tk", F.posexplode(runs).alias("i", "r")).filter("r.run IS NOT NULL")
     sums = F.sum(F.length("r.gap") + F.length("r.run")).over(Window.partitionBy("dk", "tk").orderBy("i"))
     placed = placed.select("dk", "tk", sums.cast("int").alias("end"), F.length("r.run").alias("size"), F.lower("r.run").alias("term"))
     terms = placed.join(known, "term", "left_semi").select("dk", "tk", (F.col("end") - F.col("size")).alias("start"), F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind"))
