@@ -67,7 +67,8 @@ def test_groups_take_links_beyond_the_five_nearest(spark, tmp_path):
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     base = " ".join(word(9) for _ in range(80))
     rows = [(i, f"{base} {'quarrelsome' if i <= 7 else 'hydroponics'} {word(9)}") for i in range(1, 15)]
-    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["group_id"] for r in text_queries.QUERIES["duplicate_groups"](spark, str(tmp_path)).collect()} == {1}
-    pairs = dedupe.close_pairs(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), "item_id", "text").collect()
+    pairs = dedupe.close_pairs(docs, "doc_id", "text").collect()
     assert len({(r["lo"], r["hi"]) for r in pairs}) == 14 * 13 // 2

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as T
 from tideline.operators import dedupe, evaluation as E
-from tideline.sources import tables
 from tideline.sources.adapters import EVENTS_SQL, emotion_events, table
 
 
@@ -63,16 +62,13 @@ def split(spark, sf_dir):
     return E.grouped_split(docs(spark, sf_dir).select("doc_id", "source"), F.col("doc_id"))
 
 
-def items(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", "text")
-
-
 def near_pairs(spark, sf_dir):
-    return dedupe.near_duplicate_pairs(items(spark, sf_dir), "item_id", "text")
+    """The nearest texts of those with an id divisible by 100, among all."""
+    return dedupe.near_duplicate_pairs(docs(spark, sf_dir), "doc_id", "text", F.col("id") % 100 == 0)
 
 
 def groups(spark, sf_dir):
-    return dedupe.duplicate_groups(items(spark, sf_dir), "item_id", "text", tables.cut(dedupe.close_pairs(items(spark, sf_dir), "item_id", "text")), tables.cut)
+    return dedupe.duplicate_groups(docs(spark, sf_dir), "doc_id", "text")
 
 
 def geotexts(spark, sf_dir):
