@@ -6,7 +6,7 @@ from importlib import import_module
 
 import corpus_pipeline
 
-MODULES = ("suffix_dedup", "quality_rules", "packing", "chat_format", "simhash", "secret_scan", "decontaminate", "substring_dedup", "quality_classifier", "pii", "tokenizer_alignment", "fill_middle")
+MODULES = ("suffix_dedup", "quality_rules", "packing", "chat_format", "simhash", "secret_scan", "decontaminate", "substring_dedup", "quality_classifier", "pii", "tokenizer_alignment", "mixing", "fill_middle")
 
 
 def _merged(attribute: str) -> dict:
