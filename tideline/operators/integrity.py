@@ -34,10 +34,6 @@ def future_issues(rows: DataFrame, ts_us: str, as_of_us: int, location: Column)
     return rows.filter(F.col(ts_us) > as_of_us).select(*issue("ERROR", "temporal", F.lit("timestamp in the future"), location))
 
 
-def missing_time_issues(rows: DataFrame, ts_us: str, location: Column) -> DataFrame:
-    return rows.filter(F.col(ts_us).isNull()).select(*issue("WARNING", "temporal", F.lit("no timestamp"), location))
-
-
 def is_remote(path: Column) -> Column:
     return F.lower(path).rlike("^(https?|s3|ftp)://")
 
@@ -83,30 +79,6 @@ def severity_counts(issues: DataFrame) -> DataFrame:
     return issues.agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("ERROR", "WARNING", "INFO")), F.coalesce(F.bool_or(F.col("severity") == "ERROR"), F.lit(False)).alias("has_errors"))
 
 
-def array_place(path: Column) -> Column:
-    """Parent array and index of a path like ``samples[3].ts``."""
-    rx = r"^([^\[]*)\[(\d{1,18})\]"
-    return F.struct(F.regexp_extract(path, rx, 1).alias("parent"), F.nullif(F.regexp_extract(path, rx, 2), F.lit("")).cast("long").alias("index"))
-
-
 #: Names of fields that hold times and media paths.
 TIME_FIELDS = ("timestamp", "time", "datetime", "created_at", "recorded_at", "date", "ts", "event_time", "capture_time")
 PATH_FIELDS = ("image", "audio", "video", "media", "image_path", "audio_path", "video_path", "file_path", "img", "sound", "recording")
-
-
-def json_leaves(rows: DataFrame, key: str, document: str, depth: int = 6) -> DataFrame:
-    """``key path name value``: the scalar leaves of JSON documents down to ``depth`` levels.
-
-    One level is opened per step for objects and arrays alike; a document that is not JSON has no leaves."""
-    now = rows.select(F.col(key), F.lit("").alias("path"), F.lit("").alias("name"), F.col(document).alias("value"))
-    out = None
-    for _ in range(depth):
-        kind = F.when(F.col("value").rlike(r"^\s*\{"), "o").when(F.col("value").rlike(r"^\s*\["), "a").otherwise("s")
-        leaves = now.filter((kind == "s") & (F.col("path") != "")).select(key, "path", "name", "value")
-        out = leaves if out is None else out.unionByName(leaves)
-        objects = now.filter(kind == "o").select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
-        objects = objects.select(key, F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k")).alias("path"), F.col("k").alias("name"), F.col("v").alias("value"))
-        arrays = now.filter(kind == "a").select(key, "path", "name", F.posexplode(F.from_json("value", "array<string>")).alias("i", "v"))
-        arrays = arrays.select(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "name", F.col("v").alias("value"))
-        now = objects.unionByName(arrays)
-    return out

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import iso
-from tideline.operators import frames as FR, integrity as I, keywords as K
+from tideline.operators import documents as D, frames as FR, integrity as I, keywords as K
 from tideline.plans.timelines import DAY, EPISODES_SQL, GAP, HOUR, episodes
 from tideline.sources import store, tables
 from tideline.sources.adapters import EVENTS_SQL, emotion_events, sentiment, table
@@ -70,7 +70,8 @@ def parsed(spark, sf_dir):
 
 def leaves(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"samples":[{"meta":'), F.col("props"), F.lit(',"timestamp":"t'), F.col("event_type"), F.lit('"},"x"]}')).alias("doc"))
-    return I.json_leaves(e, "event_id", "doc", 5).select("event_id", "path", "name", "value")
+    found = D.walk(e, "event_id", "doc")
+    return found.filter(~F.col("kind").isin("object", "array")).select("event_id", "path", "name", "value")
 
 
 def vectors(spark, sf_dir):
