@@ -1,51 +1,91 @@
-"""Canonical JSON payloads of timelines, episodes and graphs (schema 1.0)."""
+"""Canonical JSON payloads of timelines, episodes and graphs (schema 1.0), and how to read them back.
+
+A payload is a row ``fingerprint schema_version data_json``; keys stand in order, and null fields are left out. A timeline
+or graph is one document by its format, so its events are gathered into one row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.scalars import iso
 from tideline.operators.timeline import structural_fingerprint
 
 VERSION = "1.0"
-EVENT = "struct<emotion_label:string,score:double,source_id:string,timestamp:string>"
+EVENT = "struct<emotion_label:string,metadata:map<string,string>,score:double,source_id:string,timestamp:string>"
+EPISODE = f"struct<end_time:string,events:array<{EVENT}>,source_subject_id:string,start_time:string>"
+EDGE = "struct<relation:string,source_index:long,target_index:long>"
+
+
+def _events(rows: DataFrame) -> Column:
+    """Events in order of time, from ``us seq label score`` and, if they are there, ``source_id metadata``."""
+    source = F.col("source_id") if "source_id" in rows.columns else F.col("seq").cast("string")
+    metadata = [F.col("metadata")] if "metadata" in rows.columns else []
+    item = F.struct(F.col("label").alias("emotion_label"), *metadata, "score", source.alias("source_id"), iso(F.col("us")).alias("timestamp"))
+    return F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", item.alias("e"))), lambda a, b: F.when(a["us"] < b["us"], -1).when(a["us"] > b["us"], 1).when(a["seq"] < b["seq"], -1).otherwise(1)), lambda x: x["e"])
 
 
 def timeline_payloads(events: DataFrame) -> DataFrame:
-    """``fingerprint schema_version data_json``; keys in order, null fields left out, no metadata."""
-    item = F.struct("us", "seq", F.struct(F.col("label").alias("emotion_label"), "score", F.col("seq").cast("string").alias("source_id"), iso(F.col("us")).alias("timestamp")).alias("e"))
-    got = events.groupBy("subject_id").agg(F.sort_array(F.collect_list(item)).alias("x"))
-    data = F.to_json(F.struct(F.transform("x", lambda x: x["e"]).alias("events"), F.col("subject_id").cast("string").alias("subject_id")))
+    got = events.groupBy("subject_id").agg(_events(events).alias("events"))
+    data = F.to_json(F.struct("events", F.col("subject_id").cast("string").alias("subject_id")))
     return got.join(structural_fingerprint(events), "subject_id").select("fingerprint", F.lit(VERSION).alias("schema_version"), data.alias("data_json"))
 
 
-def read_timelines(payloads: DataFrame) -> DataFrame:
-    """Events of payloads: ``subject_id timestamp emotion_label score source_id``."""
-    parsed = payloads.select(F.from_json("data_json", f"struct<events:array<{EVENT}>,subject_id:string>").alias("d"))
-    return parsed.select("d.subject_id", F.inline("d.events"))
+def _with_events(episodes: DataFrame, events: DataFrame) -> DataFrame:
+    """Episodes with their document; ``events`` carry ``subject_id episode_index``."""
+    got = events.groupBy("subject_id", "episode_index").agg(_events(events).alias("events"))
+    document = F.struct(iso(F.col("end_us")).alias("end_time"), F.coalesce("events", F.array()).alias("events"), F.col("subject_id").cast("string").alias("source_subject_id"), iso(F.col("start_us")).alias("start_time"))
+    kept = episodes.select("subject_id", "episode_index", "episode_id", "start_us", "end_us")
+    return kept.join(got, ["subject_id", "episode_index"], "left").select("subject_id", "episode_index", "episode_id", document.alias("document"))
 
 
-def graph_payloads(episodes: DataFrame, edges: DataFrame, graph_ids: DataFrame, threshold_us: int) -> DataFrame:
-    """Graphs as JSON; edge weights are not part of the schema, so a graph read back has weight 1."""
-    nodes = episodes.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("episode_index", F.struct(iso(F.col("end_us")).alias("end_time"), "episode_id", iso(F.col("start_us")).alias("start_time")).alias("n")))).alias("n"))
-    lines = edges.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("source_index", "target_index", F.struct("relation", "source_index", "target_index").alias("e")))).alias("e"))
+def episode_payloads(episodes: DataFrame, events: DataFrame) -> DataFrame:
+    return _with_events(episodes, events).select(F.col("episode_id").alias("fingerprint"), F.lit(VERSION).alias("schema_version"), F.to_json("document").alias("data_json"))
+
+
+def graph_payloads(episodes: DataFrame, events: DataFrame, edges: DataFrame, graph_ids: DataFrame, threshold_us: int) -> DataFrame:
+    """Graphs with the documents of their episodes; weights are no part of the schema, so an edge read back weighs 1."""
+    nodes = _with_events(episodes, events).groupBy("subject_id").agg(F.collect_list(F.struct("episode_index", "document")).alias("n"))
+    nodes = nodes.withColumn("nodes", F.transform(F.array_sort("n", lambda a, b: F.when(a["episode_index"] < b["episode_index"], -1).otherwise(1)), lambda x: x["document"]))
+    lines = edges.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("source_index", "target_index", "relation"))).alias("e"))
+    lines = lines.select("subject_id", F.transform("e", lambda x: F.struct(x["relation"].alias("relation"), x["source_index"].alias("source_index"), x["target_index"].alias("target_index"))).alias("edges"))
     got = nodes.join(lines, "subject_id", "left").join(graph_ids, "subject_id")
-    data = F.to_json(F.struct(F.lit(threshold_us / 1e6).alias("adjacency_threshold_seconds"), F.transform("e", lambda x: x["e"]).alias("edges"), F.transform("n", lambda x: x["n"]).alias("nodes"), F.col("subject_id").cast("string").alias("subject_id")))
-    return got.select(F.col("graph_id").alias("fingerprint"), F.lit(VERSION).alias("schema_version"), data.alias("data_json"))
+    data = F.struct(F.lit(threshold_us / 1e6).alias("adjacency_threshold_seconds"), F.coalesce("edges", F.array()).alias("edges"), "nodes")
+    return got.select(F.col("graph_id").alias("fingerprint"), F.lit(VERSION).alias("schema_version"), F.to_json(data).alias("data_json"))
 
 
-def read_edges(payloads: DataFrame) -> DataFrame:
-    kind = "struct<edges:array<struct<relation:string,source_index:long,target_index:long>>,subject_id:string>"
-    parsed = payloads.select(F.from_json("data_json", kind).alias("d"))
-    return parsed.select("d.subject_id", F.inline("d.edges")).withColumn("weight", F.lit(1.0))
+def envelopes(payloads: DataFrame) -> DataFrame:
+    """One JSON text per payload, with the data as an object inside."""
+    quote = lambda c: F.substring_index(F.substring_index(F.to_json(F.struct(F.col(c).alias("x"))), '{"x":', -1), "}", 1)
+    return payloads.select(F.concat(F.lit('{"data":'), "data_json", F.lit(',"fingerprint":'), quote("fingerprint"), F.lit(',"schema_version":'), quote("schema_version"), F.lit("}")).alias("json"))
+
 
+def read_envelopes(texts: DataFrame) -> DataFrame:
+    """Payloads of JSON texts; the data keeps its text."""
+    got = F.from_json("json", "struct<data:string,fingerprint:string,schema_version:string>")
+    return texts.select(got.alias("p")).select("p.fingerprint", "p.schema_version", F.col("p.data").alias("data_json"))
 
-def episode_images(episodes: DataFrame, events: DataFrame, captions: DataFrame) -> DataFrame:
-    """Images of each episode (``subject_id us image caption``) with the first non-empty caption of each.
 
-    An interval join within the subject; ``captions`` (``image caption``) comes before a post's own caption."""
-    inside = events.filter("image IS NOT NULL").join(episodes.select("subject_id", "episode_index", "start_us", "end_us"), "subject_id").filter("us >= start_us AND us < end_us")
-    named = inside.join(captions.select("image", F.col("caption").alias("looked_up")), "image", "left")
-    text = F.coalesce(F.nullif("looked_up", F.lit("")), F.nullif("caption", F.lit("")))
-    per = named.groupBy("subject_id", "episode_index", "image").agg(F.min_by(text, F.when(text.isNotNull(), F.col("us"))).alias("caption"), F.min("us").alias("us"))
-    return per.select("subject_id", "episode_index", "image", "us", "caption")
+def read_timelines(payloads: DataFrame) -> DataFrame:
+    """``subject_id place`` and the events of timelines."""
+    parsed = payloads.select(F.from_json("data_json", f"struct<events:array<{EVENT}>,subject_id:string>").alias("d"))
+    return parsed.select("d.subject_id", F.posexplode("d.events").alias("place", "e")).select("subject_id", "place", "e.*")
+
+
+def read_episodes(payloads: DataFrame) -> DataFrame:
+    """``fingerprint subject_id start_time end_time place`` and the events of episodes."""
+    parsed = payloads.select("fingerprint", F.from_json("data_json", EPISODE).alias("d"))
+    return parsed.select("fingerprint", F.col("d.source_subject_id").alias("subject_id"), "d.start_time", "d.end_time", F.posexplode("d.events").alias("place", "e")).select("fingerprint", "subject_id", "start_time", "end_time", "place", "e.*")
+
+
+def read_nodes(payloads: DataFrame) -> DataFrame:
+    """``fingerprint node subject_id start_time end_time event_count`` of graphs."""
+    parsed = payloads.select("fingerprint", F.from_json("data_json", f"struct<nodes:array<{EPISODE}>>").alias("d"))
+    nodes = parsed.select("fingerprint", F.posexplode("d.nodes").alias("node", "n"))
+    return nodes.select("fingerprint", "node", F.col("n.source_subject_id").alias("subject_id"), "n.start_time", "n.end_time", F.size("n.events").alias("event_count"))
+
+
+def read_edges(payloads: DataFrame) -> DataFrame:
+    """``fingerprint relation source_index target_index weight`` of graphs."""
+    parsed = payloads.select("fingerprint", F.from_json("data_json", f"struct<edges:array<{EDGE}>>").alias("d"))
+    return parsed.select("fingerprint", F.inline("d.edges")).withColumn("weight", F.lit(1.0))
