@@ -220,3 +220,14 @@ def test_op5_scores_equal_a_plain_discriminant(spark):
         logs.append(np.log(share[k]) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
     want = 1 / (1 + np.exp(logs[0] - logs[1]))
     assert [got[i] for i in range(80)] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_many_addresses_in_one_text(spark, tmp_path):
+    """The query's time grows with the matches of a text, not with their square: start-up is taken off first."""
+    took = {}
+    for n in (50, 51, 10_000, 80_000):  # the first run warms up
+        one(spark, " ".join(f"user{i}@host{i}.org noun{chr(97 + i % 26) * 4}" for i in range(n))).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        began = time.perf_counter()
+        assert pii.op10_pii(spark, f"{tmp_path}/{n}").first()["n_email"] == n
+        took[n] = time.perf_counter() - began
+    assert took[80_000] - took[51] < 9 * max(took[10_000] - took[51], 2)

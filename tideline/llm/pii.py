@@ -236,7 +236,8 @@ def disclosures(docs: DataFrame) -> DataFrame:
     # In order of starts: an entity that started before reaches into the term, or one starts inside of it.
     start = F.when(F.col("ord") < len(KINDS), F.col("start"))
     upto = Window.partitionBy("dk", "tk").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    onward = Window.partitionBy("dk", "tk").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    # From the last start to the first: a frame that only grows is not read anew for each row, as one open to the end is.
+    onward = Window.partitionBy("dk", "tk").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     every = every.withColumns({"reach": F.max(F.when(start.isNotNull(), F.col("end"))).over(upto), "next": F.min(start).over(onward)})
     free = every.filter((F.col("ord") < len(KINDS)) | (F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))))
     return free.groupBy("dk", "tk").agg(F.sort_array(F.collect_list(F.struct("start", "ord", "end", "kind"))).alias("spans"))
