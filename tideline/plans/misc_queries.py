@@ -80,7 +80,7 @@ def vectors(spark, sf_dir):
 
 def stream_events(spark, sf_dir):
     """The events as a stream of files, with a far later sentinel that closes all windows."""
-    folder = f"{tables.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{tables.scratch(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id"), F.col("ts").cast("timestamp").alias("ts"), sentiment(F.col("event_type")).alias("label"))
     e.write.parquet(f"{folder}/in/part=0")
     spark.createDataFrame([(-1, "2030-01-01 00:00:00", "neutral")], "subject_id long, ts string, label string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{folder}/in/part=1")

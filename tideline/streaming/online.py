@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.scalars import micros, ordinal
+from tideline.sources import appends
 
 
 def session_episodes(events: DataFrame, gap: str, watermark: str) -> DataFrame:
@@ -29,13 +30,18 @@ def deduplicated(events: DataFrame, key: str, watermark: str) -> DataFrame:
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def append_to(path: str):
-    """A ``foreachBatch`` sink that appends a batch once: a batch that is written again replaces itself."""
+def ingest(posts: DataFrame, key: str, path: str, folder: str, watermark: str, enrich=None):
+    """Posts (with ``ts``) of a source that may send them again, each appended once to the table at ``path``. Runs until
+    all that is there is processed; the query tells how many came too late."""
+    writer = deduplicated(posts, key, watermark).writeStream.foreachBatch(appends.sink(path, key, enrich))
+    query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return write
+def late_rows(query) -> int:
+    """Rows that a query dropped as they came after the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
 
 
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
