@@ -58,6 +58,34 @@ def grouped_split(rows: DataFrame, group: Column, seed: int = 42, train: int = 8
     return rows.withColumn("split", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test"))
 
 
+def stratified_group_split(rows: DataFrame, group: str, label: str, shares: tuple[tuple[str, int], ...] = (("train", 80), ("validation", 10), ("test", 10)), seed: int = 42) -> DataFrame:
+    """``split`` for each row: groups stay whole, and each label gets its share of every split.
+
+    A group counts for its most frequent label (the first by name on ties; a null group is one, a null label the last).
+    The groups of a label stand one after the other in the order of a seeded digest, and each goes to the split that holds
+    its middle: every split is off by less than a group at each of its two ends. The order is dealt to tasks by the
+    digest's first digits and shifted by their sums."""
+    p = "__"
+    key = F.coalesce(F.col(group).cast("string"), F.lit("\0"))
+    counts = rows.groupBy(key.alias(f"{p}g"), F.col(label).alias(f"{p}l")).agg(F.count("*").alias(f"{p}n"))
+    best = F.min_by(F.struct(f"{p}l"), F.struct(-F.col(f"{p}n"), F.col(f"{p}l").isNull(), f"{p}l"))[f"{p}l"]
+    groups = counts.groupBy(f"{p}g").agg(best.alias(f"{p}l"), F.sum(f"{p}n").alias(f"{p}n"))
+    groups = groups.withColumn(f"{p}h", F.md5(F.concat(F.lit(f"{seed}:"), f"{p}g").cast("binary"))).withColumns({f"{p}d": F.substring(f"{p}h", 1, 3), f"{p}l": F.to_json(F.struct(f"{p}l"))})
+    sums = groups.groupBy(f"{p}l", f"{p}d").agg(F.sum(f"{p}n").alias(f"{p}s"))
+    ordered = Window.partitionBy(f"{p}l").orderBy(f"{p}d")  # 4096 rows at most
+    sums = sums.withColumns({f"{p}b": F.sum(f"{p}s").over(ordered) - F.col(f"{p}s"), f"{p}t": F.sum(f"{p}s").over(Window.partitionBy(f"{p}l"))}).drop(f"{p}s")
+    local = F.sum(f"{p}n").over(Window.partitionBy(f"{p}l", f"{p}d").orderBy(f"{p}h", f"{p}g").rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"{p}n")
+    placed = groups.withColumn(f"{p}a", local).join(sums, [f"{p}l", f"{p}d"])
+    middle, whole = 2 * (F.col(f"{p}b") + F.col(f"{p}a")) + F.col(f"{p}n"), sum(n for _, n in shares)
+    split, end = None, 0
+    for name, n in shares:
+        end += n
+        inside = middle * whole < 2 * end * F.col(f"{p}t")
+        split = F.when(inside, name) if split is None else split.when(inside, name)
+    chosen = placed.select(f"{p}g", split.otherwise(shares[-1][0]).alias("split"))
+    return rows.withColumn(f"{p}g", key).join(chosen, f"{p}g").drop(f"{p}g")
+
+
 def split_leakage(rows: DataFrame, group: str) -> DataFrame:
     """Groups that stand in more than one split."""
     return rows.groupBy(group).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
