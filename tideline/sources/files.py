@@ -36,13 +36,6 @@ def json_with_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.from_json(F.regexp_extract("value", r"(?s)^.*\}", 0), schema).alias("j")).select("j.*")
 
 
-def last_comma_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Lines cut at their last comma into ``text`` and ``label``; a line without one is malformed."""
-    lines = spark.read.text(path)
-    cut = lambda i: F.trim(F.regexp_extract("value", r"^(.*),([^,]*)$", i))
-    return lines.select(F.regexp_replace(cut(1), r'^"(.*)"$', "$1").alias("text"), F.regexp_replace(cut(2), r'^"(.*)"$', "$1").alias("label"), (~F.contains("value", F.lit(","))).alias("malformed"))
-
-
 def sample_files(spark: SparkSession, root: str) -> DataFrame:
     """The text, image and audio of each ``person/sample`` folder: a transcript before the first clip."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
