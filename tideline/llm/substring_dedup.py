@@ -1,12 +1,15 @@
 """Removal of word windows that occur more than once, behind a count-min prefilter.
 
-First pass: each task deals the anchors of its windows (see ``repeats``) to buckets. A bucket's rows come in order:
-the numbers of anchors, which size a count-min sketch of counters that stop at two; the tasks' own counts, which are
-merged into it; then the places of the anchors, which are looked up in it as they pass. So memory is ``DEPTH`` rows of
-counters, ``ROOM`` to each anchor that was dealt to the bucket and never the anchors themselves, and the share that
-passes wrongly is the same at every size of the corpus: ``(1 - exp(-1 / ROOM)) ** DEPTH``, 5 %. An anchor occurs at
-least as often as any window that has it, and a sketch never counts too little, so no repeated window is lost.
-Second pass: windows whose anchor is estimated repeated are grouped exactly, by 128-bit hashes of their words.
+First pass: every window has an anchor (see ``repeats``). A partition of the texts makes count-min sketches of its anchors,
+one for each slice of the hashes: the cells that they touch, in order, as gaps of a byte or two, with a mark where the
+partition alone counts two. The sketches of a slice are merged by addition, in counters that stop at two, and the slice
+tells each partition which of its cells reached two. Neither anchors nor places travel: two bytes an anchor do for eight
+partitions, four for two hundred up to some thousands. A merged slice holds two bits for each of ``ROOM`` cells to an
+anchor in ``DEPTH`` rows. An anchor occurs at least as often as any window that has it, and a sketch never counts too
+little, so no repeated window is lost; about 5 % of unique anchors or less pass wrongly, at every size of the corpus, as
+the sketches are sized by its bytes.
+Second pass: the partition's texts are read again behind what the slices told it, and windows whose anchor is estimated
+repeated are grouped exactly, by 128-bit hashes of their words.
 
 Defined cases: a null or blank text has no words and keeps none; texts of fewer than ``width`` words keep all;
 rows equal in id and text are separate documents that repeat each other, rows of one id with different texts
@@ -27,10 +30,11 @@ from tideline.llm.common import partitions, table
 
 WIDTH, GRAM = 35, 18
 DEPTH, ROOM = 2, 4
+#: Bytes of a word and the gap behind it, which only size the sketches.
+WORD_BYTES = 6
 CHUNK, BLOCK = 100_000, 150_000
-DEALT = "bucket int, kind int, n long, docs binary, lanes binary, pos binary, flag binary"
-#: Kinds of dealt rows, in the order in which a bucket reads them.
-COUNTS, SKETCH, ITEMS = 0, 1, 2
+SKETCHED = "slice int, part int, cells binary, twice binary"
+TOLD = "part int, slice int, cells binary"
 
 
 def word_lanes(words: list[bytes]) -> np.ndarray:
@@ -62,97 +66,117 @@ def blocks(texts: list[str], width: int = WIDTH) -> Iterator[tuple[np.ndarray, n
         yield word_lanes(words), np.array(sizes), np.array(docs), np.array(bases)
 
 
+def packed(cells: np.ndarray) -> bytes:
+    """Ascending numbers as gaps of seven bits to a byte, the last byte of a gap below 128."""
+    gaps = np.diff(cells, prepend=0)
+    size = np.maximum(1, sum((gaps >= 1 << (7 * k)).astype(np.int64) for k in range(10)))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max()) if len(size) else 0):
+        has = size > k
+        out[ends[has] - size[has] + k] = (gaps[has] >> (7 * k) & 127) | np.where(size[has] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    last = raw < 128
+    begins = np.flatnonzero(np.append(True, last[:-1])) if len(raw) else np.zeros(0, np.int64)
+    place = np.arange(len(raw)) - np.repeat(begins, np.diff(np.append(begins, len(raw))))
+    return np.cumsum(np.add.reduceat((raw & 127) << (7 * place), begins)) if len(begins) else begins
+
+
+def cells_of(keys: np.ndarray, log_width: int) -> list[np.ndarray]:
+    """The cell of each key in each row of a sketch, numbered through its rows."""
+    return [(np.int64(i) << log_width) | (R.mix(keys, 11 + i) >> np.uint64(64 - log_width)).astype(np.int64) for i in range(DEPTH)]
+
+
 class Sketch:
-    """Count-min counters that stop at two, ``2 ** log_width`` in each row."""
+    """Merged count-min counters that stop at two, as two planes of bits."""
 
     def __init__(self, log_width: int):
-        self.log_width, self.rows = log_width, np.zeros((DEPTH, 1 << log_width), np.uint8)
+        self.once, self.twice = (np.zeros((DEPTH << log_width) // 8 + 1, np.uint8) for _ in range(2))
 
-    def _cells(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, row in enumerate(self.rows):
-            yield row, (R.mix(keys, 11 + i) >> np.uint64(64 - self.log_width)).astype(np.int64)
+    def merge(self, cells: np.ndarray, twice: np.ndarray) -> None:
+        """The sketch of a partition: the cells that it touches, in order, and which of them it counts twice."""
+        if not len(cells):
+            return
+        byte, bit = cells >> 3, np.uint8(1) << (cells & 7).astype(np.uint8)
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        at, one = byte[first], np.bitwise_or.reduceat(bit, first)
+        self.twice[at] |= (self.once[at] & one) | np.bitwise_or.reduceat(np.where(twice, bit, np.uint8(0)), first)
+        self.once[at] |= one
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        for row, cell in self._cells(keys):
-            order = np.argsort(cell, kind="stable")
-            cell, first = np.unique(cell[order], return_index=True)
-            row[cell] = np.minimum(row[cell] + np.add.reduceat(counts[order].astype(np.int64), first), 2)
+    def repeated(self, cells: np.ndarray) -> np.ndarray:
+        return self.twice[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 > 0
 
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for row, cell in self._cells(keys):
-            out &= row[cell] > 1
-        return out
 
+def sketches(anchors: np.ndarray, log_width: int, n_slices: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A partition's sketch of each slice: (slice, cells in order, which it counts twice)."""
+    slices = R.bucket_of(anchors, n_slices).astype(np.int64) * (DEPTH << log_width)
+    numbers, counts = np.unique(np.concatenate([slices + c for c in cells_of(anchors, log_width)]), return_counts=True)
+    of = numbers // (DEPTH << log_width)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of)) if len(of) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(of[a]), numbers[a:b] - of[a] * (DEPTH << log_width), counts[a:b] > 1
 
-def estimated_repeated(base: DataFrame, log_width: int | None, width: int, gram: int) -> DataFrame:
-    """The places of anchors that a sketch estimates to occur more than once, as ``PLACES`` rows of ``repeats``."""
-    n_buckets = partitions(base.sparkSession)
 
-    def with_counts(batches):
-        """Each packed row, and before it its number of keys and its part of the sketch."""
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for bucket, docs, lanes, pos, flag in zip(*(batch.column(i) for i in range(5)), strict=True):
-                flags = np.frombuffer(flag.as_buffer(), np.uint8)
-                sent = flags[flags != 1]
-                for row in ((COUNTS, len(sent), b"", b"", b"", b""), (SKETCH, 0, b"", lanes.as_py(), b"", sent.tobytes()), (ITEMS, 0, docs.as_py(), lanes.as_py(), pos.as_py(), flag.as_py())):
-                    for column, value in zip(out, (bucket.as_py(), *row), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["bucket", "kind", "n", "docs", "lanes", "pos", "flag"])
+def parted(base: DataFrame) -> DataFrame:
+    """The texts by partition, through the exchange that the last join reads again."""
+    n = partitions(base.sparkSession)
+    # Hash partitioning deals a row to this number.
+    return base.repartition(n, "dk", "tk").withColumn("part", F.pmod(F.hash("dk", "tk"), F.lit(n)))
 
-    def deal(batches):
-        dealer = R.Dealer(n_buckets, 1)
-        for batch in batches:
-            dk, tk, texts = (batch.column(i).to_pylist() for i in range(3))
-            offset = len(dealer.docs)
-            dealer.docs.extend(zip(dk, tk, strict=True))
-            for lanes, sizes, docs, bases in blocks(texts, width):
-                runs = R.runs_of(lanes[:, 0], sizes, width, gram)
-                starts = np.cumsum(sizes) - sizes
-                dealer.add([runs.anchor], docs[runs.chunk] + offset, runs.at - starts[runs.chunk] + bases[runs.chunk], runs.anchor)
-            if dealer.held > R.FLUSH or len(dealer.docs) > 200_000:
-                yield from with_counts(dealer.flush())
-        yield from with_counts(dealer.flush())
-
-    def look_up(batches):
-        now, total, sketch, found, held = None, 0, None, [], 0
+
+def told(base: DataFrame, log_width: int, width: int, gram: int) -> DataFrame:
+    """``part slice cells``: those cells of a partition's sketches that count two or more in the whole corpus."""
+    n_slices = partitions(base.sparkSession)
+
+    def sketch(batches):
+        found: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for bucket, kind, n, docs, lanes, pos, flag in zip(*(batch.column(i) for i in range(7)), strict=True):
-                if bucket.as_py() != now:
-                    now, total, sketch = bucket.as_py(), 0, None
-                total += n.as_py()
-                if kind.as_py() == COUNTS:
-                    continue
-                if sketch is None:
-                    sketch = Sketch(log_width or max(10, (ROOM * total - 1).bit_length()))
-                if kind.as_py() == SKETCH:
-                    keys = np.frombuffer(lanes.as_buffer(), np.uint64)
-                    if len(keys):
-                        sketch.add(keys, np.where(np.frombuffer(flag.as_buffer(), np.uint8) == 2, 2, 1))
-                    continue
-                dk, tk, keys, place, flags = R.unpacked_row(docs, lanes, pos, flag, 1)
-                # Places of a key with flag 2 came with flag 1 from the same task.
-                hit = flags == 1
-                hit[flags != 1] = sketch.repeated(keys[0]) & (flags[flags != 1] == 0)
-                found.append((dk[hit], tk[hit], place[hit]))
-                held += int(hit.sum())
-                if held > R.FLUSH:
-                    yield from R.spans_by_bucket(*(np.concatenate(x) for x in zip(*found, strict=True)), np.ones(held, np.int64), n_buckets)
-                    found, held = [], 0
-        if found:
-            yield from R.spans_by_bucket(*(np.concatenate(x) for x in zip(*found, strict=True)), np.ones(held, np.int64), n_buckets)
-
-    dealt = base.mapInArrow(deal, DEALT).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(look_up, R.PLACES)
+            for part, texts in by_part(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
+                found.setdefault(part, []).extend(R.runs_of(lanes[:, 0], sizes, width, gram).anchor for lanes, sizes, _, _ in blocks(texts, width))
+        for part, anchors in found.items():
+            rows = [(s, part, packed(cells), np.packbits(twice).tobytes()) for s, cells, twice in sketches(np.concatenate(anchors), log_width, n_slices)] if anchors else []
+            for at in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "part", "cells", "twice"])
+
+    def merge(batches):
+        rows = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+        for s in sorted({row[0] for row in rows}):
+            merged, own = Sketch(log_width), [row for row in rows if row[0] == s]
+            for _, _, data, twice in own:
+                cells = unpacked(data)
+                merged.merge(cells, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells)).astype(bool))
+            for _, part, data, _ in own:
+                cells = unpacked(data)
+                cells = cells[merged.repeated(cells)]
+                if len(cells):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([s], pa.int32()), pa.array([packed(cells)], pa.binary())], ["part", "slice", "cells"])
+
+    made = parted(base).select("part", "text").mapInArrow(sketch, SKETCHED)
+    return made.repartitionById(n_slices, F.col("slice")).mapInArrow(merge, TOLD)
+
+
+def by_part(parts: np.ndarray, texts: list) -> Iterator[tuple[int, list]]:
+    for part in np.unique(parts).tolist():
+        yield part, [t for t, p in zip(texts, parts.tolist(), strict=True) if p == part]
+
+
+def sketch_width(base: DataFrame, width: int, gram: int) -> int:
+    """Bits of the cells of a slice's row: ``ROOM`` cells or more to each anchor that so many bytes of text may have."""
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    anchors = size / WORD_BYTES * 2 / (width - gram + 2) / partitions(base.sparkSession)
+    return max(10, int(ROOM * anchors).bit_length())
 
 
 def repeated_windows(base: DataFrame, log_width: int | None = None, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``dk tk places``: spans of windows whose word sequence starts more than once; ``base`` has ``dk tk text``.
-    ``log_width`` fixes the width of the sketches, which follows the number of anchors otherwise."""
+    ``log_width`` fixes the width of the sketches, which follows the bytes of the texts otherwise."""
     base = base.select("dk", "tk", "text")
     n_buckets = partitions(base.sparkSession)
-    marks = R.gathered(estimated_repeated(base, log_width, width, gram), n_buckets)
+    bits = log_width or sketch_width(base, width, gram)
 
     def anchors_of(texts):
         found = [R.runs_of(lanes[:, 0], sizes, width, gram).anchor for lanes, sizes, _, _ in blocks(texts, width)]
@@ -161,35 +185,57 @@ def repeated_windows(base: DataFrame, log_width: int | None = None, width: int =
     hot = R.hot_anchors(base, anchors_of, n_buckets)
 
     def deal(batches):
-        dealer = R.Dealer(n_buckets, 2)
+        dealer, now, cells, known = R.Dealer(n_buckets, 2), None, [], None
         for batch in batches:
-            dk, tk, texts = (batch.column(i).to_pylist() for i in range(3))
-            places = [R.read_spans(p) for p in batch.column(3).to_pylist()]
-            number: dict[int, int] = {}
-            for lanes, sizes, docs, bases in blocks(texts, width):
-                runs = R.runs_of(lanes[:, 0], sizes, width, gram)
-                starts = np.cumsum(sizes) - sizes
-                use = R.marked(places, docs, bases, starts, sizes)[runs.at]
-                if use.any():
-                    many = runs.many[use]
-                    window = R.ragged(runs.first[use], many)
-                    keys = [R.grams(np.ascontiguousarray(lanes[:, i]), width)[window] for i in (0, 1)]
-                    chunk = np.repeat(runs.chunk[use], many)
-                    anchor = np.repeat(runs.anchor[use], many)
-                    for i in set(docs[runs.chunk[use]].tolist()):
-                        if i not in number:
-                            number[i] = dealer.document(dk[i], tk[i])
-                    doc = np.array([number.get(i, -1) for i in docs.tolist()])[chunk]
-                    dealer.add(keys, doc, window - starts[chunk] + bases[chunk], np.where(R.is_in(hot, anchor), keys[0], anchor))
-                if dealer.held > R.FLUSH:
-                    yield from dealer.flush()
-                    number = {}
-            if dealer.held > R.FLUSH // 2 or len(dealer.docs) > 200_000:
-                yield from dealer.flush()
+            part, slices, data, dk, tk, texts = (batch.column(i).to_pylist() for i in range(6))
+            at = 0
+            while at < len(part):
+                if part[at] != now:
+                    now, cells, known = part[at], [], None
+                if slices[at] is not None:
+                    cells.append(unpacked(data[at]) + slices[at] * (DEPTH << bits))
+                    at += 1
+                    continue
+                if known is None:
+                    known, cells = np.sort(np.concatenate(cells)) if cells else np.zeros(0, np.int64), []
+                end = at
+                while end < len(part) and part[end] == now and slices[end] is None:
+                    end += 1
+                yield from dealt(dealer, dk[at:end], tk[at:end], texts[at:end], known)
+                at = end
         yield from dealer.flush()
 
-    texts = base.join(marks.hint("shuffle_hash"), ["dk", "tk"]).select("dk", "tk", "text", "places")
-    return R.repeated_places(texts.mapInArrow(deal, R.PACKED), 2, n_buckets)
+    def dealt(dealer, dk, tk, texts, known):
+        number: dict[int, int] = {}
+        for lanes, sizes, docs, bases in blocks(texts, width):
+            runs = R.runs_of(lanes[:, 0], sizes, width, gram)
+            starts = np.cumsum(sizes) - sizes
+            slices = R.bucket_of(runs.anchor, n_buckets).astype(np.int64) * (DEPTH << bits)
+            use = np.ones(len(runs.anchor), bool)
+            for row in cells_of(runs.anchor, bits):
+                use &= R.is_in(known, slices + row)
+            if use.any():
+                many = runs.many[use]
+                window = R.ragged(runs.first[use], many)
+                keys = [R.grams(np.ascontiguousarray(lanes[:, i]), width)[window] for i in (0, 1)]
+                chunk = np.repeat(runs.chunk[use], many)
+                anchor = np.repeat(runs.anchor[use], many)
+                for i in set(docs[runs.chunk[use]].tolist()):
+                    if i not in number:
+                        number[i] = dealer.document(dk[i], tk[i])
+                doc = np.array([number.get(i, -1) for i in docs.tolist()])[chunk]
+                dealer.add(keys, doc, window - starts[chunk] + bases[chunk], np.where(R.is_in(hot, anchor), keys[0], anchor))
+            if dealer.held > R.FLUSH:
+                yield from dealer.flush()
+                number = {}
+        if dealer.held > R.FLUSH // 2 or len(dealer.docs) > 200_000:
+            yield from dealer.flush()
+
+    none = lambda kind: F.lit(None).cast(kind)
+    texts = base.select(F.pmod(F.hash("dk", "tk"), F.lit(n_buckets)).alias("part"), none("int").alias("slice"), none("binary").alias("cells"), "dk", "tk", "text")
+    heard = told(base, bits, width, gram).select("part", "slice", "cells", none("long").alias("dk"), none("long").alias("tk"), none("string").alias("text"))
+    rows = texts.unionByName(heard).repartitionById(n_buckets, F.col("part")).sortWithinPartitions("part", F.col("slice").isNull())
+    return R.repeated_places(rows.mapInArrow(deal, R.PACKED), 2, n_buckets)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +259,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = base.join(found.hint("shuffle_hash"), ["dk", "tk"], "left").select("dk", "text", "places")
+    joined = parted(base).drop("part").join(found.hint("shuffle_hash"), ["dk", "tk"], "left").select("dk", "text", "places")
     return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
