@@ -125,25 +125,3 @@ def test_davies_bouldin(spark):
 def test_field_names():
     assert set(integrity.TIME_FIELDS) == {"timestamp", "time", "datetime", "created_at", "recorded_at", "date", "ts", "event_time", "capture_time"}
     assert set(integrity.PATH_FIELDS) == {"image", "audio", "video", "media", "image_path", "audio_path", "video_path", "file_path", "img", "sound", "recording"}
-
-
-def test_similar_pairs_against_all_pairs(spark):
-    """Places of equal attributes at any distance, and others near enough, across all blocks."""
-    import itertools
-    import random
-
-    rng = random.Random(4)
-    rows = [(i, rng.choice(["cafe", "restaurant", "park", None]), rng.choice(["en", "de"]), rng.sample(["a", "b", "c"], rng.randrange(3)), rng.uniform(40, 46), rng.uniform(-3, 3)) for i in range(80)]
-    df = spark.createDataFrame(rows, "place_id long, type string, language string, cultural_tags array<string>, lat double, lon double")
-    got = {(r["place_id_a"], r["place_id_b"]): r["proximity"] for r in places.similar_pairs(df, 0.72).collect()}
-    want = {}
-    for (i, t, g, x, la, lo), (j, u, h, y, lb, mo) in itertools.combinations(rows, 2):
-        p, q = math.radians(la), math.radians(lb)
-        s = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(mo - lo) / 2) ** 2
-        km = 2 * 6371 * math.atan2(math.sqrt(s), math.sqrt(1 - s))
-        cat = 0.0 if not t or not u else 1.0 if t == u else 0.5 if {t, u} == {"cafe", "restaurant"} else 0.0
-        cult = len({*x} & {*y}) / len({*x} | {*y}) if x or y else 1.0
-        score = 0.3 * math.exp(-3 * km / 500) + 0.4 * cat + 0.15 * (g == h) + 0.15 * cult
-        if score >= 0.72:
-            want[i, j] = score
-    assert got == pytest.approx(want) and len(want) > 20

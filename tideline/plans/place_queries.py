@@ -26,7 +26,14 @@ def nearby(spark, sf_dir):
     return P.nearby(p.filter("place_id % 100 = 0").withColumnRenamed("place_id", "target_id"), p, METRES).select("target_id", "place_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-SCENARIOS = {"balanced": (0.3, 0.25, 0.2, 0.25), "near": (0.7, 0.1, 0.1, 0.1), "alike": (0.1, 0.4, 0.1, 0.4)}
+#: Weightings of the geographic, categorical, linguistic and cultural parts.
+SCENARIOS = {
+    "Default": (0.3, 0.4, 0.15, 0.15),
+    "Geographic Focus": (0.7, 0.2, 0.05, 0.05),
+    "Categorical Focus": (0.1, 0.7, 0.1, 0.1),
+    "Cultural Focus": (0.1, 0.2, 0.2, 0.5),
+    "Equal Weights": (0.25, 0.25, 0.25, 0.25),
+}
 
 
 def sensitivity(spark, sf_dir):
@@ -44,8 +51,7 @@ def types(spark, sf_dir):
 
 def semantic_dbscan(spark, sf_dir):
     """Links are pairs with a proximity of .68 and more, between any places."""
-    near = P.similar_pairs(places(spark, sf_dir), 0.68).select(F.col("place_id_a").alias("a"), F.col("place_id_b").alias("b"), (1 - F.col("proximity")).alias("distance"))
-    return P.dbscan(tables.cut(near), places(spark, sf_dir), 0.3201, 2, tables.cut)
+    return P.semantic_clusters(places(spark, sf_dir), 0.68, 2, tables.cut)
 
 
 def cluster_quality(spark, sf_dir):
@@ -81,10 +87,10 @@ def added(spark, sf_dir):
 
 
 def similar_places(spark, sf_dir):
-    """Pairs of similar places with both sentiment profiles."""
+    """Places similar to those whose id is divisible by 100, with both sentiment profiles."""
     prof = S.location_profile(location_sentiments(spark, sf_dir)).select("location_id", "dominant", "mean")
     a, b = (prof.select(F.col("location_id").alias(f"place_id_{s}"), F.col("dominant").alias(f"dominant_{s}"), F.col("mean").alias(f"mean_{s}")) for s in "ab")
-    got = P.similar_pairs(places(spark, sf_dir), 0.7).select("place_id_a", "place_id_b").join(a, "place_id_a").join(b, "place_id_b")
+    got = P.similar_to(places(spark, sf_dir).filter("place_id % 100 = 0"), places(spark, sf_dir), 0.7).select("place_id_a", "place_id_b").join(a, "place_id_a").join(b, "place_id_b")
     return got.select("place_id_a", "place_id_b", (F.col("dominant_a") == F.col("dominant_b")).alias("same_emotion"), F.round(F.abs(F.col("mean_a") - F.col("mean_b")), 6).alias("difference"))
 
 
@@ -171,5 +177,9 @@ SELECT location_id, n, round(slope, 6) AS slope, CASE WHEN slope >= 0.1 THEN 'im
     "chi_square_type_sentiment": f"""WITH {LOCATIONS_SQL}, {_typed}, c AS (SELECT type, sentiment, count(*) AS o FROM tl GROUP BY ALL), e AS (SELECT a.type, b.sentiment, ra * rb / (SELECT sum(o) FROM c) AS e FROM (SELECT type, sum(o) AS ra FROM c GROUP BY type) a, (SELECT sentiment, sum(o) AS rb FROM c GROUP BY sentiment) b)
 SELECT round(sum(pow(coalesce(o, 0) - e, 2) / e), 6) AS chi2, (count(DISTINCT e.type) - 1) * (count(DISTINCT e.sentiment) - 1) AS df FROM e LEFT JOIN c USING (type, sentiment)""",
     "semantic_dbscan": f"WITH RECURSIVE {ALL_SQL}, {_db}, {_dbr} SELECT place_id, cluster_id FROM db",
-    "similar_place_patterns": f"WITH {ALL_SQL}, {LOCATIONS_SQL}, {_prof} SELECT place_id_a, place_id_b, a.dominant = b.dominant AS same_emotion, round(abs(a.mean - b.mean), 6) AS difference FROM pairs JOIN prof a ON a.location_id = place_id_a JOIN prof b ON b.location_id = place_id_b WHERE proximity >= 0.7",
+    "cluster_silhouette": f"""WITH RECURSIVE {ALL_SQL}, {_db}, {_dbr}, k AS (SELECT * FROM db WHERE cluster_id <> -1), d AS (SELECT a.place_id AS a, a.cluster_id AS ca, b.cluster_id AS cb, avg(1 - proximity) AS d
+  FROM pairs JOIN k a ON a.place_id IN (place_id_a, place_id_b) AND a.place_id % 100 = 0 JOIN k b ON b.place_id IN (place_id_a, place_id_b) AND b.place_id <> a.place_id GROUP BY ALL),
+p AS (SELECT a, ca, min(d) FILTER (WHERE ca = cb) AS own, min(d) FILTER (WHERE ca <> cb) AS other FROM d GROUP BY ALL)
+SELECT ca AS cluster_id, count(*) AS n, round(avg(CASE WHEN own IS NULL OR other IS NULL OR greatest(own, other) = 0 THEN 0.0::DOUBLE ELSE (other - own) / greatest(own, other) END), 6) AS silhouette FROM p GROUP BY ca""",
+    "similar_place_patterns": f"WITH {PAIR_SQL}, {LOCATIONS_SQL}, {_prof} SELECT place_id_a, place_id_b, a.dominant = b.dominant AS same_emotion, round(abs(a.mean - b.mean), 6) AS difference FROM pairs JOIN prof a ON a.location_id = place_id_a JOIN prof b ON b.location_id = place_id_b WHERE proximity >= 0.7",
 }
