@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timelines", "graph_queries", "trend_queries", "place_queries", "text_queries", "misc_queries", "document_queries", "payload_queries", "stream_queries", "training_queries", "dataset_queries")
+MODULES = ("timelines", "graph_queries", "trend_queries", "place_queries", "text_queries", "misc_queries", "document_queries", "payload_queries", "stream_queries", "training_queries", "dataset_queries", "record_queries")
 
 
 def _merged(attribute: str) -> dict:

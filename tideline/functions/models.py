@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
-from tideline.functions.text import lexicon_sentiment, sentiment_record
+from tideline.functions.text import lexicon_sentiment, location_text, roll_up, sentiment_record
 
-#: Words that speak for a recovery dimension.
+#: Words of our own choice that stand in for a classifier of recovery dimensions; register a model for real use.
 CHIME_WORDS = {
     "Connectedness": ("friend", "family", "together", "community", "support"),
     "Hope": ("hope", "future", "dream", "believe", "better"),
@@ -38,28 +37,53 @@ def chime(text: Column) -> Column:
     return F.when(total == 0, F.struct(F.lit("Uncategorized").alias("label"), F.lit(0.0).alias("score"))).otherwise(F.struct(best["k"].alias("label"), F.round(best["n"] / total, 4).alias("score")))
 
 
-def hashed_vector(text: str | None, size: int = DIMENSIONS) -> list[float] | None:
-    """Signed hashes of character trigrams, scaled to length one; null for blank text."""
-    if not text or not text.strip():
-        return None
-    out = np.zeros(size)
-    padded = f" {text.lower().strip()} "
-    for i in range(len(padded) - 2):
-        h = int.from_bytes(hashlib.blake2b(padded[i : i + 3].encode(), digest_size=8).digest(), "big")
-        out[h % size] += 1 if h >> 63 else -1
-    norm = np.linalg.norm(out)
-    return (out / norm if norm else out).tolist()
+def hashed_vectors(texts: list[str | None], size: int = DIMENSIONS) -> list[np.ndarray | None]:
+    """Signed hashes of the character trigrams of each text, scaled to length one; null for blank text."""
+    padded = [f" {t.lower().strip()} " if t and t.strip() else "" for t in texts]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), [len(p) for p in padded])
+    whole = np.flatnonzero(row[2:] == row[:-2])
+    h = (codes[whole] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[whole + 1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (codes[whole + 2] * np.uint64(0x165667B19E3779F9))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    cell = row[whole] * size + (h % np.uint64(size)).astype(np.int64)
+    out = np.bincount(cell, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * size).reshape(len(texts), size)
+    norm = np.linalg.norm(out, axis=1)
+    return [v / n if n else v if p else None for v, n, p in zip(out, norm, padded, strict=True)]
 
 
-@F.pandas_udf("array<float>")
-def embedding(text: pd.Series) -> pd.Series:
-    return text.map(hashed_vector)
+#: Texts that are hashed at a time.
+AT_ONCE = 1000
+
+
+def embedding(text: Column) -> Column:
+    def hashed(texts: pd.Series) -> pd.Series:
+        values = texts.tolist()
+        return pd.Series([v for i in range(0, len(values), AT_ONCE) for v in hashed_vectors(values[i : i + AT_ONCE])], dtype=object)
+
+    return F.pandas_udf(hashed, T.ArrayType(T.FloatType()))(text)
+
+
+#: Characters that a classifier of emotions reads.
+READ = 512
+
+
+def rolled_up(emotions: Column) -> Column:
+    """Positive, negative and neutral (four decimals) of an array of emotions (label, score); null of none."""
+    of = lambda c: F.aggregate(emotions, F.lit(0.0), lambda a, e: a + F.when(roll_up(e["label"]) == c, F.coalesce(e["score"], F.lit(0.0))).otherwise(0.0))
+    return F.when(emotions.isNotNull(), F.struct(*(F.round(of(c), 4).alias(c) for c in ("positive", "negative", "neutral"))))
+
+
+def text_scores(text: Column) -> Column:
+    """Classes of a text by the model of emotions; by the lexicon where it gives none."""
+    return F.coalesce(rolled_up(infer("emotions", F.left(text, F.lit(READ)))), lexicon_sentiment(text))
 
 
 _REGISTRY: dict[str, Callable[..., Column]] = {
     "sentiment": text_sentiment,
     "chime": chime,
     "embedding": embedding,
+    "emotions": lambda text: F.lit(None).cast("array<struct<label:string,score:double>>"),
     "aspects": lambda text: F.array().cast("array<struct<aspect:string,label:string,score:double>>"),
     "caption": lambda image: F.lit(None).cast("string"),
     "scene": lambda image: F.array().cast("array<struct<scene:string,score:double>>"),
@@ -78,15 +102,25 @@ def infer(name: str, *columns: Column) -> Column:
     return _REGISTRY[name](*columns)
 
 
-def enrich_posts(posts, models=("sentiment", "chime")):
-    """Posts with a column per model over their caption."""
-    return posts.withColumns({m: infer(m, F.col("caption")) for m in models})
+def enrich_posts(posts, models=("sentiment", "chime", "embedding")):
+    """Posts with a column per model over their caption, and ``ts`` of their ISO ``timestamp``, which is in UTC unless it
+    says otherwise."""
+    return posts.withColumns({m: infer(m, F.col("caption")) for m in models} | {"ts": F.try_to_timestamp("timestamp")})
 
 
 def gazetteer_lookup(rows, gazetteer):
-    """Reverse geocoding against a table by coordinates of five decimals, each distinct place looked up once."""
-    key = {"glat": F.round("lat", 5), "glon": F.round("lon", 5)}
-    places = gazetteer.select(F.round("lat", 5).alias("glat"), F.round("lon", 5).alias("glon"), "place").dropDuplicates(["glat", "glon"])
-    marked = rows.withColumns(key)
-    found = marked.select("glat", "glon").distinct().join(places, ["glat", "glon"], "left")
-    return marked.join(found, ["glat", "glon"], "left").drop("glat", "glon")
+    """Reverse geocoding against a table (``lat lon`` and more) by coordinates of five decimals, each distinct place looked
+    up once; of several entries at a place the least one counts."""
+    near = lambda: (F.round("lat", 5).alias("glat"), F.round("lon", 5).alias("glon"))
+    kept = [c for c in gazetteer.columns if c not in ("lat", "lon")]
+    known = gazetteer.select(*near(), F.struct(*kept).alias("g")).groupBy("glat", "glon").agg(F.min("g").alias("g"))
+    found = rows.select(*near()).distinct().join(known, ["glat", "glon"], "left").select("glat", "glon", "g.*")
+    at = rows.withColumns({"glat": F.round("lat", 5), "glon": F.round("lon", 5)})
+    return at.join(found, at["glat"].eqNullSafe(found["glat"]) & at["glon"].eqNullSafe(found["glon"]), "left").drop("glat", "glon")
+
+
+def enrich_locations(rows, gazetteer):
+    """Rows (``lat lon``) with the entry (``category kind name``) of the gazetteer, ``location_text`` and its vector."""
+    found = gazetteer_lookup(rows, gazetteer)
+    found = found.withColumn("location_text", location_text(*(F.col(c) for c in ("category", "kind", "name", "lat", "lon"))))
+    return found.withColumn("location_embedding", infer("embedding", F.col("location_text")))

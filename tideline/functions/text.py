@@ -90,6 +90,30 @@ def roll_up(label: Column) -> Column:
     return out
 
 
+def first_existing(columns: list[str], candidates: tuple[str, ...]) -> str | None:
+    """The first of ``candidates`` among ``columns``."""
+    return next((c for c in candidates if c in columns), None)
+
+
+#: Names of a text and of a label, the likeliest first.
+TEXT_NAMES = ("CAPTIONS", "caption", "captions", "text", "sentence", "content")
+LABEL_NAMES = ("labels", "label", "category", "class", "target")
+
+
+def top_result(results: Column) -> Column:
+    """The entry (label, score) with the highest score, the first of equal ones, of an array, or of the first array of an
+    array of arrays; a missing score is 0. Uncategorized and 0 without any."""
+    none = F.struct(F.lit("Uncategorized").alias("label"), F.lit(0.0).alias("score"))
+    score = lambda e: F.coalesce(e["score"], F.lit(0.0))
+    place = lambda e, i: F.struct(score(e).alias("s"), (-i).alias("i"), F.struct(e["label"].alias("label"), score(e).alias("score")).alias("e"))
+    return F.coalesce(F.array_max(F.transform(results, place))["e"], none)
+
+
+def first_list(results: Column) -> Column:
+    """The first array of an array of arrays."""
+    return F.get(results, F.lit(0))
+
+
 def softmax(values: Column) -> Column:
     shifted = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
     total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)

@@ -22,6 +22,11 @@ def rate_limited(corrections: DataFrame, most: int = 10, within_us: int = HOUR_U
     return ordered_fold(corrections, "subject_id", ["us", "seq"], ["us"], list, step, "in_last_hour bigint, allowed boolean")
 
 
+def pending(posts: DataFrame) -> DataFrame:
+    """``waiting``: posts (``label status``) that have a corrected label and weren't used for training yet."""
+    return posts.agg(F.count_if(F.col("label").isNotNull() & (F.col("status") == "pending")).alias("waiting"))
+
+
 def latest_correction(corrections: DataFrame) -> DataFrame:
     """The history is append-only; the last label wins."""
     return corrections.groupBy("subject_id", "post_id").agg(F.max_by("label", F.struct("us", "seq")).alias("label"), F.count("*").alias("history"))

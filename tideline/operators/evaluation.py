@@ -38,6 +38,12 @@ def sweep_summary(runs: DataFrame, by: list[str], metrics: list[str]) -> DataFra
     return got.orderBy(*(F.desc(f"{m}_mean") for m in metrics))
 
 
+def stability(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """``metric mean std`` over runs of different seeds: the sample deviation, null for one run."""
+    means = runs.agg(*(F.struct(F.avg(m).alias("mean"), F.stddev_samp(m).alias("std")).alias(m) for m in metrics))
+    return means.unpivot([], metrics, "metric", "v").select("metric", "v.mean", "v.std")
+
+
 def parameter_grid(spark, most: int = 50, **values: list) -> DataFrame:
     """All combinations of literal lists; more than ``most`` is an error."""
     total = 1

@@ -25,6 +25,15 @@ def with_defaults(outputs: DataFrame) -> DataFrame:
     return outputs.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in fill.items()})
 
 
+def from_outputs(outputs: DataFrame, base_us: int, step_us: int = 100_000) -> DataFrame:
+    """Frames of model outputs (``subject_id seq timestamp positive neutral negative uncertainty image_id source_id``) with
+    defaults, the picture's name before the source's, and ``us``. An output without a time stands a tenth of a second
+    after the one before from ``base_us`` on, by ``seq`` from 0."""
+    us = F.coalesce(F.unix_micros(F.try_to_timestamp("timestamp")), F.lit(base_us) + F.col("seq") * step_us)
+    name = F.coalesce(F.nullif("image_id", F.lit("")), F.col("source_id"))
+    return with_defaults(outputs).select("subject_id", us.alias("us"), "seq", *CLASSES, "uncertainty", name.alias("source_id"))
+
+
 def derived(frames: DataFrame) -> DataFrame:
     """Confidence, dominant class (positive, neutral, negative on ties) and its probability."""
     return frames.withColumns({"confidence": 1 - F.col("uncertainty"), "dominant": argmax({c: F.col(c) for c in CLASSES}), "dominant_probability": F.greatest(*CLASSES)})

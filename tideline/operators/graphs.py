@@ -55,6 +55,14 @@ def narrative_edges(episodes: DataFrame, threshold_us: int, include_disjoint: bo
     )
 
 
+def edges_touching(edges: DataFrame, node: Column) -> DataFrame:
+    return edges.filter((F.col("source_index") == node) | (F.col("target_index") == node))
+
+
+def edges_by_relation(edges: DataFrame, relation: str) -> DataFrame:
+    return edges.filter(F.col("relation") == relation)
+
+
 def graph_ids(episodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A digest of the episode ids and of the edges in order; weights don't enter."""
     nodes = episodes.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("episode_index", "episode_id"))).alias("n"))

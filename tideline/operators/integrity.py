@@ -34,6 +34,20 @@ def future_issues(rows: DataFrame, ts_us: str, as_of_us: int, location: Column)
     return rows.filter(F.col(ts_us) > as_of_us).select(*issue("ERROR", "temporal", F.lit("timestamp in the future"), location))
 
 
+#: Labels that a correction may give.
+CORRECTIONS = ("Connectedness", "Hope", "Identity", "Meaning", "Empowerment", "None")
+
+
+def user_id_ok(user: Column) -> Column:
+    """Letters, digits, ``_ . - @`` of any script, 64 at most."""
+    return F.coalesce(user.rlike(r"^[\p{L}\p{N}_.\-@]{1,64}$"), F.lit(False))
+
+
+def correction_problem(post_id: Column, label: Column) -> Column:
+    """Why a correction is refused; null if it is not."""
+    return F.when((F.coalesce(post_id.cast("string"), F.lit("")) == "") | (F.coalesce(label, F.lit("")) == ""), "Missing data").when(~label.isin(*CORRECTIONS), "Invalid label")
+
+
 def is_remote(path: Column) -> Column:
     return F.lower(path).rlike("^(https?|s3|ftp)://")
 

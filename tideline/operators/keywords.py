@@ -13,13 +13,17 @@ def cluster_keyword_lists(keywords: DataFrame) -> DataFrame:
     return keywords.groupBy("sentiment", name.alias("cluster")).agg(F.array_join(F.sort_array(F.collect_set("keyword")), ",").alias("keywords"))
 
 
+#: Words that are no concept.
+EXCLUDED = ("me", "my", "i", "used", "when", "this", "parents", "bring", "sick", "got", "reminds")
+
+
 def main_concepts(*arrays: Column) -> Column:
-    """Union of concept lists without those that are part of another one."""
-    every = arrays[0]
-    for more in arrays[1:]:
-        every = F.array_union(every, more)
-    every = F.array_distinct(every)
-    return F.filter(every, lambda c: ~F.exists(every, lambda o: (o != c) & F.contains(o, c)))
+    """Union of concept lists in lower case, in order: without those that are part of one of more words, without excluded
+    words, and with three characters at least. Null lists are empty."""
+    every = F.array_distinct(F.flatten(F.array(*(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda c: F.lower(c)) for a in arrays))))
+    size = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    whole = F.filter(every, lambda c: ~F.exists(every, lambda o: F.contains(o, c) & (size(c) < size(o))))
+    return F.array_sort(F.filter(whole, lambda c: ~c.isin(*EXCLUDED) & (F.length(F.trim(c)) > 2)))
 
 
 def _tree(x: np.ndarray, k: int) -> list[tuple[float, int, int]]:

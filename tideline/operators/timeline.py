@@ -46,6 +46,19 @@ def structural_fingerprint(events: DataFrame) -> DataFrame:
     return got.select("subject_id", digest(F.concat_ws(":", F.col("n").cast("string"), seconds_text(F.col("span")), digest(text, 16))).alias("fingerprint"))
 
 
+#: What a post without a sentiment counts as: its score where posts are drawn, and where they are summed up.
+MISSING_SCORE = {"shown": 0.0, "stored": None}
+
+
+def of_posts(posts: DataFrame, missing: str = "shown") -> DataFrame:
+    """Events (``subject_id us seq label score``) of posts (``user_id post_id timestamp label score``, the time as ISO
+    text in UTC unless it says otherwise). A post without a label is neutral and without a score has that of ``missing``;
+    one without a time is left out."""
+    us = F.unix_micros(F.try_to_timestamp("timestamp"))
+    score = F.coalesce(F.col("score"), F.lit(MISSING_SCORE[missing]).cast("double"))
+    return posts.select(F.col("user_id").alias("subject_id"), us.alias("us"), F.col("post_id").alias("seq"), F.coalesce("label", F.lit("neutral")).alias("label"), score.alias("score")).filter("us IS NOT NULL")
+
+
 def csv_rows(events: DataFrame) -> DataFrame:
     return events.select("subject_id", iso(F.col("us")).alias("timestamp"), F.col("label").alias("emotion_label"), "score", F.col("seq").cast("string").alias("source_id"))
 

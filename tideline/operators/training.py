@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tideline.functions.text import softmax
 from tideline.operators.corrections import promotion_gate
 from tideline.sources import appends
 
@@ -30,6 +31,10 @@ class Head:
         dot = lambda w: F.aggregate(F.zip_with(F.concat(vector.cast("array<double>"), F.array(F.lit(1.0))), w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         return F.transform(rows, dot)
 
+    def probabilities(self, vector: Column) -> Column:
+        """The classes' shares, in their order."""
+        return softmax(self.scores(vector))
+
     def predicted(self, vector: Column) -> Column:
         """The class with the highest score; the first one on ties."""
         scores = self.scores(vector)

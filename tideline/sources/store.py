@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tideline.sources.tables import cut
 
@@ -30,6 +30,9 @@ def get_or_compute(store: DataFrame | None, wanted: DataFrame, compute: Callable
     return made if store is None else store.join(wanted.select("fingerprint"), "fingerprint", "left_semi").unionByName(made)
 
 
-def upsert_vectors(existing: DataFrame, rows: DataFrame) -> DataFrame:
-    """Vectors by collection and document; a new one replaces the old."""
-    return existing.join(rows.select("collection", "doc_id"), ["collection", "doc_id"], "left_anti").unionByName(rows)
+def upsert_vectors(existing: DataFrame, rows: DataFrame, order: str) -> DataFrame:
+    """Vectors by collection and document: of the new rows of a key the last by ``order`` (a column of them alone), which
+    replaces the old one."""
+    kept = [c for c in rows.columns if c not in ("collection", "doc_id", order)]
+    last = rows.groupBy("collection", "doc_id").agg(F.max_by(F.struct(*kept), order).alias("__row")).select("collection", "doc_id", "__row.*")
+    return existing.join(last.select("collection", "doc_id"), ["collection", "doc_id"], "left_anti").unionByName(last)
