@@ -69,20 +69,20 @@ def read_envelopes(texts: DataFrame) -> DataFrame:
 def read_timelines(payloads: DataFrame) -> DataFrame:
     """``subject_id place`` and the events of timelines."""
     parsed = payloads.select(F.from_json("data_json", f"struct<events:array<{EVENT}>,subject_id:string>").alias("d"))
-    return parsed.select("d.subject_id", F.posexplode("d.events").alias("place", "e")).select("subject_id", "place", "e.*")
+    return parsed.select("d.subject_id", F.posexplode("d.events").alias("place", "e")).select("subject_id", F.col("place").cast("long").alias("place"), "e.*")
 
 
 def read_episodes(payloads: DataFrame) -> DataFrame:
     """``fingerprint subject_id start_time end_time place`` and the events of episodes."""
     parsed = payloads.select("fingerprint", F.from_json("data_json", EPISODE).alias("d"))
-    return parsed.select("fingerprint", F.col("d.source_subject_id").alias("subject_id"), "d.start_time", "d.end_time", F.posexplode("d.events").alias("place", "e")).select("fingerprint", "subject_id", "start_time", "end_time", "place", "e.*")
+    return parsed.select("fingerprint", F.col("d.source_subject_id").alias("subject_id"), "d.start_time", "d.end_time", F.posexplode("d.events").alias("place", "e")).select("fingerprint", "subject_id", "start_time", "end_time", F.col("place").cast("long").alias("place"), "e.*")
 
 
 def read_nodes(payloads: DataFrame) -> DataFrame:
     """``fingerprint node subject_id start_time end_time event_count`` of graphs."""
     parsed = payloads.select("fingerprint", F.from_json("data_json", f"struct<nodes:array<{EPISODE}>>").alias("d"))
     nodes = parsed.select("fingerprint", F.posexplode("d.nodes").alias("node", "n"))
-    return nodes.select("fingerprint", "node", F.col("n.source_subject_id").alias("subject_id"), "n.start_time", "n.end_time", F.size("n.events").alias("event_count"))
+    return nodes.select("fingerprint", F.col("node").cast("long").alias("node"), F.col("n.source_subject_id").alias("subject_id"), "n.start_time", "n.end_time", F.size("n.events").cast("long").alias("event_count"))
 
 
 def read_edges(payloads: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ QUERIES = {
     "labelled_lines": lines,
     "class_names": lambda s, d: table(s, d, "embeddings").select(
         "vec_id", datasets.class_name("fer2013", F.col("label")).alias("emotion"), datasets.class_name("KDEF", F.col("label")).alias("code"),
-        datasets.one_hot("KDEF", datasets.class_id("KDEF", datasets.class_name("KDEF", F.col("label")))).alias("classes"),
+        F.array_join(datasets.one_hot("KDEF", datasets.class_id("KDEF", datasets.class_name("KDEF", F.col("label")))).cast("array<string>"), "").alias("classes"),
     ),
 }
 _list = lambda name: "[" + ", ".join(f"'{c}'" for c in datasets.CLASSES[name]) + "]"
@@ -73,5 +73,5 @@ ORACLES = {
     "faces_of_one_person": """SELECT 'faces/' || l_partkey || '.jpg' AS full_path, CAST(arg_max(l_suppkey % 3, l_orderkey * 10 + l_linenumber) AS INTEGER) AS gender, ['woman', 'man'][CAST(arg_max(l_suppkey % 3, l_orderkey * 10 + l_linenumber) AS INTEGER) + 1] AS label
 FROM lineitem WHERE l_quantity > 30 AND l_linenumber <> 2 AND l_suppkey % 3 < 2 GROUP BY l_partkey""",
     "labelled_lines": """SELECT CASE WHEN p_partkey % 7 <> 0 THEN 'part ' || p_partkey || ', of "' || p_brand || '"' END AS text, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS label, p_partkey % 7 = 0 AS malformed FROM part""",
-    "class_names": f"SELECT vec_id, {_list('fer2013')}[label + 1] AS emotion, {_list('KDEF')}[label + 1] AS code, list_transform(range(7), lambda i: CASE WHEN i = label THEN 1 ELSE 0 END) AS classes FROM embeddings",
+    "class_names": f"SELECT vec_id, {_list('fer2013')}[label + 1] AS emotion, {_list('KDEF')}[label + 1] AS code, array_to_string(list_transform(range(7), lambda i: CASE WHEN i = label THEN 1 ELSE 0 END), '') AS classes FROM embeddings",
 }

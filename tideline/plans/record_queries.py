@@ -109,7 +109,7 @@ def ranked(spark, sf_dir):
 def leveled(spark, sf_dir):
     """Scores by the first text-like column that a table has."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.length(T.first_existing(c.columns, T.TEXT_NAMES)).alias("chars"))
+    return c.select("conv_id", "turn", F.length(T.first_existing(c.columns, T.TEXT_NAMES)).cast("long").alias("chars"))
 
 
 QUERIES = {

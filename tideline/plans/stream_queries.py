@@ -59,7 +59,8 @@ def appended(spark, sf_dir):
     first, second = (e.filter(f"seq % 2 = {i}").repartitionByRange(8, "seq").sortWithinPartitions("seq").drop("seq") for i in (0, 1))
     for rows, batch in ((first, "a"), (first, "a"), (second, "b")):
         appends.append(spark, path, rows, batch)
-    return appends.keyword_lists(appends.read(spark, path, "user_id long, kind string, keyword string"))
+    got = appends.keyword_lists(appends.read(spark, path, "user_id long, kind string, keyword string"))
+    return got.select("user_id", *(F.array_join(f"{k}_keywords", ",").alias(f"{k}_keywords") for k in appends.KINDS))
 
 
 def stream_limits(spark, sf_dir):
@@ -86,6 +87,6 @@ ORACLES = {
     "stream_ingest_ids": f"SELECT count(*) AS n, 1::BIGINT AS first_id, count(*) AS last_id, count(*) AS ids FROM events WHERE {FINE}",
     "rejected_posts": "SELECT CASE WHEN event_id % 5 = 0 THEN 'Missing required fields: caption' WHEN event_id % 6 = 0 THEN 'Unsupported file extension' END AS problem, count(*) AS n FROM events GROUP BY ALL",
     "keyword_upserts": """WITH k AS (SELECT user_id, event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'positive' ELSE 'negative' END AS kind, 'k' || event_id % 9 AS keyword FROM events WHERE event_type IN ('purchase', 'signup', 'error'))
-SELECT user_id, coalesce(list(keyword ORDER BY event_id % 2, event_id) FILTER (WHERE kind = 'positive'), []) AS positive_keywords, coalesce(list(keyword ORDER BY event_id % 2, event_id) FILTER (WHERE kind = 'negative'), []) AS negative_keywords FROM k GROUP BY user_id""",
+SELECT user_id, coalesce(string_agg(keyword, ',' ORDER BY event_id % 2, event_id) FILTER (WHERE kind = 'positive'), '') AS positive_keywords, coalesce(string_agg(keyword, ',' ORDER BY event_id % 2, event_id) FILTER (WHERE kind = 'negative'), '') AS negative_keywords FROM k GROUP BY user_id""",
     "stream_rate_limit": TRENDS["correction_rate_limit"],
 }
