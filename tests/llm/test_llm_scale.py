@@ -183,6 +183,39 @@ def test_ledger_at_a_path(spark, tmp_path):
     assert rows.count() == 2 + len(rules) and spans_of(found) == first
 
 
+def test_two_scans_at_a_time_and_blobs_of_other_tables(spark, tmp_path):
+    """Rows that two scans both wrote count once; rows of texts that this table lacks don't come back."""
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdefabcdef99"), (2, "nothing")], "doc_id long, text string")
+    found, rows = secret_scan.scan(docs, path)
+    before = sorted(map(str, found.collect()))
+    rows.write.mode("append").parquet(path)  # the other scan
+    found, _ = secret_scan.scan(docs, path)
+    assert sorted(map(str, found.collect())) == before and before
+    other, _ = secret_scan.scan(docs.filter("doc_id = 2"), path)
+    assert other.count() == 0
+
+
+def test_stock_phrase_in_many_items(spark):
+    """A phrase that all items and documents share makes hits, but contaminates nothing by itself."""
+    rng = random.Random(8)
+    phrase = "once upon a time there was a small grey"
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(i, f"{phrase} {own(30)}") for i in range(60)]
+    docs = [(i, f"{own(20)} {phrase} {own(20)}") for i in range(40)] + [(100, f"{own(5)} {items[7][1]}"), (101, own(30)), (101, own(30)), (None, None)]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in got if r["contaminated"]} == {100: "7"} and len(got) == len(docs)
+
+
+def test_only_texts_with_hits_meet_their_hits(spark):
+    """Whatever their number, documents pass a bitmap before their texts are sent: all with a hit do, and few others."""
+    docs = decontaminate.keyed(spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    hit = docs.filter("dk % 10 = 0").select("dk", "tk")
+    met = decontaminate.possible(docs, hit, "xxhash64(dk, tk)")
+    assert met.columns == docs.columns and met.join(hit, ["dk", "tk"], "left_semi").count() == 2000
+    assert met.count() < 2100
+
+
 def test_seeds_by_bitmap_equal_seeds_by_broadcast(spark, small):
     docs, items = (spark.read.parquet(f"{small[0]}/{t}.parquet") for t in ("documents", "benchmark"))
     a, b = (sorted(map(tuple, decontaminate.contamination(docs, items, broadcast_seeds=n).collect())) for n in (0, 10**6))

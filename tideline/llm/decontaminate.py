@@ -14,7 +14,9 @@ of fewer than ``LEAST`` words is no passage: only a document that consists of ju
 The benchmark's seeds are broadcast only while they are at most ``BROADCAST_SEEDS`` (counted first); beyond that
 seeds of documents pass a bitmap of the benchmark's seeds (16 MB at most) and what is left is joined by a shuffle,
 where adaptive skew splitting applies. Hits are united per document, item and block of ``BLOCK`` diagonals; a row
-holds one such block, however repetitive the text. A document's text is read twice and sent once.
+holds one such block, however repetitive the text. The hits are written; then a bitmap of the documents that have
+one (16 MB at most, whatever their number) is broadcast, so that only texts with a hit, and few others, are sent to
+meet their hits. Every text is read twice where it lies.
 
 Defined cases: null or empty texts and items have no words and match nothing; null item ids are left out; equal
 items each count; repeated rows of a document get the same answer; rows of one id with different texts are
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideline.llm.common import fresh, table
+from tideline.llm.common import fresh, table, written
 
 #: Fixed masks; '1' marks a position whose word counts.
 MASKS = ("1101101", "11100101")
@@ -40,7 +42,7 @@ LEAST = 3
 BROADCAST_SEEDS, BROADCAST_ITEMS = 500_000, 20_000
 #: Diagonals in a row at most.
 BLOCK = 1024
-#: Bits of the bitmap of seeds, in rows of 4 kB; ``ROW`` bits each.
+#: Bits of a bitmap of seeds or of documents, in rows of 4 kB; ``ROW`` bits each.
 BITS, ROW = 1 << 27, 1 << 15
 SHORTEST = min(map(len, MASKS))
 
@@ -86,17 +88,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("dk"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def slot(seed: str = "seed") -> dict[str, Column]:
-    """Row and bit of a seed in the bitmap."""
-    at = F.pmod(F.col(seed), F.lit(BITS))
+def slot(key: str) -> dict[str, Column]:
+    """Row and bit of a hash in the bitmap."""
+    at = F.pmod(F.expr(key), F.lit(BITS))
     return {"row": F.floor(at / ROW), "bit": F.pmod(at, F.lit(ROW))}
 
 
-def possible(mine: DataFrame, made: DataFrame) -> DataFrame:
-    """Rows of ``mine`` whose seed may be one of ``made``: all that are, and few others."""
-    bitmap = made.withColumns(slot()).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bitmap"))  # BITS / ROW rows at most
+def possible(mine: DataFrame, made: DataFrame, key: str = "seed") -> DataFrame:
+    """Rows of ``mine`` whose ``key`` (SQL of a hash) may be one of ``made``: all that are, and few others."""
+    bitmap = made.withColumns(slot(key)).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bitmap"))  # BITS / ROW rows at most
     byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    placed = mine.withColumns(slot()).join(F.broadcast(bitmap), "row")
+    placed = mine.withColumns(slot(key)).join(F.broadcast(bitmap), "row")
     return placed.filter(F.call_function("getbit", byte, F.pmod(F.col("bit"), F.lit(8)).cast("int")) == 1).select(*mine.columns)
 
 
@@ -113,8 +115,10 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = SHARE, broadca
     hits = mine.join(F.broadcast(made), "seed") if made.count() <= broadcast_seeds else possible(mine, made).join(made, "seed")
     hits = hits.select("dk", "tk", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"))
     blocks = hits.groupBy("dk", "tk", "item_id", F.floor(F.col("diagonal") / BLOCK).alias("block")).agg(F.collect_set("diagonal").alias("diagonals"))
+    blocks = written(blocks, "hits")
     tried = blocks.join(F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items, "item_id")
-    placed = base.join(tried.hint("shuffle_hash"), ["dk", "tk"]).select("dk", "tk", "item_id", "iw", "diagonals", word_hashes(F.col("text")).alias("w"))
+    met = possible(base, blocks, "xxhash64(dk, tk)")
+    placed = met.join(tried.hint("shuffle_hash"), ["dk", "tk"]).select("dk", "tk", "item_id", "iw", "diagonals", word_hashes(F.col("text")).alias("w"))
 
     def in_place(g: Column) -> Column:
         there = lambda k: F.try_element_at(F.col("w"), F.when(g + k >= 0, g + k + 1)) == F.get("iw", k)
