@@ -90,7 +90,7 @@ def found_in(ledger: DataFrame, rules=RULES) -> DataFrame:
     which = F.create_map(*(x for k, (i, kind) in order.items() for x in (F.lit(k), F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind")))))
     rows = ledger.filter(F.size("spans") > 0).select("blob", which[F.col("rule")].alias("of"), F.explode("spans").alias("s")).filter("of IS NOT NULL")
     made = F.struct(F.col("s.start").alias("start"), F.col("of.ord").alias("ord"), F.col("s.end").alias("end"), F.col("of.kind").alias("kind"))
-    return rows.groupBy("blob").agg(F.sort_array(F.collect_list(made)).alias("spans"))
+    return rows.groupBy("blob").agg(F.sort_array(F.collect_set(made)).alias("spans"))  # a set: two scans at a time may both have a blob's rows
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -103,6 +103,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def found_before(ledger: DataFrame, versions: DataFrame) -> DataFrame:
+    return ledger.filter(F.size("spans") > 0).join(versions.select("blob"), "blob", "left_semi")
+
+
 def scan(docs: DataFrame, ledger: DataFrame | str | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
     """(findings to join to rows by blob and salt, rows that the ledger lacked). ``ledger`` is a table, or the path of
     a ledger: rows are appended there (by one scan at a time). Otherwise the new rows are written to the shared folder."""
@@ -113,9 +117,8 @@ def scan(docs: DataFrame, ledger: DataFrame | str | None = None, rules=RULES) ->
     fresh = written(scan_unseen(blobs_of(versions), ledger, rules), "ledger")
     if path:
         fresh.write.mode("append").parquet(path)
-        known = read_ledger(spark, path)
-    else:
-        known = fresh if ledger is None else ledger.unionByName(fresh)
+    # Of an earlier ledger only rows with findings of these blobs are read on.
+    known = fresh if ledger is None else found_before(ledger, versions).unionByName(fresh)
     found = found_in(known, rules)
     salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted, fresh
