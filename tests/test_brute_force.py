@@ -35,8 +35,9 @@ def shortest_paths(n, edges, s, t):
 
 @pytest.mark.parametrize("distance", ["weight", "1-weight", "hop"])
 def test_betweenness_against_all_paths(spark, distance, monkeypatch):
-    """Random graphs, a chain, a diamond and an edge of no length; two sources in a block."""
+    """Random graphs, a chain, a diamond and an edge of no length; one or two sources in a block."""
     monkeypatch.setattr(graphs, "SOURCES", 2)
+    monkeypatch.setattr(graphs, "CELLS", 10)
     rng = random.Random(6)
     cases = {1: (3, {(0, 1): 1.0, (1, 2): 1.0}), 2: (4, {(0, 1): 0.5, (0, 2): 0.5, (1, 3): 0.5, (2, 3): 0.5}), 3: (4, {(0, 1): 0.0, (1, 2): 1.0, (0, 2): 1.0, (2, 3): 0.0}), 4: (1, {}), 5: (3, {})}
     for k in range(6, 14):
@@ -59,6 +60,22 @@ def test_betweenness_against_all_paths(spark, distance, monkeypatch):
     assert got[1, 1] == 0.5 and got[4, 0] == 0.0
 
 
+def test_betweenness_of_long_chains_and_many_stretches(spark, monkeypatch):
+    """A chain of 2,000 nodes in blocks of few sources, and a subject of chains of seven nodes that nothing joins: the nodes
+    before a node times those after it, inside its chain."""
+    monkeypatch.setattr(graphs, "CELLS", 100_000)
+    chains = spark.sql("SELECT subject, id, IF(subject = 1, 2000L, 7L) AS n FROM range(2000) JOIN VALUES (1L), (2L) AS s(subject)")
+    chains = chains.withColumn("at", F.col("id") % F.col("n"))
+    nodes = chains.select(F.col("subject").alias("subject_id"), F.col("id").alias("episode_index"))
+    lines = chains.filter("at < n - 1 AND id < 1999").selectExpr("subject AS subject_id", "id AS source_index", "id + 1 AS target_index", "0.5D AS weight")
+    inside = F.least("n", 2000 - (F.col("id") - F.col("at")))
+    want = chains.select(F.col("subject").alias("subject_id"), F.col("id").alias("episode_index"), (F.col("at") * (inside - 1 - F.col("at")) / (1999 * 1998)).alias("want"))
+    got = graphs.betweenness(nodes, lines).join(want, ["subject_id", "episode_index"])
+    assert got.count() == 4000 and got.filter("abs(betweenness - want) > 1e-12").count() == 0
+    lows = graphs.stretches(nodes.withColumnRenamed("episode_index", "node"), lines.selectExpr("subject_id", "source_index AS source", "target_index AS target"))
+    assert {(r["subject_id"], r["c"]) for r in lows.groupBy("subject_id").agg(F.count_distinct("low").alias("c")).collect()} == {(1, 1), (2, 286)}
+
+
 def test_an_edge_that_leads_back_is_refused(spark):
     nodes = spark.createDataFrame([(1, 0), (1, 1)], "subject_id long, episode_index long")
     lines = spark.createDataFrame([(1, 1, 0, 1.0)], "subject_id long, source_index long, target_index long, weight double")

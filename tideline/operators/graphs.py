@@ -160,64 +160,97 @@ def label_cycles(edges: DataFrame, most: int | None = MOST_CYCLES) -> DataFrame:
     return got.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
 
 
-def path_shares(n: int, edges: list[tuple[int, int, float]], sources: range) -> np.ndarray:
-    """For each node the shares of shortest paths from ``sources`` to other nodes that it lies on.
+def path_shares(n: int, tails: np.ndarray, heads: np.ndarray, lengths: np.ndarray, sources: int) -> np.ndarray:
+    """For each node the shares of shortest paths from the first ``sources`` nodes to other nodes that it lies on.
 
     Edges lead from lower to higher numbers, so the nodes are in topological order. Forward, for all sources at once:
     distances and numbers of shortest paths. Backward: over the paths that go on from a node, the sum of one by the number
     of paths to their end; times the number of paths to the node that is its share."""
-    far, ways = np.full((len(sources), n), np.inf), np.zeros((len(sources), n))
-    far[np.arange(len(sources)), list(sources)], ways[np.arange(len(sources)), list(sources)] = 0.0, 1.0
-    into: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n)]
-    for a, b, w in edges:
-        into[b][0].append(a)
-        into[b][1].append(w)
-    for node, (tails, lengths) in enumerate(into):
-        if tails:
-            reach = far[:, tails] + np.array(lengths)
-            least = reach.min(axis=1)
-            nearer = least < far[:, node]
-            far[nearer, node] = least[nearer]
-            ways[nearer, node] = np.where(reach == least[:, None], ways[:, tails], 0.0).sum(axis=1)[nearer]
+    far, ways = np.full((sources, n), np.inf), np.zeros((sources, n))
+    own = np.arange(sources)
+    far[own, own], ways[own, own] = 0.0, 1.0
+    by_head = np.lexsort((tails, heads))
+    tails, heads, lengths = tails[by_head], heads[by_head], lengths[by_head]
+    begins = np.searchsorted(heads, np.arange(n + 1))
+    reached = np.flatnonzero(np.diff(begins))
+    for node in reached:
+        into = slice(begins[node], begins[node + 1])
+        reach = far[:, tails[into]] + lengths[into]
+        least = reach.min(axis=1)
+        nearer = least < far[:, node]
+        far[nearer, node] = least[nearer]
+        ways[nearer, node] = np.where(reach == least[:, None], ways[:, tails[into]], 0.0).sum(axis=1)[nearer]
     onward = np.zeros_like(ways)
-    for node in range(n - 1, -1, -1):
-        tails, lengths = into[node]
-        if tails:
-            on = (far[:, tails] + np.array(lengths) == far[:, [node]]) & np.isfinite(far[:, [node]])
-            here = 1 / np.where(ways[:, node] > 0, ways[:, node], 1.0) + onward[:, node]
-            np.add.at(onward.T, tails, np.where(on, here[:, None], 0.0).T)
-    ways[np.arange(len(sources)), list(sources)] = 0.0  # the ends of a path don't count
+    for node in reached[::-1]:
+        into = slice(begins[node], begins[node + 1])
+        on = (far[:, tails[into]] + lengths[into] == far[:, [node]]) & np.isfinite(far[:, [node]])
+        here = 1 / np.where(ways[:, node] > 0, ways[:, node], 1.0) + onward[:, node]
+        np.add.at(onward.T, tails[into], np.where(on, here[:, None], 0.0).T)
+    ways[own, own] = 0.0  # the ends of a path don't count
     return (ways * onward).sum(axis=0)
 
 
-#: Sources that a task takes at a time; the sources of a large graph are spread over tasks.
-SOURCES = 256
+#: Sources that a task takes at a time, and cells (sources times nodes) of its matrices; of a long stretch it takes fewer.
+SOURCES, CELLS = 256, 4_000_000
+
+
+def stretches(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """``nodes`` (``subject_id node``) with ``low`` and ``n_stretch``: the first node and the number of nodes of their
+    stretch. A stretch ends where no edge of ``lines`` (``source`` below ``target``) leads on, so paths stay inside."""
+    order = Window.partitionBy("subject_id").orderBy("node")
+    reach = lines.groupBy("subject_id", F.col("source").alias("node")).agg(F.max("target").alias("to"))
+    before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = nodes.join(reach, ["subject_id", "node"], "left").withColumn("begins", F.coalesce(before < F.col("node"), F.lit(True)))
+    placed = begun.select("subject_id", "node", F.max(F.when(F.col("begins"), F.col("node"))).over(order).alias("low"))
+    return placed.join(placed.groupBy("subject_id", "low").agg(F.count("*").alias("n_stretch")), ["subject_id", "low"])
 
 
 def betweenness(episodes: DataFrame, edges: DataFrame, distance: str = "weight") -> DataFrame:
     """Betweenness of every node. ``distance`` is "weight" (an edge's weight is its length), "1-weight" or "hop".
 
-    Edges lead from a lower to a higher index. A group is a subject's graph and a block of its sources; what the
-    blocks give is added up."""
+    Edges lead from a lower to a higher index. A subject's graph falls into stretches that no edge joins, and these into
+    blocks of sources; a block gets the edges of its stretch from its first source on, as rows in order, and its shares are
+    added up. A task holds the edges of one stretch (24 bytes each) and matrices of ``CELLS`` cells, or of one source's
+    row where a stretch is longer; the work grows with nodes times edges of a stretch."""
     length = {"weight": F.col("weight"), "1-weight": 1 - F.col("weight"), "hop": F.lit(1.0)}[distance]
-    nodes = episodes.select("subject_id", "episode_index", (F.row_number().over(Window.partitionBy("subject_id").orderBy("episode_index")) - 1).alias("node"))
+    nodes = episodes.select("subject_id", "episode_index", (F.row_number().over(Window.partitionBy("subject_id").orderBy("episode_index")) - 1).cast("long").alias("node"))
     size = nodes.groupBy("subject_id").agg(F.count("*").alias("n"))
     ends = [nodes.select("subject_id", F.col("episode_index").alias(f"{e}_index"), F.col("node").alias(e)) for e in ("source", "target")]
     lines = edges.select("subject_id", "source_index", "target_index", length.cast("double").alias("w")).join(ends[0], ["subject_id", "source_index"]).join(ends[1], ["subject_id", "target_index"])
-    blocked = lines.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("source", "target", "w"))).alias("lines")).join(size, "subject_id")
-    blocked = blocked.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SOURCES).cast("int")))).repartition("subject_id", "block")
+    upward = F.when(F.col("source") < F.col("target"), F.col("target")).otherwise(F.raise_error(F.lit("an edge leads to a lower index")).cast("long"))
+    lines = lines.select("subject_id", "source", upward.alias("target"), "w")
+    inside = stretches(nodes.select("subject_id", "node"), lines).withColumnRenamed("node", "source")
+    step = F.greatest(F.lit(1), F.least(F.lit(SOURCES), F.floor(F.lit(CELLS) / F.col("n_stretch")))).cast("long")
+    blocked = lines.join(inside, ["subject_id", "source"]).withColumn("step", step)
+    first = F.explode(F.sequence(F.col("low"), F.col("source"), F.col("step")))
+    blocked = blocked.select("subject_id", first.alias("first"), "step", "source", "target", "w")
+    tasks = int(episodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as small blocks are long work
+    blocked = blocked.repartition(tasks, "subject_id", "first").sortWithinPartitions("subject_id", "first", "source", "target")
 
     def run(batches):
+        def shares_of(subject, first, step, held):
+            tails, heads, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            n = int(heads.max()) - first + 1
+            share = path_shares(n, tails - first, heads - first, lengths, min(step, n))
+            on = np.flatnonzero(share)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(on), subject)), pa.array(first + on), pa.array(share[on])], ["subject_id", "node", "share"])
+
+        key, held = None, []
         for batch in batches:
-            keys, nodes, shares = [], [], []
-            for subject, graph, n, block in zip(*(batch.column(c).to_pylist() for c in ("subject_id", "lines", "n", "block")), strict=True):
-                edges = [(x["source"], x["target"], x["w"]) for x in graph]
-                if any(a >= b for a, b, _ in edges):
-                    raise ValueError("an edge leads to a lower index")
-                values = path_shares(n, edges, range(block * SOURCES, min(n, (block + 1) * SOURCES)))
-                keys.append(np.full(n, subject)), nodes.append(np.arange(n)), shares.append(values)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, shares)], ["subject_id", "node", "share"])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("subject_id", "first", "step")])
+            values = [batch.column(c).to_numpy() for c in ("source", "target", "w")]
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                new = tuple(int(x) for x in keys[:, a])
+                if new != key:
+                    if held:
+                        yield shares_of(*key, held)
+                    key, held = new, []
+                held.append([v[a:b].copy() for v in values])
+        if held:
+            yield shares_of(*key, held)
 
     shares = blocked.mapInArrow(run, "subject_id long, node long, share double").groupBy("subject_id", "node").agg(F.sum("share").alias("share"))
     got = nodes.join(size, "subject_id").join(shares, ["subject_id", "node"], "left")
