@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import models, text as T
-from tideline.functions.scalars import iso
+from tideline.functions.scalars import iso, round_up
 from tideline.operators import corrections, evaluation as E, frames as FR, graphs, integrity as I, keywords as K, places as P, signatures as S, timeline
 from tideline.plans.graph_queries import ORACLES as GRAPHS, edges
 from tideline.plans.place_queries import ORACLES as PLACES, PLACES_SQL
@@ -68,8 +68,8 @@ def results(spark, sf_dir):
 def notebook(spark, sf_dir):
     """The notebook's parts of the places whose id is divisible by 100 against all."""
     pairs = P.place_pairs(places(spark, sf_dir).filter("place_id % 100 = 0"), places(spark, sf_dir).withColumn("type", F.when(F.col("place_id") % 3 == 0, F.col("type")).otherwise("garden")))
-    parts = P.notebook_parts("a", "b", 2000.0)
-    return pairs.select("place_id_a", "place_id_b", *(F.round(v, 6).alias(k) for k, v in parts.items()))
+    parts = P.notebook_parts("a", "b", 2000.0, F.col("cultural"))
+    return pairs.select("place_id_a", "place_id_b", *(round_up(v, 6).alias(k) for k, v in parts.items()))
 
 
 def concepts(spark, sf_dir):
