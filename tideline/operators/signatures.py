@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.functions.scalars import argmax, cosine
+from tideline.operators.ordered import ordered_fold
 
 DIMENSIONS = ("Connectedness", "Hope", "Identity", "Meaning", "Empowerment")
 
@@ -48,12 +51,30 @@ def dominant_dimension(named: dict[str, Column]) -> Column:
     return argmax(named)
 
 
+def _moments(state: tuple, *values: float) -> tuple:
+    """The next visit's running means and sums of products with the visit index; a product is added with one rounding."""
+    n, x_mean, means, sums = state
+    dx = n - x_mean
+    n += 1
+    means = [m + (v - m) / n for m, v in zip(means, values, strict=True)]
+    sums = [math.fma(dx, v - m, s) for s, m, v in zip(sums, means, values, strict=True)]
+    return (n, x_mean + dx / n, means, sums), (n, *sums)
+
+
 def trajectories(visits: DataFrame, by: tuple[str, ...] = ("subject_id", "place_type")) -> DataFrame:
-    """Slope of each dimension over the visit index, volatility and count; one visit has slope 0."""
-    w = Window.partitionBy(*by).orderBy("us", "seq")
-    rows = visits.withColumn("x", F.row_number().over(w) - 1)
-    got = rows.groupBy(*by).agg(F.count("*").alias("visit_count"), *(F.coalesce(F.regr_slope(F.coalesce(F.col(d), F.lit(0.0)), F.col("x")), F.lit(0.0)).alias(d) for d in DIMENSIONS), *(F.var_pop(F.coalesce(F.col(d), F.lit(0.0))).alias(f"__{d}") for d in DIMENSIONS))
-    return got.withColumn("volatility", F.sqrt(sum((F.col(f"__{d}") for d in DIMENSIONS), F.lit(0.0)) / len(DIMENSIONS))).drop(*(f"__{d}" for d in DIMENSIONS))
+    """Slope of each dimension over the visit index, volatility and count; one visit has slope 0.
+
+    Slopes that fall on a threshold or equal each other are told apart by their last bits, so the sums are folded in the
+    order of the visits, which no aggregate promises, and rounded as the SQL's are."""
+    zeros = [0.0] * len(DIMENSIONS)
+    rows = visits.select(F.struct(*by).alias("__by"), "us", "seq", *(F.coalesce(F.col(d).cast("double"), F.lit(0.0)).alias(d) for d in DIMENSIONS))
+    out = "n long, " + ", ".join(f"s{i} double" for i in range(len(DIMENSIONS)))
+    folded = ordered_fold(rows, "__by", ["us", "seq"], list(DIMENSIONS), lambda: (0, 0.0, zeros, zeros), _moments, out)
+    last = F.max_by(F.struct(*(f"s{i}" for i in range(len(DIMENSIONS)))), "n")
+    got = folded.groupBy("__by").agg(F.count("*").alias("visit_count"), last.alias("__s"), F.var_pop(F.col("n") - 1).alias("__x"), *(F.var_pop(d).alias(f"__{d}") for d in DIMENSIONS))
+    slope = lambda i: F.when(F.col("visit_count") > 1, F.col(f"__s.s{i}") / F.col("visit_count") / F.col("__x")).otherwise(0.0)
+    volatility = F.sqrt(sum((F.col(f"__{d}") for d in DIMENSIONS), F.lit(0.0)) / len(DIMENSIONS))
+    return got.select(*(F.col(f"__by.{c}").alias(c) for c in by), "visit_count", *(slope(i).alias(d) for i, d in enumerate(DIMENSIONS)), volatility.alias("volatility"))
 
 
 def recovery_correlations(trend: DataFrame, dimensions=DIMENSIONS, min_visits: int = 2, least: float = 0.01, by: tuple[str, ...] = ("subject_id", "place_type")) -> DataFrame:
