@@ -41,3 +41,14 @@ def test_an_invalid_place_is_an_error_of_its_pairs(spark):
     places = spark.createDataFrame([(100, "a", "x", ["t"], 95.0, 0.0), (1, "a", "x", ["t"], 0.0, 0.0)], "place_id long, type string, language string, cultural_tags array<string>, lat double, lon double")
     with pytest.raises(Exception, match="invalid coordinates"):
         P.place_pairs(places.filter("place_id = 100"), places).collect()
+
+
+def test_similar_places_are_those_of_all_places(spark):
+    from compare import assert_same
+
+    from tideline.plans.place_queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["similar_place_patterns"](spark, sf)
+    assert got.filter("place_id_a % 100 <> 0 AND place_id_b % 100 <> 0").count() > 1000
+    assert_same(got, ORACLES["similar_place_patterns"], sf)
