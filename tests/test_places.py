@@ -126,3 +126,13 @@ def test_no_nested_loops(spark):
     for name in ("nearby_places", "near_place_pairs", "similar_place_patterns"):
         plan = place_queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_dense_cells_make_few_links(spark, monkeypatch):
+    """Two classes of 200 places in one spot have 40,000 links, of which one joins them."""
+    rows = [(i, "Park", "ASIA", ["a", f"t{i % 2}", "c"], 10.0 + i % 20 / 1000, 20.0 + i // 20 / 1000) for i in range(400)]
+    df = spark.createDataFrame(rows, "place_id long, type string, language string, cultural_tags array<string>, lat double, lon double")
+    made, inner = [], places._open_links
+    monkeypatch.setattr(places, "_open_links", lambda *a: made.append(inner(*a)) or made[-1])
+    assert {r["cluster_id"] for r in places.semantic_clusters(df, 0.68, 2, cut).collect()} == {0}
+    assert 1 <= made[0].count() <= 16
