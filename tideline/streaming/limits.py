@@ -30,8 +30,8 @@ class Limiter(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         came = [pair for batch in rows for pair in zip(batch["us"].tolist(), batch["seq"].tolist(), strict=True)]
         self.waiting.appendList(came)
-        for at in {us // 1000 for us, _ in came}:
-            self.handle.registerTimer(at)
+        # A timer for the first attempt alone: when it fires, the first that isn't due yet gets the next.
+        self.handle.registerTimer(min(us for us, _ in came) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -51,6 +51,8 @@ class Limiter(StatefulProcessor):
                 state.put(values)
             else:
                 state.clear()
+        if later:
+            self.handle.registerTimer(later[0][0] // 1000)
         if stored:
             self.handle.registerTimer((stored[-1] + self.within_us) // 1000 + 1)
         if answers:
