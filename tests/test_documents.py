@@ -143,3 +143,13 @@ def test_keywords(spark, schema, good, bad):
 def test_what_is_not_compiled_is_an_error(spark, schema):
     with pytest.raises((ValueError, KeyError)):
         S.compiled(schema, F.parse_json(F.lit("1")), F.lit(""))
+
+
+def test_a_value_is_worked_out_once(spark):
+    """The text is parsed at one place of the plan, whatever the schema asks of it."""
+    docs = table(spark, [{"a": {"b": 1}}])
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "object", "required": ["c"], "properties": {"b": {"type": "string", "minLength": 2}}}}}
+    found = S.schema_issues(docs, "doc", "document", schema)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1
+    assert {r["location"] for r in found.collect()} == {"a", "a.b"}

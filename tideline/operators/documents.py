@@ -22,11 +22,10 @@ SHORT_ISO = r"^(\d{4})(\d{2})(\d{2})(?:[T ](\d{2})(?:(\d{2})(?:(\d{2})(?:[.,](\d
 
 def kind_of(value: Column) -> Column:
     """``object array string boolean null number`` of a VARIANT; null of none."""
-    schema = F.schema_of_variant(value)
-    out = F.when(schema.isNotNull(), "number")
-    for start, kind in (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null")):
-        out = F.when(schema.startswith(start), kind).otherwise(out)
-    return out
+    # The type's name is made once a value: in lambdas nothing is shared.
+    name = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    kinds = F.create_map(*(F.lit(x) for pair in (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null")) for x in pair))
+    return F.coalesce(F.try_element_at(kinds, name), F.when(value.isNotNull(), "number"))
 
 
 def walk(rows: DataFrame, key: str, document: str) -> DataFrame:
@@ -40,9 +39,10 @@ def walk(rows: DataFrame, key: str, document: str) -> DataFrame:
     found = None
     while True:
         below = F.col("timed") | (F.col("member") & F.lower("name").isin(*TIME_FIELDS)) if found is not None else F.col("timed")
-        strings, variants = F.from_json("value", "map<string,string>"), F.from_json("value", "map<string,variant>")
-        entries = F.arrays_zip(F.map_keys(strings).alias("k"), F.map_values(strings).alias("v"), F.transform(F.map_values(variants), kind_of).alias("t"))
-        objects = now.filter("kind = 'object'").select(key, "place", "path", below.alias("timed"), F.posexplode(entries).alias("i", "e"))
+        # Read once each, before the columns that take them twice.
+        opened = now.filter("kind = 'object'").withColumns({"strings": F.from_json("value", "map<string,string>"), "variants": F.from_json("value", "map<string,variant>")})
+        entries = F.arrays_zip(F.map_keys("strings").alias("k"), F.map_values("strings").alias("v"), F.transform(F.map_values("variants"), kind_of).alias("t"))
+        objects = opened.select(key, "place", "path", below.alias("timed"), F.posexplode(entries).alias("i", "e"))
         objects = objects.select(
             key, F.concat("place", F.array("i")).alias("place"), F.when(F.col("path") == "", F.col("e.k")).otherwise(F.concat("path", F.lit("."), "e.k")).alias("path"),
             F.col("e.k").alias("name"), F.lit(True).alias("member"), F.col("e.t").alias("kind"), F.col("e.v").alias("value"), "timed",

@@ -28,6 +28,11 @@ def _when(bad: Column, location: Column, message: Column) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(F.when(location == "", "root").otherwise(location).alias("location"), message.alias("message")))).otherwise(_none())
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often it is named there."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _below(location: Column, step: Column) -> Column:
     return F.when(location == "", step).otherwise(F.concat(location, F.lit("."), step))
 
@@ -109,7 +114,7 @@ def compiled(schema, value: Column, location: Column, root: dict | None = None,
                 out.append(_when(of("object", F.try_variant_get(value, _step(name), "variant").isNull()), location, F.lit(f"{quoted(name)} is a required property")))
         elif word == "properties":
             for name, inner in rule.items():
-                out.append(nested(inner, F.try_variant_get(value, _step(name), "variant"), _below(location, F.lit(name))))
+                out.append(_bound(F.try_variant_get(value, _step(name), "variant"), lambda v: nested(inner, v, _below(location, F.lit(name)))))  # noqa: B023
         elif word == "additionalProperties":
             known, patterns = list(schema.get("properties", ())), list(schema.get("patternProperties", ()))
             extra = lambda k: ~k.isin(known) & ~k.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else ~k.isin(known)  # noqa: B023, E731
@@ -183,6 +188,6 @@ def compiled(schema, value: Column, location: Column, root: dict | None = None,
 
 def schema_issues(rows: DataFrame, key: str, document: str, schema: dict) -> DataFrame:
     """``key severity category message location`` for each broken rule of each document that is JSON."""
-    found = compiled(schema, F.try_parse_json(document), F.lit(""))
+    found = _bound(F.try_parse_json(document), lambda v: compiled(schema, v, F.lit("")))
     got = rows.select(key, F.explode(found).alias("__found"))
     return got.select(key, *issue("ERROR", "schema", F.col("__found.message"), F.col("__found.location")))
