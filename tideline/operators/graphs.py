@@ -261,6 +261,7 @@ def betweenness(episodes: DataFrame, edges: DataFrame, distance: str = "weight")
 def node_metrics(episodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A row per node with its times, label, degrees and betweenness."""
     keys = ["subject_id", "episode_index"]
+    edges = cut(edges.select("subject_id", "source_index", "target_index", "weight"))  # read three times
     rows = episodes.select(*keys, iso(F.col("start_us")).alias("start_time"), iso(F.col("end_us")).alias("end_time"), "dominant_label")
     return rows.join(degree_centrality(episodes, edges), keys).join(betweenness(episodes, edges), keys)
 

@@ -8,12 +8,20 @@ from tideline.functions.scalars import iso_sql
 from tideline.operators import graphs, segments
 from tideline.plans.timelines import EPISODES_SQL, GAP, HOUR, episodes
 from tideline.sources.adapters import CHIME, EVENTS_SQL, emotion_events
+from tideline.sources.tables import cut
 
 NEAR = 12 * HOUR
 
 
+def graph(spark, sf_dir):
+    """Episodes, made once and written, and their edges: made anew for every side of a join by subject, all of their sorts
+    would be held by one task."""
+    made = cut(episodes(spark, sf_dir))
+    return made, graphs.narrative_edges(made, NEAR)
+
+
 def edges(spark, sf_dir):
-    return graphs.narrative_edges(episodes(spark, sf_dir), NEAR)
+    return graph(spark, sf_dir)[1]
 
 
 def r6(*names):
@@ -21,7 +29,7 @@ def r6(*names):
 
 
 def all_pairs(spark, sf_dir):
-    got = graphs.classified(graphs.episode_pairs(episodes(spark, sf_dir), None), NEAR)
+    got = graphs.classified(graphs.episode_pairs(cut(episodes(spark, sf_dir)), None), NEAR)
     return got.select("subject_id", "episode_index_a", "episode_index_b", "relation", "gap_us", *r6("overlap_coefficient", "weight"))
 
 
@@ -36,13 +44,13 @@ def transitions(spark, sf_dir):
 
 
 def blended(spark, sf_dir):
-    ep = episodes(spark, sf_dir)
+    ep, lines = graph(spark, sf_dir)
     sig = ep.filter("event_count > 1").select("subject_id", "episode_index", *((F.pmod(F.col("start_us") / 1_000_000 * m, F.lit(101)).cast("long") / 100.0).alias(k) for k, m in CHIME.items()))
-    return graphs.blended_edges(graphs.narrative_edges(ep, NEAR), sig, list(CHIME)).select("subject_id", "source_index", "target_index", "relation", *r6("weight"))
+    return graphs.blended_edges(lines, sig, list(CHIME)).select("subject_id", "source_index", "target_index", "relation", *r6("weight"))
 
 
 def report(spark, sf_dir):
-    got = graphs.graph_report(episodes(spark, sf_dir), edges(spark, sf_dir), NEAR)
+    got = graphs.graph_report(*graph(spark, sf_dir), NEAR)
     sizes = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(f"n_{c}") for c in ("transitions", "cycles", "labels")]
     return got.select("subject_id", "node_count", "edge_count", *r6("density"), "component_count", "is_dag", *sizes)
 
@@ -62,23 +70,23 @@ def percentages(spark, sf_dir):
 
 QUERIES = {
     "graph_report": report,
-    "node_metrics": lambda s, d: graphs.node_metrics(episodes(s, d), edges(s, d)).select("subject_id", "episode_index", "start_time", "end_time", "dominant_label", *r6("degree", "in_degree", "out_degree", "betweenness")),
+    "node_metrics": lambda s, d: graphs.node_metrics(*graph(s, d)).select("subject_id", "episode_index", "start_time", "end_time", "dominant_label", *r6("degree", "in_degree", "out_degree", "betweenness")),
     "frontend_nodes": lambda s, d: graphs.frontend_nodes(episodes(s, d)),
     "episode_violations": lambda s, d: segments.episode_violations(episodes(s, d), sessions(s, d)),
     "episode_percentages": percentages,
     "narrative_edges": lambda s, d: edges(s, d).select("subject_id", "source_index", "target_index", "relation", *r6("weight")),
     "narrative_edges_all_pairs": all_pairs,
     "edges_for_node": touching,
-    "graph_ids": lambda s, d: graphs.graph_ids(episodes(s, d), edges(s, d)),
-    "frontend_edges": lambda s, d: graphs.frontend_edges(episodes(s, d), edges(s, d)),
-    "graph_summary": lambda s, d: graphs.graph_summary(episodes(s, d), edges(s, d), NEAR).select("subject_id", "node_count", "edge_count", *r6("density"), "component_count", "is_dag"),
-    "degree_centrality": lambda s, d: graphs.degree_centrality(episodes(s, d), edges(s, d)).select("subject_id", "episode_index", *r6("degree", "in_degree", "out_degree")),
+    "graph_ids": lambda s, d: graphs.graph_ids(*graph(s, d)),
+    "frontend_edges": lambda s, d: graphs.frontend_edges(*graph(s, d)),
+    "graph_summary": lambda s, d: graphs.graph_summary(*graph(s, d), NEAR).select("subject_id", "node_count", "edge_count", *r6("density"), "component_count", "is_dag"),
+    "degree_centrality": lambda s, d: graphs.degree_centrality(*graph(s, d)).select("subject_id", "episode_index", *r6("degree", "in_degree", "out_degree")),
     "common_transitions": transitions,
     "subject_transitions": lambda s, d: graphs.common_transitions(edges(s, d)),
     "label_distribution": lambda s, d: graphs.label_distribution(episodes(s, d)),
     "emotional_cycles": lambda s, d: graphs.label_cycles(edges(s, d)),
-    "betweenness_weighted": lambda s, d: graphs.betweenness(episodes(s, d), edges(s, d)).select("subject_id", "episode_index", *r6("betweenness")),
-    "betweenness_hop": lambda s, d: graphs.betweenness(episodes(s, d), edges(s, d), "hop").select("subject_id", "episode_index", *r6("betweenness")),
+    "betweenness_weighted": lambda s, d: graphs.betweenness(*graph(s, d)).select("subject_id", "episode_index", *r6("betweenness")),
+    "betweenness_hop": lambda s, d: graphs.betweenness(*graph(s, d), "hop").select("subject_id", "episode_index", *r6("betweenness")),
     "place_blended_edges": blended,
 }
 PAIRS_SQL = f"""p0 AS (SELECT a.subject_id, a.episode_index AS i, b.episode_index AS j, a.start_us AS a0, a.end_us AS a1, b.start_us AS b0, b.end_us AS b1, a.dominant_label AS sl, b.dominant_label AS tl, a.episode_id AS sid, b.episode_id AS tid

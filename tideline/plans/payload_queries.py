@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalars import iso_sql
 from tideline.operators import graphs, intervals, segments, serialize
-from tideline.plans.graph_queries import NEAR, ORACLES as GRAPHS, edges
+from tideline.plans.graph_queries import NEAR, ORACLES as GRAPHS, graph
 from tideline.plans.timelines import EPISODES_SQL, GAP, episodes
 from tideline.sources import synthetic
 from tideline.sources.adapters import EVENTS_SQL, emotion_events, table
@@ -48,8 +48,8 @@ def episodes_read(spark, sf_dir):
 
 
 def graph_texts(spark, sf_dir):
-    ep, events = of_episodes(spark, sf_dir)
-    lines = edges(spark, sf_dir)
+    ep, lines = graph(spark, sf_dir)
+    events = segments.gap_sessions(emotion_events(spark, sf_dir), GAP)
     return serialize.graph_payloads(ep, events, lines, graphs.graph_ids(ep, lines), NEAR)
 
 
