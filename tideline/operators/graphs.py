@@ -95,7 +95,8 @@ def frontend_edges(episodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degree_centrality(episodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree, in- and out-degree over n - 1 for every node; 1 for a single node."""
-    ends = edges.select("subject_id", F.col("source_index").alias("episode_index"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("subject_id", "target_index", F.lit(0), F.lit(1)))
+    end = lambda e, o, i: F.struct(F.col(e).alias("episode_index"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edges.select("subject_id", F.inline(F.array(end("source_index", 1, 0), end("target_index", 0, 1))))
     counts = ends.groupBy("subject_id", "episode_index").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     got = episodes.select("subject_id", "episode_index", F.count("*").over(Window.partitionBy("subject_id")).alias("n")).join(counts, ["subject_id", "episode_index"], "left")
     over = lambda c: F.when(F.col("n") == 1, 1.0).otherwise(F.coalesce(c, F.lit(0)) / (F.col("n") - 1))
