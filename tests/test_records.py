@@ -140,3 +140,18 @@ def test_probabilities_of_a_head(spark):
     want = np.exp([3.0, 1.0]) / np.exp([3.0, 1.0]).sum()
     assert got == pytest.approx(want.tolist()) and one(spark, head.predicted(F.array(F.lit(3.0), F.lit(1.0)))) == "a"
     assert one(spark, head.predicted(F.array(F.lit(0.0), F.lit(0.5)))) == "a"  # equal scores
+
+
+def test_vectors_equal_those_of_their_texts_alone(spark):
+    texts = [None, "", "Hello", " ", "hello", "b", "Hello", "日本語 text", " "] * 3 + [f"text {i}" for i in range(2 * models.AT_ONCE + 7)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1).select("i", models.infer("embedding", F.col("t")).alias("v")).collect()
+    assert len(rows) == len(texts)
+    for i, v in rows:
+        alone = models.hashed_vectors([texts[i]])[0]
+        assert v is None if alone is None else v == alone.astype(np.float32).tolist()
+
+
+def test_posts_look_their_words_up_once(spark):
+    posts = spark.createDataFrame([(1, "so sad", "2024-01-02T03:04:05")], "post_id long, caption string, timestamp string")
+    plan = models.enrich_posts(posts, ("sentiment",)).select("sentiment.label")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") <= 3

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
-from tideline.functions.text import lexicon_sentiment, location_text, roll_up, sentiment_record
+from tideline.functions.text import lexicon_sentiment, location_text, once, roll_up, sentiment_record
 
 #: Words of our own choice that stand in for a classifier of recovery dimensions; register a model for real use.
 CHIME_WORDS = {
@@ -24,7 +24,7 @@ DIMENSIONS = 384
 def text_sentiment(text: Column) -> Column:
     """Label and score; blank text is neutral with score 1."""
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
-    rec = sentiment_record(lexicon_sentiment(text))
+    rec = once(lexicon_sentiment(text), sentiment_record)
     return F.when(blank, F.struct(F.lit("neutral").alias("label"), F.lit(1.0).alias("score"))).otherwise(F.struct(rec["label"].alias("label"), rec["score"].alias("score")))
 
 
@@ -37,8 +37,8 @@ def chime(text: Column) -> Column:
     return F.when(total == 0, F.struct(F.lit("Uncategorized").alias("label"), F.lit(0.0).alias("score"))).otherwise(F.struct(best["k"].alias("label"), F.round(best["n"] / total, 4).alias("score")))
 
 
-def hashed_vectors(texts: list[str | None], size: int = DIMENSIONS) -> list[np.ndarray | None]:
-    """Signed hashes of the character trigrams of each text, scaled to length one; null for blank text."""
+def hashed_rows(texts: list[str | None], size: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Signed hashes of the character trigrams of each text as rows scaled to length one, and which texts are blank."""
     padded = [f" {t.lower().strip()} " if t and t.strip() else "" for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), [len(p) for p in padded])
@@ -48,20 +48,36 @@ def hashed_vectors(texts: list[str | None], size: int = DIMENSIONS) -> list[np.n
     h ^= h >> np.uint64(32)
     cell = row[whole] * size + (h % np.uint64(size)).astype(np.int64)
     out = np.bincount(cell, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * size).reshape(len(texts), size)
-    norm = np.linalg.norm(out, axis=1)
-    return [v / n if n else v if p else None for v, n, p in zip(out, norm, padded, strict=True)]
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm, norm, 1.0), np.array([not p for p in padded], bool)
+
+
+def hashed_vectors(texts: list[str | None], size: int = DIMENSIONS) -> list[np.ndarray | None]:
+    """The rows of ``hashed_rows``; null for blank text."""
+    return [None if blank else v for v, blank in zip(*hashed_rows(texts, size), strict=True)]
 
 
 #: Texts that are hashed at a time.
 AT_ONCE = 1000
 
 
-def embedding(text: Column) -> Column:
-    def hashed(texts: pd.Series) -> pd.Series:
-        values = texts.tolist()
-        return pd.Series([v for i in range(0, len(values), AT_ONCE) for v in hashed_vectors(values[i : i + AT_ONCE])], dtype=object)
+VECTOR = pa.list_(pa.field("element", pa.float32()))
+
 
-    return F.pandas_udf(hashed, T.ArrayType(T.FloatType()))(text)
+def embedding(text: Column) -> Column:
+    """Vectors of texts. A batch hashes each of its distinct texts once and deals the vectors out as Arrow arrays, without
+    an object for a row."""
+
+    def hashed(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode(null_encoding="encode")
+        distinct, parts = coded.dictionary.to_pylist(), [pa.array([], VECTOR)]
+        for i in range(0, len(distinct), AT_ONCE):
+            rows, blank = hashed_rows(distinct[i : i + AT_ONCE])
+            starts = pa.array(np.arange(0, rows.size + 1, DIMENSIONS, dtype=np.int32))
+            parts.append(pa.ListArray.from_arrays(starts, pa.array(rows.ravel().astype(np.float32)), VECTOR, mask=pa.array(blank)))
+        return pa.concat_arrays(parts).take(coded.indices)
+
+    return F.arrow_udf(hashed, T.ArrayType(T.FloatType()))(text)
 
 
 #: Characters that a classifier of emotions reads.
