@@ -67,9 +67,9 @@ def results(spark, sf_dir):
 
 def notebook(spark, sf_dir):
     """The notebook's parts of the places whose id is divisible by 100 against all."""
-    pairs = P.place_pairs(places(spark, sf_dir).filter("place_id % 100 = 0"), places(spark, sf_dir).withColumn("type", F.when(F.col("place_id") % 3 == 0, F.col("type")).otherwise("garden")))
-    parts = P.notebook_parts("a", "b", 2000.0, F.col("cultural"))
-    return pairs.select("place_id_a", "place_id_b", *(round_up(v, 6).alias(k) for k, v in parts.items()))
+    pairs = P.place_pairs(places(spark, sf_dir).filter("place_id % 100 = 0"), places(spark, sf_dir).withColumn("type", F.when(F.col("place_id") % 3 == 0, F.col("type")).otherwise("garden")), P.notebook_attributes)
+    near = round_up(P.linear_near(F.col("haversine"), 2000.0), 6).alias("geographic")
+    return pairs.select("place_id_a", "place_id_b", near, "categorical", "linguistic", round_up(F.col("cultural"), 6).alias("cultural"))
 
 
 def concepts(spark, sf_dir):
